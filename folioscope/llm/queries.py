@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, exact_dedup, mixing, secrets, url_filter
+from folioscope.llm import decontaminate, exact_dedup, language_id, mixing, secrets, simhash, token_store, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_mix_sources": mixing.op2,
+    "op3_token_codes": token_store.op3,
+    "op4_simhash": simhash.op4,
     "op5_url_filter": url_filter.op5,
     "op7_exact_dedup": exact_dedup.op7,
+    "op9_language_id": language_id.op9,
     "op10_secret_scan": secrets.op10,
 }
 
