@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, exact_dedup, language_id, mixing, secrets, simhash, token_store, url_filter
+from folioscope.llm import decontaminate, exact_dedup, language_id, lm_score, mixing, secrets, simhash, token_store, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_codes": token_store.op3,
     "op4_simhash": simhash.op4,
     "op5_url_filter": url_filter.op5,
+    "op6_lm_score": lm_score.op6,
     "op7_exact_dedup": exact_dedup.op7,
     "op9_language_id": language_id.op9,
     "op10_secret_scan": secrets.op10,
