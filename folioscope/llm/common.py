@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +14,27 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space, as the contracts name it.
 SPACE = "\x20\x09-\x0d"
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the executors' Python, once for each application: they may not have it on their path."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="folioscope-")) / "folioscope_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialize, table
+from folioscope.llm.common import materialize, ship, table
 
 MARK = "▁"  # stands before each word, as in the vocabulary
 LONGEST = 48  # a longer word is scored in parts of so many characters
@@ -196,6 +196,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     that is null or has no letter, and any text if nothing was learned, is ``und`` with score 0. Ties go to the first
     language in code-point order. Rows that repeat are judged alike; an empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

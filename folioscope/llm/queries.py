@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, exact_dedup, language_id, lm_score, mixing, secrets, simhash, token_store, url_filter
+from folioscope.llm import decontaminate, exact_dedup, language_id, lm_score, mixing, secrets, simhash, substring_dedup, token_store, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_url_filter": url_filter.op5,
     "op6_lm_score": lm_score.op6,
     "op7_exact_dedup": exact_dedup.op7,
+    "op8_substring_dedup": substring_dedup.op8,
     "op9_language_id": language_id.op9,
     "op10_secret_scan": secrets.op10,
 }

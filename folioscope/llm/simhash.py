@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from folioscope.llm.common import components, materialize, table
+from folioscope.llm.common import components, materialize, ship, table
 
 PIECE = 1 << 16
 
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             got = np.array([fingerprint(t.as_py(), k) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64())], ["id", "fp"])
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, "id long, fp long")
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import scratch_dir, table
+from folioscope.llm.common import scratch_dir, ship, table
 
 BLOCK = 64  # bytes of bitmap for each entry of the directory
 CACHED = 300_000
@@ -173,6 +173,7 @@ def write_tokens(
     Documents are ranged over ``shards`` (about 32 MB of text each unless given); a segment is closed at the first
     document that takes it to ``segment`` tokens. An empty table writes an empty table. Other columns are ignored.
     """
+    ship(docs.sparkSession)
     tokenizer = tokenizer or vocabulary()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if shards is None:
@@ -223,6 +224,8 @@ def read_segments(spark, path: str, broadcast_rows: int = 1_000_000) -> DataFram
 def read_documents(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), decoded from the files."""
 
+    ship(spark)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for names, ends, codes, base in zip(b["doc_ids"], b["ends"], b["codes"], b["base"], strict=True):
