@@ -58,6 +58,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """The table, to be broadcast if it has at most ``rows`` rows. It is counted: give it a written table."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def release(spark: SparkSession) -> None:
     """Removes this application's scratch tables. Results not yet computed from them are lost."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/folioscope/{spark.sparkContext.applicationId}")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import lower_ascii, table
+from folioscope.llm.common import lower_ascii, materialize, small, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -116,6 +116,7 @@ def judged(found: DataFrame, percent: int = 5) -> DataFrame:
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that aren't contaminated, with all their columns. A document without an id stays."""
     bad = judged(contamination(docs, bench, id_col=id_col, **options)).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
+    bad = small(materialize(bad, "contaminated"))
     return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
 
 

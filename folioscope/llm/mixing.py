@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialize, table
+from folioscope.llm.common import materialize, small, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -89,10 +89,11 @@ def mix_plan(
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: rows of ``docs`` with all their columns, each as often as the plan takes it.
 
-    Rows that repeat an id are each taken as often as the first of them is planned.
+    Rows that repeat an id are each taken as often as the most that one of them is planned.
     """
     plan = mix_plan(docs, id_col=id_col, **options).where("copies > 0")
-    plan = plan.groupBy(F.col(id_col).alias("_id")).agg(F.first("copies").alias("_copies"))
+    plan = plan.groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies"))
+    plan = small(materialize(plan, "mix-plan"))
     taken = docs.join(plan, docs[id_col].eqNullSafe(plan["_id"]))
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(docs[c] for c in docs.columns))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from folioscope.llm.common import components, materialize, ship, table
+from folioscope.llm.common import components, materialize, ship, small, table
 
 PIECE = 1 << 16
 
@@ -66,15 +66,14 @@ def near_links(groups: DataFrame, bits: int = 2, dense: int = 48, broadcast_keys
     held = materialize(postings.groupBy("key").count().where("count > 1"), "simhash-postings")
     long = held.where(F.col("count") > dense).select("key")
     short = held.where(F.col("count") <= dense).select("key")
-    near = lambda keys: F.broadcast(keys) if keys.count() <= broadcast_keys else keys
-    met = materialize(postings.join(near(short), "key", "left_semi"), "simhash-met")
+    met = materialize(postings.join(small(short, broadcast_keys), "key", "left_semi"), "simhash-met")
     a, b = met.alias("a"), met.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")))
     byte = lambda s, i: F.expr(f"shiftrightunsigned({s}.fp, {8 * i}) & 255L")
     tally = sum(((byte("a", i) == byte("b", i)).cast("int") for i in range(1, 8)), (byte("a", 0) == byte("b", 0)).cast("int"))
     met = met.where(tally >= 8 - bits).where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits)
     links = met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    crowd = postings.join(near(long), "key", "left_semi").select("fp", "rep").distinct()
+    crowd = postings.join(small(long, broadcast_keys), "key", "left_semi").select("fp", "rep").distinct()
     words = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     listed = crowd.select("rep", F.explode(words).alias("word")).groupBy("word").agg(F.collect_set("rep").alias("reps")).where("size(reps) > 1")
     stars = listed.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a < b").distinct()
@@ -101,8 +100,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of rows that repeat the id, one stays. Rows without an id stay.
     """
     found = materialize(near_duplicates(docs, id_col, text_col).where(F.col(id_col).isNotNull()), "simhash-found")
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    kept = docs.join(gone.distinct(), docs[id_col] == F.col("_gone"), "left_anti")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    kept = docs.join(small(gone), docs[id_col] == F.col("_gone"), "left_anti")
     again = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_again")).count().where("count > 1").select("_again")
     if again.isEmpty():
         return kept
