@@ -19,6 +19,7 @@ before each block of 512), so token i is read by following one position a level,
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import scratch_dir, ship, table
 
 BLOCK = 64  # bytes of bitmap for each entry of the directory
-CACHED = 300_000
+CACHED = 450_000
+MASK = (1 << 22) - 1
 FIELDS = "shard int, seg int, first_id long, doc_ids array<long>, ends array<long>, n_tokens long, codes binary"
 
 
@@ -107,38 +109,66 @@ class Codes:
 class Encoder:
     """The tokenizers library, with the ids of frequent words kept.
 
-    A byte-level vocabulary never merges across the space between two words, so a text is cut at single spaces and each
-    piece (with the space before it) encoded by itself; pieces seen before are looked up. Spaces beside other white
-    space are no cuts, since there the pattern looks ahead. The cache is bounded by ``CACHED`` pieces of 40 characters.
+    A byte-level vocabulary never merges across the space before a word, so a text is cut at single spaces; words seen
+    before are looked up, and the others of many texts are encoded in one call, each with its space. In the result a
+    word starts at each token that starts with a space. Spaces beside other white space are no cuts, since there the
+    pattern looks ahead; such texts go to the library whole. The cache is bounded by ``CACHED`` words of 40 characters, each of which
+    has been met in two calls.
     """
 
     def __init__(self, path: str, cached: int = CACHED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a text that spells a special token is text
+        n = self.tokenizer.get_vocab_size()
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0][:1]
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(n)])
         self.known: dict[str, bytes] = {}
-        self.cached, self.unsafe, self.cut = cached, regex.compile(r"\s\s"), regex.compile(r"(?<=\S) (?=\S)")
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u4")
-        parts = self.cut.split(text) if self.unsafe.search(text) or text[0] == " " or text[-1] == " " else text.split(" ")
-        pieces = [parts[0], *[" " + p for p in parts[1:]]]
-        known = self.known
-        new = list({p for p in pieces if p not in known})
-        extra: dict[str, bytes] = {}
-        if new:
-            extra = dict(zip(new, self._ids(new), strict=True))
-            if len(known) < self.cached:
-                known.update((p, b) for p, b in extra.items() if len(p) <= 40)
-            return np.frombuffer(b"".join([known[p] if p in known else extra[p] for p in pieces]), "<u4")
-        return np.frombuffer(b"".join([known[p] for p in pieces]), "<u4")
+        self.seen = bytearray(MASK + 1)
+        self.cached, self.unsafe = cached, re.compile(r" \s|[^\S ] ")
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, none empty, each after a space."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(words):  # not this vocabulary's way: one by one
+            return dict(zip(words, self._whole([" " + w for w in words]), strict=True))
+        data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        return {w: data[x:y] for w, x, y in zip(words, cuts, cuts[1:], strict=False)}
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        get, out, cut, whole, new = self.known.get, [None] * len(texts), [], [], set()
+        for i, t in enumerate(texts):
+            if not t:
+                out[i] = b""
+            elif t[0] == " " or t[-1] == " " or self.unsafe.search(t):
+                whole.append(i)
+            else:
+                first, *words = t.split(" ")
+                got = list(map(get, words))
+                missed = [k for k, g in enumerate(got) if g is None]
+                new.update([words[k] for k in missed])
+                cut.append((i, first, words, got, missed))
+        fresh = self._new(list(new)) if new else {}
+        for (i, _, words, got, missed), head in zip(cut, self._whole([c[1] for c in cut]), strict=True):
+            for k in missed:
+                got[k] = fresh[words[k]]
+            out[i] = head + b"".join(got)
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        if len(self.known) < self.cached:
+            seen = self.seen
+            for w, ids in fresh.items():  # a word is kept when it is met again
+                at = hash(w) & MASK
+                if seen[at] and len(w) <= 40:
+                    self.known[w] = ids
+                seen[at] = 1
+        return [np.frombuffer(x, "<u4") for x in out]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -190,20 +220,27 @@ def write_tokens(
             return pd.DataFrame({"shard": [shard], "seg": [seg], "first_id": pd.array([names[0]], "Int64"), "doc_ids": [list(names)], "ends": [list(ends)], "n_tokens": [n], "codes": [pack(np.concatenate(held))]})
 
         for b in batches:
-            for i, t in zip(b["id"].array, b["text"].array, strict=True):
-                ids = enc.encode(t)
-                held += [ids, last]
-                n += len(ids) + 1
-                names.append(None if pd.isna(i) else int(i))
-                ends.append(n)
-                if n >= segment:
-                    yield row()
-                    seg, n, names, ends, held = seg + 1, 0, [], [], []
+            for at in range(0, len(b), 128):
+                part = b.iloc[at : at + 128]
+                for i, ids in zip(part["id"].array, enc.encode_many(part["text"].tolist()), strict=True):
+                    held += [ids, last]
+                    n += len(ids) + 1
+                    names.append(None if pd.isna(i) else int(i))
+                    ends.append(n)
+                    if n >= segment:
+                        yield row()
+                        seg, n, names, ends, held = seg + 1, 0, [], [], []
         if names:
             yield row()
 
     ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
-    ordered.mapInPandas(run, FIELDS).write.parquet(path)
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "1024")  # texts can be long
+    try:
+        ordered.mapInPandas(run, FIELDS).write.parquet(path)
+    finally:
+        conf.set(name, before)
 
 
 def read_segments(spark, path: str, broadcast_rows: int = 1_000_000) -> DataFrame:
