@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import scratch_dir, ship, table
 
 BLOCK = 64  # bytes of bitmap for each entry of the directory
-CACHED = 450_000
+CACHED = 250_000
 MASK = (1 << 22) - 1
+CUTS = ("\n", ",", ".")
 FIELDS = "shard int, seg int, first_id long, doc_ids array<long>, ends array<long>, n_tokens long, codes binary"
 
 
@@ -109,11 +110,11 @@ class Codes:
 class Encoder:
     """The tokenizers library, with the ids of frequent words kept.
 
-    A byte-level vocabulary never merges across the space before a word, so a text is cut at single spaces; words seen
-    before are looked up, and the others of many texts are encoded in one call, each with its space. In the result a
-    word starts at each token that starts with a space. Spaces beside other white space are no cuts, since there the
-    pattern looks ahead; such texts go to the library whole. The cache is bounded by ``CACHED`` words of 40 characters, each of which
-    has been met in two calls.
+    A byte-level vocabulary never merges across the space before a word, nor from a letter or digit into a mark, so a
+    text is cut before single spaces, line feeds, commas and full stops. Pieces seen before are looked up, and the
+    others of many texts are encoded in one call. In a run of marks the pattern takes more than one character, so texts
+    with such runs are cut at spaces and line feeds alone; those with runs of white space go to the library whole. The cache is bounded by ``CACHED`` pieces of 40
+    characters, each of which has been met in two calls.
     """
 
     def __init__(self, path: str, cached: int = CACHED):
@@ -127,45 +128,72 @@ class Encoder:
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(n)])
         self.known: dict[str, bytes] = {}
         self.seen = bytearray(MASK + 1)
-        self.cached, self.unsafe = cached, re.compile(r" \s|[^\S ] ")
+        self.cached, self.unsafe = cached, re.compile(r"\s\s")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _new(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, none empty, each after a space."""
+        """Ids of pieces, none empty: each after a space, but for those that start with one of ``CUTS``."""
+        bare = [w for w in words if w[0] in CUTS]
+        out = dict(zip(bare, self._whole(bare), strict=True))
+        words = [w for w in words if w[0] not in CUTS]
+        if not words:
+            return out
         ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         starts = np.flatnonzero(self.opens[ids])
         if len(starts) != len(words):  # not this vocabulary's way: one by one
-            return dict(zip(words, self._whole([" " + w for w in words]), strict=True))
+            return out | dict(zip(words, self._whole([" " + w for w in words]), strict=True))
         data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-        return {w: data[x:y] for w, x, y in zip(words, cuts, cuts[1:], strict=False)}
+        out.update((w, data[x:y]) for w, x, y in zip(words, cuts, cuts[1:], strict=False))
+        return out
+
+    def _apart(self, t: str) -> bool:
+        """Whether no cut falls into what the pattern takes together, so far as it can be told without the pieces."""
+        return not (t[0].isspace() or t[-1].isspace() or " ," in t or " ." in t or ",," in t or ".." in t or ",." in t or ".," in t or self.unsafe.search(t))
+
+    @staticmethod
+    def _run(pieces: list[str], k: int) -> bool:
+        """Whether a comma or full stop at either end of a piece stands in a run of marks."""
+        w = pieces[k]
+        if len(w) > 1 and w[0] in ",.":
+            return not w[1].isalnum()
+        return bool(w) and w not in CUTS and not w[-1].isalnum() and k + 1 < len(pieces) and pieces[k + 1][0] in ",."
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         get, out, cut, whole, new = self.known.get, [None] * len(texts), [], [], set()
         for i, t in enumerate(texts):
             if not t:
                 out[i] = b""
-            elif t[0] == " " or t[-1] == " " or self.unsafe.search(t):
+                continue
+            if not self._apart(t):
                 whole.append(i)
-            else:
-                first, *words = t.split(" ")
-                got = list(map(get, words))
+                continue
+            lines = t.replace("\n", " \n")
+            pieces = lines.replace(",", " ,").replace(".", " .").split(" ")
+            got = list(map(get, pieces))
+            got[0] = b""  # the first has no space before it
+            missed = [k for k, g in enumerate(got) if g is None]
+            if any(self._run(pieces, k) for k in (0, *missed)):  # cut at spaces and line feeds alone
+                pieces = lines.split(" ")
+                got = list(map(get, pieces))
+                got[0] = b""
                 missed = [k for k, g in enumerate(got) if g is None]
-                new.update([words[k] for k in missed])
-                cut.append((i, first, words, got, missed))
+            new.update([pieces[k] for k in missed])
+            cut.append((i, pieces, got, missed))
         fresh = self._new(list(new)) if new else {}
-        for (i, _, words, got, missed), head in zip(cut, self._whole([c[1] for c in cut]), strict=True):
+        for (i, pieces, got, missed), head in zip(cut, self._whole([c[1][0] for c in cut]), strict=True):
             for k in missed:
-                got[k] = fresh[words[k]]
-            out[i] = head + b"".join(got)
+                got[k] = fresh[pieces[k]]
+            got[0] = head
+            out[i] = b"".join(got)
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
         if len(self.known) < self.cached:
             seen = self.seen
-            for w, ids in fresh.items():  # a word is kept when it is met again
+            for w, ids in fresh.items():  # a piece is kept when it is met again; one that ends in a mark is looked at each time
                 at = hash(w) & MASK
-                if seen[at] and len(w) <= 40:
+                if seen[at] and len(w) <= 40 and (w in CUTS or w[-1].isalnum()):
                     self.known[w] = ids
                 seen[at] = 1
         return [np.frombuffer(x, "<u4") for x in out]
