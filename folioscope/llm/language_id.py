@@ -23,7 +23,7 @@ MARK = "▁"  # stands before each word, as in the vocabulary
 LONGEST = 48  # a longer word is scored in parts of so many characters
 LETTER = re.compile(r"[^\W\d_]")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-CACHE = 400_000  # distinct words a task holds at once
+CACHE = 150_000  # distinct words a task holds at once
 
 
 class Pieces:
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         m = shared.value
         known: dict[str, int] = {}
         scores = np.zeros((0, len(m.languages)))
-        for b in batches:
+        for b in (b.iloc[i : i + 512] for b in batches for i in range(0, len(b), 512)):
             preds, shares = [], []
             if len(known) > CACHE:
                 known, scores = {}, scores[:0]

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import scratch_dir, ship, table
 
 BLOCK = 64  # bytes of bitmap for each entry of the directory
-CACHED = 250_000
+CACHED = 200_000
 MASK = (1 << 22) - 1
 CUTS = ("\n", ",", ".")
 FIELDS = "shard int, seg int, first_id long, doc_ids array<long>, ends array<long>, n_tokens long, codes binary"
@@ -130,6 +130,11 @@ class Encoder:
         self.seen = bytearray(MASK + 1)
         self.cached, self.unsafe = cached, re.compile(r"\s\s")
 
+    def forget(self) -> None:
+        """Frees the words kept: a worker process goes on to other tasks."""
+        self.known.clear()
+        self.seen = bytearray(MASK + 1)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
@@ -260,6 +265,7 @@ def write_tokens(
                         seg, n, names, ends, held = seg + 1, 0, [], [], []
         if names:
             yield row()
+        enc.forget()
 
     ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
