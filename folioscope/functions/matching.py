@@ -121,3 +121,9 @@ def any_span(spans: Column, test) -> Column:
 def char(text: Column, at: Column | int) -> Column:
     """The character at an offset; empty outside of the text."""
     return F.when(F.lit(at) >= 0 if isinstance(at, int) else at >= 0, F.substring(text, at + 1, F.lit(1))).otherwise(F.lit(""))
+
+
+def line_and_place(text: Column, offset: Column) -> Column:
+    """Line number, from 1, of an offset."""
+    before = F.substring(text, F.lit(1), offset)
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
