@@ -32,7 +32,7 @@ def wiki_text(source: Column) -> Column:
 def sections(text: Column) -> Column:
     """(title, body) by headings of the form == title ==; what stands first has an empty title."""
     parts = F.split(F.concat(F.lit("== ==\n"), text), r"(?m)^==+\s*", -1)
-    cut = F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(F.trim(F.regexp_extract(p, r"^(.*?)\s*==+\s*(?:\n|\z)", 1)).alias("title"), F.trim(F.regexp_replace(p, r"^.*?==+\s*(?:\n|\z)", "")).alias("body")))
+    cut = F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(F.trim(F.regexp_extract(p, r"^(.*?)\s*==+\s*(?:\n|\z)", 1)).alias("title"), F.regexp_replace(F.regexp_replace(p, r"^.*?==+\s*(?:\n|\z)", ""), r"^\s+|\s+\z", "").alias("body")))
     return F.filter(cut, lambda s: s["body"] != "")
 
 
