@@ -76,7 +76,8 @@ def contamination(
         grams = grams.select(key.alias("key"), F.col("len").alias("glen"), F.col("words").alias("gram"), "items")
         own = grams.sparkSession.range(1).select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("glen"), F.array().cast("array<string>").alias("gram"), F.array().cast("array<string>").alias("items"))
         grams = grams.unionByName(own)
-        if grams.count() <= broadcast_windows:
+        small_set = grams.count() <= broadcast_windows
+        if small_set:
             grams = F.broadcast(grams)
         if keyed is None:
             m = lengths[0]
@@ -85,9 +86,14 @@ def contamination(
             flat = flat.withColumn("len", F.when(F.col("pos") < 0, 0).otherwise(m))
         else:
             flat = hashed.select("id", "x", "words", F.explode(keyed).alias("k")).select("id", "x", "words", F.col("k.pos").alias("pos"), F.col("k.h").alias("h"), F.col("k.len").alias("len"))
+        # Next to a broadcast set the words stay in the row and are cut at hits only; a row to be shuffled takes its window
+        # along and nothing else.
+        cut = F.when(F.col("pos") >= 0, F.slice("words", F.col("pos") + 1, F.greatest(F.col("len"), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        flat = flat.withColumn("n_words", F.size("words").cast("long"))
+        flat = flat if small_set else flat.withColumn("own", cut).drop("words")
         met = flat.join(grams, (F.col("h") == F.col("key")) & (F.col("len") == F.col("glen")))
-        met = met.where((F.col("pos") < 0) | (F.slice("words", F.col("pos") + 1, F.greatest(F.col("len"), F.lit(1))) == F.col("gram")))
-        start = met.select("id", "x", F.size("words").cast("long").alias("n_words"), F.when(F.col("pos") >= 0, F.col("pos")).alias("pos"), F.col("len"), "items")
+        met = met.where((cut if small_set else F.col("own")) == F.col("gram"))
+        start = met.select("id", "x", "n_words", F.when(F.col("pos") >= 0, F.col("pos")).alias("pos"), F.col("len"), "items")
     hit = F.when(F.col("pos").isNotNull(), F.struct("pos", (F.col("pos") + F.col("len")).alias("end")))
     whole = start.groupBy("id", "x", "n_words").agg(
         F.count(F.when(F.col("pos").isNull(), 1)).cast("int").alias("rows"),
@@ -123,7 +129,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
 def remove_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Documents with the hit words cut out of their texts; what lies between the other words stays as it is."""
     found = contamination(docs, bench, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0)
-    found = found.select(F.col(id_col).alias("_id"), "n_words", "spans").distinct()
+    found = found.select(F.col(id_col).alias("_id"), F.col("n_words").alias("_n"), F.col("spans").alias("_spans")).distinct()
     low = lower_ascii(F.col(text_col))
     gaps, words = F.split(low, WORD, -1), words_of(F.col(text_col))
     step = F.zip_with(gaps, words, lambda g, w: F.struct(F.length(g).alias("g"), F.coalesce(F.length(w), F.lit(0)).alias("w")))
@@ -131,14 +137,14 @@ def remove_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
         step,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("i")),
         lambda s, x: F.struct(
-            F.concat(s["out"], F.col(text_col).substr(s["at"] + 1, x["g"]), F.when(F.exists("spans", lambda p: (p["start"] <= s["i"]) & (s["i"] < p["end"])), F.lit("")).otherwise(F.col(text_col).substr(s["at"] + x["g"] + 1, x["w"]))).alias("out"),
+            F.concat(s["out"], F.col(text_col).substr(s["at"] + 1, x["g"]), F.when(F.exists("_spans", lambda p: (p["start"] <= s["i"]) & (s["i"] < p["end"])), F.lit("")).otherwise(F.col(text_col).substr(s["at"] + x["g"] + 1, x["w"]))).alias("out"),
             (s["at"] + x["g"] + x["w"]).alias("at"),
             (s["i"] + 1).alias("i"),
         ),
         lambda s: s["out"],
     )
-    hit = docs.join(found, (docs[id_col] == found["_id"]) & (F.size(words) == found["n_words"]), "left")
-    fixed = F.when(F.col("spans").isNotNull(), cut).otherwise(F.col(text_col))
+    hit = docs.join(found, (docs[id_col] == found["_id"]) & (F.size(words) == found["_n"]), "left")
+    fixed = F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col(text_col))
     return hit.select(*(fixed.alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialize, ship, table
+from folioscope.llm.common import ship, table, trim
 
 MARK = "▁"  # stands before each word, as in the vocabulary
 LONGEST = 48  # a longer word is scored in parts of so many characters
@@ -226,6 +226,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 preds.append(m.languages[best])
                 shares.append(float(1 / np.exp(total - total[best]).sum()))
             yield pd.DataFrame({"id": b["id"], **{c: b[c] for c in keep}, "lang_pred": preds, "score": shares})
+        del known, scores
+        trim()
 
     rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
     kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)

@@ -123,9 +123,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]", rate: float = 0.05) -> DataFrame:
     """Documents with each span that was found replaced, right to left; spans that overlap an earlier one are skipped."""
-    found = find_secrets(docs, id_col, text_col, rate).where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), "spans").distinct()
+    found = find_secrets(docs, id_col, text_col, rate).where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), F.col("spans").alias("_spans")).distinct()
     cut = F.aggregate(
-        "spans",
+        "_spans",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda s, c: F.struct(
             F.when(c["start"] >= s["at"], F.concat(s["out"], F.col(text_col).substr(s["at"] + 1, c["start"] - s["at"]), F.lit(mask))).otherwise(s["out"]).alias("out"),
@@ -134,7 +134,7 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         lambda s: F.concat(s["out"], F.col(text_col).substr(s["at"] + 1, F.length(text_col))),
     )
     met = docs.join(found, docs[id_col] == found["_id"], "left")
-    return met.select(*(F.when(F.col("spans").isNotNull(), cut).otherwise(docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns))
+    return met.select(*(F.when(F.col("_spans").isNotNull(), cut).otherwise(docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from folioscope.llm.common import components, materialize, ship, small, table
+from folioscope.llm.common import components, materialize, ship, small, table, trim
 
 PIECE = 1 << 16
 

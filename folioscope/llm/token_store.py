@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import scratch_dir, ship, table
+from folioscope.llm.common import scratch_dir, ship, table, trim
 
 BLOCK = 64  # bytes of bitmap for each entry of the directory
 CACHED = 200_000
@@ -228,7 +229,7 @@ def write_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
     shards: int | None = None,
-    segment: int = 1 << 19,
+    segment: int = 1 << 18,
 ) -> None:
     """Encodes every text and writes the ids, each document closed by ``end_id``, in ascending order of ids.
 
@@ -265,7 +266,9 @@ def write_tokens(
                         seg, n, names, ends, held = seg + 1, 0, [], [], []
         if names:
             yield row()
+        held = []
         enc.forget()
+        trim()
 
     ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -297,16 +300,19 @@ def read_documents(spark, path: str) -> DataFrame:
 
     ship(spark)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for names, ends, codes, base in zip(b["doc_ids"], b["ends"], b["codes"], b["base"], strict=True):
-                ids, ends = Codes(codes).read(0, int(ends[-1])).astype("<u4"), np.asarray(ends, np.int64)
+            for i in range(len(b)):
+                names, ends, codes, base = (b.column(k)[i] for k in range(4))
+                ends = ends.values.to_numpy()
+                ids = Codes(codes.as_py()).read(0, int(ends[-1])).astype("<u4")
                 starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
-                crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(starts, ends, strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in names], "Int64"), "start": starts + base, "n_tokens": ends - starts, "ids_crc32": crc})
+                crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([names.values, pa.array(starts + base.as_py()), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        trim()
 
     segments = read_segments(spark, path).select("doc_ids", "ends", "codes", "base")
-    return segments.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_of(spark, path: str, start: int, end: int) -> np.ndarray:
