@@ -22,6 +22,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,9 @@ BLOCK = 64  # bytes of bitmap for each entry of the directory
 CACHED = 200_000
 MASK = (1 << 22) - 1
 CUTS = ("\n", ",", ".")
+#: Letters that stand for bytes in a byte-level vocabulary: a byte that prints stands for itself, the others follow 255.
+_OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
 FIELDS = "shard int, seg int, first_id long, doc_ids array<long>, ends array<long>, n_tokens long, codes binary"
 
 
@@ -126,6 +130,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # a text that spells a special token is text
         n = self.tokenizer.get_vocab_size()
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0][:1]
+        self.space, self.model = space, self.tokenizer.model
+        self.cuts = dict(zip(CUTS, self._whole(list(CUTS)), strict=True))
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(n)])
         self.known: dict[str, bytes] = {}
         self.seen = bytearray(MASK + 1)
@@ -141,19 +147,32 @@ class Encoder:
 
     def _new(self, words: list[str]) -> dict[str, bytes]:
         """Ids of pieces, none empty: each after a space, but for those that start with one of ``CUTS``."""
-        bare = [w for w in words if w[0] in CUTS]
-        out = dict(zip(bare, self._whole(bare), strict=True))
-        words = [w for w in words if w[0] not in CUTS]
-        if not words:
+        out, rest = {}, []
+        for w in words:
+            if w.isalpha():
+                out[w] = self._letters(w, self.space)
+            elif w[0] in CUTS and w[1:].isalpha():
+                out[w] = self.cuts[w[0]] + self._letters(w[1:], "")
+            else:
+                rest.append(w)
+        bare = [w for w in rest if w[0] in CUTS]
+        out.update(zip(bare, self._whole(bare), strict=True))
+        rest = [w for w in rest if w[0] not in CUTS]
+        if not rest:
             return out
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(rest)], add_special_tokens=False)[0].ids, "<u4")
         starts = np.flatnonzero(self.opens[ids])
-        if len(starts) != len(words):  # not this vocabulary's way: one by one
-            return out | dict(zip(words, self._whole([" " + w for w in words]), strict=True))
+        if len(starts) != len(rest):  # not this vocabulary's way: one by one
+            return out | dict(zip(rest, self._whole([" " + w for w in rest]), strict=True))
         data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-        out.update((w, data[x:y]) for w, x, y in zip(words, cuts, cuts[1:], strict=False))
+        out.update((w, data[x:y]) for w, x, y in zip(rest, cuts, cuts[1:], strict=False))
         return out
 
+    def _letters(self, word: str, lead: str) -> bytes:
+        """Ids of a word of letters, which the pattern keeps whole: the library's model alone, on the bytes' own letters."""
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+        return array("I", [t.id for t in self.model.tokenize(lead + text)]).tobytes()
+
     def _apart(self, t: str) -> bool:
         """Whether no cut falls into what the pattern takes together, so far as it can be told without the pieces."""
         return not (t[0].isspace() or t[-1].isspace() or " ," in t or " ." in t or ",," in t or ".." in t or ",." in t or ".," in t or self.unsafe.search(t))
@@ -180,7 +199,8 @@ class Encoder:
             got = list(map(get, pieces))
             got[0] = b""  # the first has no space before it
             missed = [k for k, g in enumerate(got) if g is None]
-            if any(self._run(pieces, k) for k in (0, *missed)):  # cut at spaces and line feeds alone
+            odd = [k for k in missed if not pieces[k].isalpha()]
+            if any(self._run(pieces, k) for k in (0, *odd)):  # cut at spaces and line feeds alone
                 pieces = lines.split(" ")
                 got = list(map(get, pieces))
                 got[0] = b""
