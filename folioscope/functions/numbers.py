@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,11 +11,22 @@ def midpoint_median(value: Column | str) -> Column:
     return F.percentile(value, F.lit(0.5))
 
 
-def floor_quantile(value: Column | str, fraction: float) -> Column:
-    """Aggregate: the sorted values' entry at floor((n - 1) * fraction), never interpolated.
+def floor_quantiles(rows: DataFrame, by: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
+    """by, and a column for each fraction: the sorted values' entry at floor((n - 1) * fraction), never interpolated.
 
-    Distinct values are counted, so the state grows with the number of distinct values.
+    Equal values are counted where they are read, so what a group sorts is its distinct values, not its rows. Nulls
+    don't count; a group without values has none.
     """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_k"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("_k").over(group.orderBy(value))
+    counts = counts.withColumns({"_upto": upto, "_n": F.sum("_k").over(group)})
+    picks = (F.min(F.when(F.col("_upto") > F.floor((F.col("_n") - 1) * F.lit(f)), F.col(value))).alias(name) for name, f in fractions.items())
+    return counts.groupBy(*by).agg(*picks)
+
+
+def floor_quantile(value: Column | str, fraction: float) -> Column:
+    """Aggregate form of ``floor_quantiles`` for groups that are small by nature: it collects the group's values."""
     values = F.array_sort(F.collect_list(value))
     return F.get(values, F.floor((F.size(values) - 1) * F.lit(fraction)).cast("int"))
 

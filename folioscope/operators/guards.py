@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions.matching import EDGE, any_span, count, overlaps, texts, touches, within
-from folioscope.functions.numbers import floor_quantile
+from folioscope.functions.numbers import floor_quantiles
 from folioscope.functions.text import changed_span, mark_profile, osa_distance
 from folioscope.operators.lexicon import Pack
 from folioscope.operators.segment import dialogue, lower_words, sentences, words
@@ -258,8 +258,9 @@ def voice_limits(scenes: DataFrame, pack: Pack, book: list[str]) -> DataFrame:
     """
     rows = scenes.select(*book, F.explode(sentences(F.col("text"), pack)).alias("s"))
     rows = rows.select(*book, F.size(words(F.col("s.text"))).alias("len"), punctuation(F.col("s.text")).alias("marks"))
-    some = F.when(F.col("len") > 0, F.col("len"))
-    stats = rows.groupBy(*book).agg(F.count(some).alias("n"), floor_quantile(some, 0.25).alias("q1"), floor_quantile(some, 0.75).alias("q3"), floor_quantile("marks", 0.75).alias("m"))
+    some = rows.where("len > 0")
+    stats = some.groupBy(*book).agg(F.count(F.lit(1)).alias("n"))
+    stats = stats.join(floor_quantiles(some, book, "len", {"q1": 0.25, "q3": 0.75}), book).join(floor_quantiles(rows, book, "marks", {"m": 0.75}), book)
     wide = F.greatest(F.lit(1), F.col("q3") - F.col("q1"))
     ok = F.col("n") >= 20
     return stats.select(*book, "n", F.when(ok, F.col("q1") - wide).alias("low"), F.when(ok, F.col("q3") + wide).alias("high"), F.when(ok, F.col("m") + 1).alias("marks"))

@@ -422,7 +422,7 @@ def detect(scenes: DataFrame, ctx: Context, titles: bool = False) -> DataFrame:
 
 def widen(text: Column, start: Column, end: Column, replacement: Column) -> Column:
     """(start, end, target, replacement) with target and replacement widened to whole words on both sides."""
-    left = F.regexp_extract(F.substring(text, F.lit(1), start), r"[\p{L}\p{N}]*\z", 0)
+    left = F.regexp_extract(F.substring(text, F.greatest(start - 64, F.lit(0)) + 1, F.least(start, F.lit(64))), r"[\p{L}\p{N}]*\z", 0)
     inside = lambda c: F.regexp_like(c, F.lit(r"[\p{L}\p{N}]"))
     left = F.when(inside(char(text, start)) & (end > start), left).otherwise(F.lit(""))
     right = F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"^[\p{L}\p{N}]*", 0)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
-from folioscope.functions.matching import count, line_and_place, matches, occurrence_before, occurrences, texts
-from folioscope.functions.numbers import floor_quantile, low_median, midpoint_median, total_or_null
+from folioscope.functions.matching import count, line_and_place, occurrence_before, occurrences, texts
+from folioscope.functions.numbers import floor_quantiles, midpoint_median, total_or_null
 from folioscope.operators import evaluate, events, intervals, lexicon, metrics, patterns, rules, segment, snapshot
 from folioscope.sources import markup
 
@@ -178,7 +178,7 @@ SELECT median(n_chars)::DOUBLE AS midpoint, list_sort(list(n_chars))[1 + floor((
 """)
 def quantiles_by_lang(spark, d):
     docs = t(spark, d, "documents").select("lang", "n_chars")
-    return docs.groupBy("lang").agg(midpoint_median("n_chars").alias("midpoint"), floor_quantile("n_chars", 0.25).alias("q1"), floor_quantile("n_chars", 0.75).alias("q3"), low_median("n_chars").alias("low"))
+    return docs.groupBy("lang").agg(midpoint_median("n_chars").alias("midpoint")).join(floor_quantiles(docs, ["lang"], "n_chars", {"q1": 0.25, "low": 0.5, "q3": 0.75}), "lang")
 
 
 @query(r"""
@@ -548,6 +548,12 @@ def context_windows(spark, d):
     return c.select("conv_id", "turn", F.coalesce(F.right(before, F.lit(1200)), F.lit("")).alias("before"), F.coalesce(F.left(after, F.lit(1200)), F.lit("")).alias("after"))
 
 
-def matched(spark, d):
-    """Kept for callers: matches with offsets of one pattern."""
-    return t(spark, d, "documents").select("doc_id", F.explode(matches(F.col("text"), r"\p{L}+tion")).alias("m"))
+@query()
+def rule_pipeline(spark, d):
+    """All rules over all English documents: book-wide statistics, drafts, proposals."""
+    from folioscope.operators.rules import Settings
+    from folioscope.plans import review
+
+    docs = t(spark, d, "documents").where("lang = 'en'").select("source", "doc_id", "text")
+    found = review.mechanical_run(docs, ["source", "doc_id"], lexicon.PACKS["en"], Settings())
+    return found.select("source", "doc_id", "rule", "start", "target", "replacement", "authority", "occurrence", "proposal_id")

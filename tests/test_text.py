@@ -111,6 +111,8 @@ def test_numbers(spark):
     v = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, 10.0)], "v double")
     got = v.agg(numbers.midpoint_median("v").alias("m"), numbers.floor_quantile("v", 0.75).alias("q"), numbers.low_median("v").alias("l")).first()
     assert (got.m, got.q, got.l) == (2.5, 3.0, 2.0)
+    q = numbers.floor_quantiles(v.union(v.where("v = 2")).withColumn("g", F.lit(1)), ["g"], "v", {"a": 0.0, "b": 0.5, "c": 0.75, "d": 1.0}).first()
+    assert (q.a, q.b, q.c, q.d) == (1.0, 2.0, 3.0, 10.0)
     assert one(spark, numbers.token_budget(F.lit(100000), 4.0)) == 31250
     assert one(spark, numbers.token_budget(F.lit(10), 4.0)) == 2048
     calls = spark.createDataFrame([(1.0, True), (None, False)], "cost double, billed boolean")
