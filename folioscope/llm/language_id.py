@@ -11,19 +11,23 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import ship, table, trim
 
+if TYPE_CHECKING:  # workers do without it
+    import pandas as pd
+
 MARK = "▁"  # stands before each word, as in the vocabulary
 LONGEST = 48  # a longer word is scored in parts of so many characters
 LETTER = re.compile(r"[^\W\d_]")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-CACHE = 150_000  # distinct words a task holds at once
+CACHE = 250_000  # distinct words a task holds at once
 
 
 class Pieces:
@@ -189,34 +193,31 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit_model(counts, pieces or vocabulary())
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, lang_pred, score) of each row, and the columns of ``keep``.
+def _judged(rows: DataFrame, text: str, model: Model, drop: bool) -> DataFrame:
+    """The rows with lang_pred and score, and without the text if ``drop``. Other columns pass through as they are."""
+    ship(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in rows.columns if not (drop and c == text)]
 
-    The score is the language's share of the text's probability under all languages, which are equal beforehand. Text
-    that is null or has no letter, and any text if nothing was learned, is ``und`` with score 0. Ties go to the first
-    language in code-point order. Rows that repeat are judged alike; an empty table gives an empty result.
-    """
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         known: dict[str, int] = {}
         scores = np.zeros((0, len(m.languages)))
-        for b in (b.iloc[i : i + 512] for b in batches for i in range(0, len(b), 512)):
+        for b in (b.slice(i, 512) for b in batches for i in range(0, len(b), 512)):
             preds, shares = [], []
             if len(known) > CACHE:
                 known, scores = {}, scores[:0]
-            rows: list[np.ndarray | None] = []
-            for t in b["text"]:
+            found: list[np.ndarray | None] = []
+            for cell in b.column(b.schema.get_field_index(text)):
+                t = cell.as_py()
                 if t is None or not m.languages or not LETTER.search(t):
-                    rows.append(None)
+                    found.append(None)
                 else:
-                    rows.append(np.array([known.setdefault(w, len(known)) for w in t.lower().split()], np.int64))
+                    found.append(np.array([known.setdefault(w, len(known)) for w in t.lower().split()], np.int64))
             if len(known) > len(scores):
                 new = list(known)[len(scores) :]
                 scores = np.concatenate([scores, m.log_words(new)])
-            for r in rows:
+            for r in found:
                 if r is None:
                     preds.append("und")
                     shares.append(0.0)
@@ -225,14 +226,24 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 best = int(total.argmax())
                 preds.append(m.languages[best])
                 shares.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pd.DataFrame({"id": b["id"], **{c: b[c] for c in keep}, "lang_pred": preds, "score": shares})
+            kept = [b.column(b.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(preds, pa.string()), pa.array(shares, pa.float64())], [*names, "_pred", "_share"])
         del known, scores
         trim()
 
-    rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
-    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    out = rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}{kinds}, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+    return rows.mapInArrow(run, f"{kinds}, _pred string, _share double")
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, lang_pred, score) of each row, and the columns of ``keep``.
+
+    The score is the language's share of the text's probability under all languages, which are equal beforehand. Text
+    that is null or has no letter, and any text if nothing was learned, is ``und`` with score 0. Ties go to the first
+    language in code-point order. Rows that repeat are judged alike; an empty table gives an empty result.
+    """
+    rows = docs.select(id_col, *keep, F.col(text_col).alias("_text"))
+    return _judged(rows, "_text", model, drop=True).withColumnsRenamed({"_pred": "lang_pred", "_share": "score"})
 
 
 def held_out(id_col: str = "doc_id", parts: int = 4, rest: int = 2):
@@ -254,9 +265,9 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "la
     language explains better than chance (a share under ``least``).
     """
     model = train(docs.where(~held_out(id_col)), id_col, lang_col=lang_col)
-    names = docs.columns
-    judged = identify(docs.select(F.struct(*names).alias("_row"), F.col(id_col).alias("_id"), "text"), model, "_id", keep=("_row",))
-    good = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    inner = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    judged = _judged(docs.select(*(F.col(c).alias(n) for c, n in inner.items())), inner["text"], model, drop=False)
+    good = judged.where((F.col("_pred") != "und") & (F.col("_share") >= least))
     if languages:
-        good = good.where(F.col("lang_pred").isin(*languages))
-    return good.select("_row.*")
+        good = good.where(F.col("_pred").isin(*languages))
+    return good.select(*(F.col(n).alias(c) for c, n in inner.items()))

@@ -26,7 +26,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import scratch_dir, ship, table, trim
 
 BLOCK = 64  # bytes of bitmap for each entry of the directory
-CACHED = 200_000
+CACHED = 150_000
 MASK = (1 << 22) - 1
 CUTS = ("\n", ",", ".")
 #: Letters that stand for bytes in a byte-level vocabulary: a byte that prints stands for itself, the others follow 255.
@@ -263,27 +262,27 @@ def write_tokens(
     if shards is None:
         shards = max(8, int((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) >> 25))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, seg = encoder(tokenizer), TaskContext.get().partitionId(), 0
         names: list[int | None] = []
         ends: list[int] = []
         held: list[np.ndarray] = []
         n, last = 0, np.array([end_id], "<u4")
-
-        def row() -> pd.DataFrame:
-            return pd.DataFrame({"shard": [shard], "seg": [seg], "first_id": pd.array([names[0]], "Int64"), "doc_ids": [list(names)], "ends": [list(ends)], "n_tokens": [n], "codes": [pack(np.concatenate(held))]})
-
-        for b in batches:
-            for at in range(0, len(b), 128):
-                part = b.iloc[at : at + 128]
-                for i, ids in zip(part["id"].array, enc.encode_many(part["text"].tolist()), strict=True):
-                    held += [ids, last]
-                    n += len(ids) + 1
-                    names.append(None if pd.isna(i) else int(i))
-                    ends.append(n)
-                    if n >= segment:
-                        yield row()
-                        seg, n, names, ends, held = seg + 1, 0, [], [], []
+        many = pa.list_(pa.int64())
+
+        def row() -> pa.RecordBatch:
+            cells = ([shard], pa.int32()), ([seg], pa.int32()), ([names[0]], pa.int64()), ([names], many), ([ends], many), ([n], pa.int64()), ([pack(np.concatenate(held))], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in cells], ["shard", "seg", "first_id", "doc_ids", "ends", "n_tokens", "codes"])
+
+        for b in (b.slice(at, 128) for b in batches for at in range(0, len(b), 128)):
+            for i, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist()), strict=True):
+                held += [ids, last]
+                n += len(ids) + 1
+                names.append(i)
+                ends.append(n)
+                if n >= segment:
+                    yield row()
+                    seg, n, names, ends, held = seg + 1, 0, [], [], []
         if names:
             yield row()
         held = []
@@ -295,7 +294,7 @@ def write_tokens(
     before = conf.get(name)
     conf.set(name, "1024")  # texts can be long
     try:
-        ordered.mapInPandas(run, FIELDS).write.parquet(path)
+        ordered.mapInArrow(run, FIELDS).write.parquet(path)
     finally:
         conf.set(name, before)
 
