@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import patterns
+from folioscope.operators import habits, harness, patterns
 from folioscope.operators.lexicon import PACKS
 from folioscope.operators.rules import Settings
 from folioscope.plans import review
@@ -138,12 +138,12 @@ def test_russian_guides(spark):
 
 def test_habits(spark):
     row = spark.createDataFrame([([], "The “the way…” frame recurs"), (["at last"], "The “x y z” frame")], "e array<string>, s string")
-    assert [r[0] for r in row.select(patterns.habit_patterns(F.col("e"), F.col("s"))).collect()] == [["the way"], ["at last"]]
+    assert [r[0] for r in row.select(habits.phrases(F.col("e"), F.col("s"))).collect()] == [["the way"], ["at last"]]
     uses = spark.createDataFrame([("h", i, w, 5) for i, w in enumerate(["a", "b", "b", "c", "d"])], "habit string, ord int, inserted string, total int")
     assert [r.ord for r in review.thin_habits(uses).orderBy("ord").collect()] == [0, 1, 3]
     s = scenes(spark, "He did it the way men do. Then not.", "Again the way it was.")
-    habits = spark.createDataFrame([("h", ["the way"])], "habit string, phrases array<string>")
-    assert patterns.collect_uses(s, habits, PACKS["en"], ["scene"]).count() == 2
+    named = spark.createDataFrame([("h", ["the way"])], "habit string, phrases array<string>")
+    assert habits.uses(s, named, PACKS["en"], ["scene"]).count() == 2
 
 
 def test_wrong_language(spark):
@@ -180,3 +180,46 @@ def test_stream(spark, tmp_path):
     for r in sorted(spark.table("folded").collect(), key=lambda r: r.line):
         last[r.id] = (r.active, r.payload, r.conflict)
     assert last == {"a": (True, "z", False), "b": (True, "x", True)}
+
+
+def test_habit_details(spark):
+    s = scenes(spark, "She squared the cards. She squared the deck. “Squared,” he said.")
+    named = spark.createDataFrame([("h", ["squared", "squared the"])], "habit string, phrases array<string>")
+    assert [(r.habit, r.n) for r in habits.counts(s, named).collect()] == [("h", 3)]
+    assert [(u.start, u.spoken) for u in habits.uses(s, named, PACKS["en"], ["scene"]).orderBy("start").collect()] == [(0, False), (23, False), (45, True)]
+    many = spark.createDataFrame([("a", ["the way"]), ("b", ["the way of"]), ("c", ["other"])], "habit string, phrases array<string>")
+    assert sorted((r.habit, sorted(r.phrases)) for r in habits.merged(many).collect()) == [("a", ["the way", "the way of"]), ("c", ["other"])]
+    rows = [("She squared the cards, then left.", "She stacked the cards, then left.", True), ("She squared the cards, then left.", "She squared the cards, then ran.", False), ("One two three squared it.", "Four two three squared it.", False)]
+    df = spark.createDataFrame(rows, "s string, r string, w boolean")
+    assert all(x.w == x.g for x in df.select("w", habits.inside(F.col("s"), F.col("r"), F.array(F.lit("squared"))).alias("g")).collect())
+
+
+def test_mutations(spark):
+    s = scenes(spark, "The window looked bright and people were talking, slowly. " * 3)
+    got = harness.mutate(s, ["book", "scene"], "en", ["typo", "doubled-word", "punctuation"], "seed", "work").collect()
+    text = s.first().text
+    assert {m.kind for m in got} == {"typo", "doubled-word", "punctuation"}
+    out = text
+    for m in sorted(got, key=lambda m: -m.start):
+        assert text[m.start : m.end] == m.original
+        out = out[: m.start] + m.mutated + out[m.end :]
+    for m in got:
+        assert out[m.at : m.at + len(m.mutated)] == m.mutated
+    assert sorted(map(tuple, got)) == sorted(map(tuple, harness.mutate(s, ["book", "scene"], "en", ["typo", "doubled-word", "punctuation"], "seed", "work").collect()))
+
+
+def test_guide_score(spark):
+    hits = spark.createDataFrame([("s1", 0, 9, "p"), ("s1", 20, 29, "p"), ("s2", 0, 5, "p"), ("s3", 0, 5, "q")], "scene string, start int, end int, principle string")
+    defects = spark.createDataFrame([("s1", 5, 12, "p"), ("s3", 3, 9, "p"), ("s4", 0, 5, "p")], "scene string, start int, end int, principle string")
+    keep = spark.createDataFrame([("s2",)], "scene string")
+    row = harness.guide_score(hits, defects, keep).first()
+    assert (row.tp, row.near, row.fp_on_keep, row.unlabeled, round(row.recall, 3)) == (1, 1, 1, 1, 0.333)
+
+
+def test_review_view(spark):
+    shape = "id string, target string"
+    latest, history = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c")], shape), spark.createDataFrame([("2", "old"), ("4", "d")], shape)
+    results = spark.createDataFrame([("2", "applied"), ("4", "conflict")], "id string, status string")
+    places = spark.createDataFrame([("1", True), ("3", True)], "id string, found boolean")
+    view = harness.review_view(latest, history, results, spark.createDataFrame([("3",)], "id string"), places)
+    assert {(r.id, r.target, r.status) for r in view.collect()} == {("1", "a", "pending"), ("2", "old", "accepted"), ("3", "c", "rejected"), ("4", "d", "conflict")}
