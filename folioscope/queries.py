@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as X
 from folioscope.functions.matching import count, line_and_place, occurrence_before, occurrences, texts
 from folioscope.functions.numbers import floor_quantiles, midpoint_median, total_or_null
-from folioscope.operators import evaluate, events, intervals, lexicon, metrics, patterns, rules, segment, snapshot
+from folioscope.operators import evaluate, events, guards, harness, intervals, lexicon, metrics, patterns, rules, segment, snapshot
 from folioscope.sources import markup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -548,6 +548,167 @@ def context_windows(spark, d):
     return c.select("conv_id", "turn", F.coalesce(F.right(before, F.lit(1200)), F.lit("")).alias("before"), F.coalesce(F.left(after, F.lit(1200)), F.lit("")).alias("after"))
 
 
+@query(f"""
+WITH RECURSIVE x AS (SELECT user_id, event_type, s, e, i.event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY i.event_id) AS k FROM {_I} i JOIN (SELECT event_id, event_type FROM events) t ON t.event_id = i.event_id),
+     f AS (SELECT user_id, event_type, k, event_id, [{{'s': s, 'e': e}}] AS kept, true AS ok FROM x WHERE k = 1
+           UNION ALL SELECT x.user_id, x.event_type, x.k, x.event_id, CASE WHEN len(list_filter(f.kept, lambda y: x.s < y.e AND x.e > y.s)) = 0 THEN list_append(f.kept, {{'s': x.s, 'e': x.e}}) ELSE f.kept END,
+                  len(list_filter(f.kept, lambda y: x.s < y.e AND x.e > y.s)) = 0 FROM f JOIN x ON x.user_id = f.user_id AND x.event_type = f.event_type AND x.k = f.k + 1)
+SELECT event_id FROM f WHERE ok
+""")
+def kept_findings(spark, d):
+    spans = _spans(spark, d).join(t(spark, d, "events").select("event_id", "event_type"), "event_id")
+    return intervals.first_kept(spans, ["user_id", "event_type"], "event_id").select("event_id")
+
+
+@query("""
+WITH l AS (SELECT o_orderkey AS id, o_orderstatus AS target FROM orders WHERE o_orderkey % 3 = 0), h AS (SELECT o_orderkey AS id, o_orderpriority AS target FROM orders WHERE o_orderkey % 5 = 0),
+     a AS (SELECT id, target, false AS accepted FROM l WHERE id NOT IN (SELECT id FROM h) UNION ALL SELECT id, target, true FROM h)
+SELECT id, target, CASE WHEN accepted THEN CASE WHEN id % 2 = 0 THEN 'accepted' WHEN id % 7 = 0 THEN 'conflict' ELSE 'stale' END WHEN id % 4 = 0 THEN 'rejected' WHEN id % 11 <> 0 THEN 'pending' ELSE 'stale' END AS status FROM a
+""")
+def review_states(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_orderpriority")
+    latest = o.where("id % 3 = 0").select("id", F.col("o_orderstatus").alias("target"))
+    history = o.where("id % 5 = 0").select("id", F.col("o_orderpriority").alias("target"))
+    results = o.where("id % 2 = 0 or id % 7 = 0").select("id", F.when(F.col("id") % 2 == 0, "applied").otherwise("conflict").alias("status"))
+    places = o.where("id % 11 <> 0").select("id", F.lit(True).alias("found"))
+    return harness.review_view(latest, history, results, o.where("id % 4 = 0").select("id"), places)
+
+
+@query(f"""
+WITH x AS (SELECT i.user_id AS scene, event_type AS principle, s, e, i.event_id FROM {_I} i JOIN (SELECT event_id, event_type FROM events) t ON t.event_id = i.event_id),
+     h AS (SELECT * FROM x WHERE event_id % 2 = 0), g AS (SELECT * FROM x WHERE event_id % 3 = 0),
+     v AS (SELECT h.event_id, CASE WHEN h.scene % 10 = 0 THEN 'k' WHEN EXISTS (SELECT 1 FROM g WHERE g.scene = h.scene AND h.s < g.e AND h.e > g.s AND g.principle = h.principle) THEN 't'
+                  WHEN EXISTS (SELECT 1 FROM g WHERE g.scene = h.scene AND h.s < g.e AND h.e > g.s) THEN 'n' ELSE 'u' END AS v FROM h)
+SELECT count(*) AS findings, count(*) FILTER (v = 't') AS tp, count(*) FILTER (v = 'n') AS near, count(*) FILTER (v = 'k') AS fp_on_keep, count(*) FILTER (v = 'u') AS unlabeled,
+       round((SELECT count(*) FROM g WHERE EXISTS (SELECT 1 FROM h WHERE g.scene = h.scene AND h.s < g.e AND h.e > g.s AND g.principle = h.principle)) / (SELECT count(*) FROM g), 6) AS recall FROM v
+""")
+def guide_scores(spark, d):
+    x = _spans(spark, d).join(t(spark, d, "events").select("event_id", F.col("event_type").alias("principle")), "event_id").withColumnRenamed("user_id", "scene")
+    row = harness.guide_score(x.where("event_id % 2 = 0"), x.where("event_id % 3 = 0"), x.where("scene % 10 = 0").select("scene"))
+    return row.select("findings", "tp", "near", "fp_on_keep", "unlabeled", F.round("recall", 6).alias("recall"))
+
+
+@query("""
+WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+     h AS (SELECT source, n, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split('seed:' || source, ''), lambda c: ord(c)::BIGINT)), lambda a, c: (xor(a, c) * 16777619) % 4294967296) AS h FROM s)
+SELECT source, h AS hash, h % n AS pick FROM h
+""")
+def seeded_pick(spark, d):
+    per = t(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    per = per.withColumn("hash", X.fnv1a(F.concat(F.lit("seed:"), "source")))
+    return per.select("source", "hash", F.pmod("hash", "n").alias("pick"))
+
+
+@query("""
+WITH c AS (SELECT user_id, list(CASE WHEN event_type IN ('click', 'view') THEN 'preserved' ELSE 'changed' END ORDER BY event_id) AS v, user_id % 2 = 0 AS valid, user_id % 3 = 0 AS harm FROM events GROUP BY user_id),
+     a AS (SELECT *, len(v) >= 2 AND v[1] = 'preserved' AND v[2] = 'preserved' AS yes FROM c)
+SELECT count(*) AS cases, count(*) FILTER (NOT valid AND harm AND yes) AS harmful_accepted, count(*) FILTER (NOT valid AND NOT harm AND yes) AS unnecessary_accepted, count(*) FILTER (valid AND NOT yes) AS valid_rejected,
+       round(count(*) FILTER (valid AND yes) / count(*) FILTER (valid), 3) AS correct_acceptance_rate, round(count(*) FILTER (NOT valid AND NOT yes) / count(*) FILTER (NOT valid), 3) AS correct_rejection_rate,
+       round(count(*) FILTER (NOT valid AND harm AND NOT yes) / count(*) FILTER (NOT valid AND harm), 3) AS harmful_rejection_rate, round(count(*) * 2.0, 6)::DOUBLE AS cost FROM a
+""")
+def pass_rates(spark, d):
+    e = t(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type").isin("click", "view"), "preserved").otherwise("changed").alias("v"))
+    lists = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "v"))), lambda x: x["v"]).alias("verdicts"))
+    cases = lists.withColumns({"costs": F.transform("verdicts", lambda v: F.lit(1.0)), "decision": F.when(F.col("user_id") % 2 == 0, "ACCEPT").otherwise("REJECT"), "severity": F.when(F.col("user_id") % 3 == 0, "harmful").otherwise("unnecessary")})
+    return harness.pass_metrics(cases, 2)
+
+
+@query("""
+WITH c AS (SELECT user_id AS id, count(DISTINCT event_type) > 4 AS risky, user_id % 2 = 0 AS first, user_id % 5 = 0 AS second FROM events GROUP BY user_id),
+     f AS (SELECT id, risky AND first AS escalate, CASE WHEN risky AND first THEN second ELSE first END AS final FROM c)
+SELECT count(*) AS cases, count(*) FILTER (escalate) AS escalated, count(*) FILTER (final) AS accepted, round(sum(CASE WHEN escalate THEN 4.0 ELSE 1.0 END), 6)::DOUBLE AS spent FROM f
+""")
+def escalation(spark, d):
+    word = lambda c: F.when(c, "ACCEPT").otherwise("REJECT")
+    c = t(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.countDistinct("event_type").alias("kinds"))
+    c = c.withColumns({"triggers": F.when(F.col("kinds") > 4, F.array(F.lit("risk"))).otherwise(F.array().cast("array<string>")), "first": word(F.col("id") % 2 == 0), "second": word(F.col("id") % 5 == 0), "cost": F.lit(1.0), "second_cost": F.lit(3.0)})
+    out = harness.escalated(c, rejects_too=False)
+    return out.agg(F.count(F.lit(1)).alias("cases"), F.count_if("escalate").alias("escalated"), F.count_if(F.col("final") == "ACCEPT").alias("accepted"), F.round(F.sum("spent"), 6).alias("spent"))
+
+
+@query("""
+WITH a AS (SELECT user_id AS id, arg_min(event_type, event_id) AS payload FROM events GROUP BY user_id), w AS (SELECT event_id, user_id AS id, event_type AS payload, value IS NULL AS unverified FROM events WHERE event_id % 50 = 0),
+     k AS (SELECT *, count(*) OVER (PARTITION BY id) > 1 AS twice FROM w)
+SELECT DISTINCT id, CASE WHEN twice THEN 'duplicate' WHEN unverified THEN 'unverified' WHEN a.payload <> k.payload THEN 'conflicting' END AS why FROM k LEFT JOIN a USING (id) WHERE twice OR unverified OR a.payload <> k.payload
+""")
+def acceptance_checks(spark, d):
+    e = t(spark, d, "events")
+    active = e.groupBy(F.col("user_id").alias("id")).agg(F.min_by("event_type", "event_id").alias("payload"))
+    wanted = e.where("event_id % 50 = 0").select(F.col("user_id").alias("id"), F.col("event_type").alias("payload"), F.col("value").isNull().alias("unverified"))
+    return harness.acceptance_refusals(wanted, active, unverified_ok=False)
+
+
+@query("""
+WITH k AS (SELECT user_id, string_agg(DISTINCT event_type, '+' ORDER BY event_type) AS passes FROM events GROUP BY user_id) SELECT passes, count(*) AS n FROM k GROUP BY passes
+""")
+def provenance_counts(spark, d):
+    merged = t(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("passes"))
+    return harness.provenance(merged)
+
+
+@query(r"""
+WITH x AS (SELECT conv_id, turn, text AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), y AS (SELECT conv_id, turn, b, a FROM x WHERE b IS NOT NULL UNION ALL SELECT conv_id, turn + 1000, a, ' ' || replace(a, ' ', '  ') FROM x)
+SELECT conv_id, turn, CASE WHEN trim(regexp_replace(a, '\s+', ' ', 'g')) = trim(regexp_replace(b, '\s+', ' ', 'g')) THEN 'mechanical' ELSE 'prose' END AS impact FROM y
+""")
+def edit_classes(spark, d):
+    c = t(spark, d, "conversations")
+    turns = c.select("conv_id", "turn", F.col("text").alias("a"), F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("b"))
+    spaced = c.select("conv_id", (F.col("turn") + 1000).alias("turn"), F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  "))).alias("a"), F.col("text").alias("b"))
+    rows = turns.where("b is not null").unionByName(spaced)
+    return rows.select("conv_id", "turn", guards.classify(F.col("b"), F.col("a"), lexicon.PACKS["en"]).alias("impact"))
+
+
+@query(r"""
+SELECT doc_id, (len(regexp_extract_all(text, '"[^"]*"')) + len(regexp_extract_all(text, '“[^”]*”')) + len(regexp_extract_all(text, '‘[^’]*’')))::INT AS n FROM documents WHERE regexp_matches(text, '["“‘]')
+""")
+def dialogue_counts(spark, d):
+    docs = t(spark, d, "documents").where(F.regexp_like("text", F.lit('["“‘]')))
+    marked = F.filter(segment.dialogue(F.col("text"), lexicon.PACKS["en"]), lambda s: F.regexp_like(s["text"], F.lit('^["“‘]')))
+    return docs.select("doc_id", F.size(marked).alias("n"))
+
+
+@query(r"""
+SELECT p_partkey, (lower(a) = lower(b) OR (length(a) = length(b) AND length(a) > 1 AND lower(a)[:-2] = lower(b)[:-2]) OR (length(a) >= 6 AND length(b) >= 6 AND lower(a)[1:6] = lower(b)[1:6])) AS same
+FROM (SELECT p_partkey, p_type AS a, lead(p_type) OVER (ORDER BY p_partkey) AS b FROM part WHERE p_partkey <= 500) WHERE b IS NOT NULL
+""")
+def stem_pairs(spark, d):
+    p = t(spark, d, "part").where("p_partkey <= 500").select("p_partkey", F.col("p_type").alias("a"))
+    nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b"))
+    return p.join(nxt, "p_partkey").select("p_partkey", X.same_stem(F.col("a"), F.col("b")).alias("same"))
+
+
+@query("""
+SELECT o_orderpriority AS severity, o_orderstatus AS kind, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus))
+""")
+def impact_counts(spark, d):
+    return t(spark, d, "orders").groupingSets([["o_orderpriority"], ["o_orderstatus"]], "o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n")).select(F.col("o_orderpriority").alias("severity"), F.col("o_orderstatus").alias("kind"), "n")
+
+
+# --- driver coverage: generic relational queries, no operators of this library -----------------------------------
+
+@query("""
+SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_discount, count(*) AS n
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus
+""")
+def dc_pricing_summary(spark, d):
+    li = t(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_discount"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT c_mktsegment, o_orderkey, o_totalprice FROM (SELECT c_mktsegment, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders JOIN customer ON o_custkey = c_custkey) WHERE k <= 5
+""")
+def dc_top_orders(spark, d):
+    rows = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    w = Window.partitionBy("c_mktsegment").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return rows.withColumn("k", F.row_number().over(w)).where("k <= 5").select("c_mktsegment", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts)::DATE AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def dc_event_days(spark, d):
+    return t(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query()
 def rule_pipeline(spark, d):
     """All rules over all English documents: book-wide statistics, drafts, proposals."""
