@@ -34,8 +34,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import scratch_dir, ship, table, trim
 
 BLOCK = 64  # bytes of bitmap for each entry of the directory
-CACHED = 150_000
-MASK = (1 << 22) - 1
+CACHED = 300_000
 CUTS = ("\n", ",", ".")
 #: Letters that stand for bytes in a byte-level vocabulary: a byte that prints stands for itself, the others follow 255.
 _OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -111,14 +110,25 @@ class Codes:
         return out
 
 
+class Known(dict):
+    """Ids of pieces, kept or made."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.make(piece)
+
+
 class Encoder:
     """The tokenizers library, with the ids of frequent words kept.
 
     A byte-level vocabulary never merges across the space before a word, nor from a letter or digit into a mark, so a
-    text is cut before single spaces, line feeds, commas and full stops. Pieces seen before are looked up, and the
-    others of many texts are encoded in one call. In a run of marks the pattern takes more than one character, so texts
-    with such runs are cut at spaces and line feeds alone; those with runs of white space go to the library whole. The cache is bounded by ``CACHED`` pieces of 40
-    characters, each of which has been met in two calls.
+    text is cut before single spaces, line feeds, commas and full stops, and its pieces are looked up. A new piece of
+    letters, which the pattern keeps whole, goes to the library's model alone; any other to the whole tokenizer. In a
+    run of marks the pattern takes more than one character, so texts with such runs are cut at spaces and line feeds
+    alone; those with runs of white space are not cut. At most ``CACHED`` pieces of 40 characters are kept.
     """
 
     def __init__(self, path: str, cached: int = CACHED):
@@ -127,101 +137,86 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a text that spells a special token is text
-        n = self.tokenizer.get_vocab_size()
-        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0][:1]
-        self.space, self.model = space, self.tokenizer.model
-        self.cuts = dict(zip(CUTS, self._whole(list(CUTS)), strict=True))
-        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(n)])
-        self.known: dict[str, bytes] = {}
-        self.seen = bytearray(MASK + 1)
+        self.model = self.tokenizer.model
+        self.space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0][:1]
+        self.cuts = {c: self._whole(c) for c in CUTS}
         self.cached, self.unsafe = cached, re.compile(r"\s\s")
+        self.run, self.marks = False, set()  # of the text at hand
+        self.known, self.heads, self.single = Known(self._piece), Known(self._head), Known(self._mark)
+        self.marked: dict[str, bytes] = {}  # pieces that end in a mark: the text has to be looked at where they are met
 
     def forget(self) -> None:
         """Frees the words kept: a worker process goes on to other tasks."""
-        self.known.clear()
-        self.seen = bytearray(MASK + 1)
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of pieces, none empty: each after a space, but for those that start with one of ``CUTS``."""
-        out, rest = {}, []
-        for w in words:
-            if w.isalpha():
-                out[w] = self._letters(w, self.space)
-            elif w[0] in CUTS and w[1:].isalpha():
-                out[w] = self.cuts[w[0]] + self._letters(w[1:], "")
-            else:
-                rest.append(w)
-        bare = [w for w in rest if w[0] in CUTS]
-        out.update(zip(bare, self._whole(bare), strict=True))
-        rest = [w for w in rest if w[0] not in CUTS]
-        if not rest:
-            return out
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(rest)], add_special_tokens=False)[0].ids, "<u4")
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) != len(rest):  # not this vocabulary's way: one by one
-            return out | dict(zip(rest, self._whole([" " + w for w in rest]), strict=True))
-        data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-        out.update((w, data[x:y]) for w, x, y in zip(rest, cuts, cuts[1:], strict=False))
-        return out
+        for kept in (self.known, self.heads, self.marked):
+            kept.clear()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _letters(self, word: str, lead: str) -> bytes:
-        """Ids of a word of letters, which the pattern keeps whole: the library's model alone, on the bytes' own letters."""
         text = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
         return array("I", [t.id for t in self.model.tokenize(lead + text)]).tobytes()
 
-    def _apart(self, t: str) -> bool:
-        """Whether no cut falls into what the pattern takes together, so far as it can be told without the pieces."""
-        return not (t[0].isspace() or t[-1].isspace() or " ," in t or " ." in t or ",," in t or ".." in t or ",." in t or ".," in t or self.unsafe.search(t))
-
-    @staticmethod
-    def _run(pieces: list[str], k: int) -> bool:
-        """Whether a comma or full stop at either end of a piece stands in a run of marks."""
-        w = pieces[k]
-        if len(w) > 1 and w[0] in ",.":
-            return not w[1].isalnum()
-        return bool(w) and w not in CUTS and not w[-1].isalnum() and k + 1 < len(pieces) and pieces[k + 1][0] in ",."
+    def _piece(self, w: str) -> bytes:
+        """Ids of a piece: after a space, unless it starts with one of ``CUTS``."""
+        if w.isalpha():
+            ids = self._letters(w, self.space)
+        elif w[0] in CUTS:
+            rest = w[1:]
+            if rest and w[0] != "\n" and not rest[0].isalnum():
+                self.run = True
+                return b""
+            ids = self.cuts[w[0]] if not rest else self.cuts[w[0]] + self._letters(rest, "") if rest.isalpha() else self._whole(w)
+        elif w in self.marked:
+            self.marks.add(w[-1])
+            return self.marked[w]
+        elif w[:-1].isalpha() and not w[-1].isalnum():
+            ids = self.known[w[:-1]] + self.single[w[-1]]
+        else:
+            ids = self._whole(" " + w)
+        into = self.known
+        if not (w[-1].isalnum() or w in CUTS):
+            self.marks.add(w[-1])
+            into = self.marked
+        if len(self.known) + len(self.marked) < self.cached and len(w) <= 40:
+            into[w] = ids
+        return ids
+
+    def _mark(self, c: str) -> bytes:
+        if len(self.single) < 1000:
+            self.single[c] = self._whole(c)
+            return self.single[c]
+        return self._whole(c)
+
+    def _head(self, w: str) -> bytes:
+        """Ids of what a text starts with."""
+        ids = b"" if not w else self._letters(w, "") if w.isalpha() else self._whole(w)
+        if w and not w[-1].isalnum():
+            self.marks.add(w[-1])
+        elif len(self.heads) < 20_000 and len(w) <= 40:
+            self.heads[w] = ids
+        return ids
+
+    def _cut(self, pieces: list[str]) -> list[bytes]:
+        got = [self.heads[pieces[0]]]
+        got += map(self.known.__getitem__, pieces[1:])
+        return got
+
+    def encode(self, t: str) -> np.ndarray:
+        if not t:
+            return np.zeros(0, "<u4")
+        if t[0].isspace() or t[-1].isspace() or " ," in t or " ." in t or ",," in t or ".." in t or ",." in t or ".," in t or self.unsafe.search(t):
+            return np.frombuffer(self._whole(t), "<u4")
+        lines = t.replace("\n", " \n")
+        pieces = lines.replace(",", " ,").replace(".", " .").split(" ")
+        self.run, self.marks = False, set()
+        got = self._cut(pieces)
+        if self.run or any(c + "," in t or c + "." in t for c in self.marks):
+            got = self._cut(lines.split(" "))  # a comma or full stop stands in a run of marks
+        return np.frombuffer(b"".join(got), "<u4")
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        get, out, cut, whole, new = self.known.get, [None] * len(texts), [], [], set()
-        for i, t in enumerate(texts):
-            if not t:
-                out[i] = b""
-                continue
-            if not self._apart(t):
-                whole.append(i)
-                continue
-            lines = t.replace("\n", " \n")
-            pieces = lines.replace(",", " ,").replace(".", " .").split(" ")
-            got = list(map(get, pieces))
-            got[0] = b""  # the first has no space before it
-            missed = [k for k, g in enumerate(got) if g is None]
-            odd = [k for k in missed if not pieces[k].isalpha()]
-            if any(self._run(pieces, k) for k in (0, *odd)):  # cut at spaces and line feeds alone
-                pieces = lines.split(" ")
-                got = list(map(get, pieces))
-                got[0] = b""
-                missed = [k for k, g in enumerate(got) if g is None]
-            new.update([pieces[k] for k in missed])
-            cut.append((i, pieces, got, missed))
-        fresh = self._new(list(new)) if new else {}
-        for (i, pieces, got, missed), head in zip(cut, self._whole([c[1][0] for c in cut]), strict=True):
-            for k in missed:
-                got[k] = fresh[pieces[k]]
-            got[0] = head
-            out[i] = b"".join(got)
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        if len(self.known) < self.cached:
-            seen = self.seen
-            for w, ids in fresh.items():  # a piece is kept when it is met again; one that ends in a mark is looked at each time
-                at = hash(w) & MASK
-                if seen[at] and len(w) <= 40 and (w in CUTS or w[-1].isalnum()):
-                    self.known[w] = ids
-                seen[at] = 1
-        return [np.frombuffer(x, "<u4") for x in out]
+        return [self.encode(t) for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}
