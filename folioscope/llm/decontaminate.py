@@ -89,11 +89,11 @@ def contamination(
         # Next to a broadcast set the words stay in the row and are cut at hits only; a row to be shuffled takes its window
         # along and nothing else.
         cut = F.when(F.col("pos") >= 0, F.slice("words", F.col("pos") + 1, F.greatest(F.col("len"), F.lit(1)))).otherwise(F.array().cast("array<string>"))
-        flat = flat.withColumn("n_words", F.size("words").cast("long"))
-        flat = flat if small_set else flat.withColumn("own", cut).drop("words")
+        size = F.size("words").cast("long") if small_set else F.col("n_words")
+        flat = flat if small_set else flat.withColumn("n_words", F.size("words").cast("long")).withColumn("own", cut).drop("words")
         met = flat.join(grams, (F.col("h") == F.col("key")) & (F.col("len") == F.col("glen")))
         met = met.where((cut if small_set else F.col("own")) == F.col("gram"))
-        start = met.select("id", "x", "n_words", F.when(F.col("pos") >= 0, F.col("pos")).alias("pos"), F.col("len"), "items")
+        start = met.select("id", "x", size.alias("n_words"), F.when(F.col("pos") >= 0, F.col("pos")).alias("pos"), F.col("len"), "items")
     hit = F.when(F.col("pos").isNotNull(), F.struct("pos", (F.col("pos") + F.col("len")).alias("end")))
     whole = start.groupBy("id", "x", "n_words").agg(
         F.count(F.when(F.col("pos").isNull(), 1)).cast("int").alias("rows"),
