@@ -175,10 +175,17 @@ def fit_model(counts: pd.DataFrame, pieces: list[str], rounds: int = 4, smooth:
 
 def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, words: int) -> pd.DataFrame:
     """(lang, word, n) of a bounded sample: of each language ``per_language`` documents, those with the least hash of
-    their id, and the ``words`` most frequent words among them."""
+    their id, and the ``words`` most frequent words among them.
+
+    A cut on the hash, from the language's number of documents, leaves about four times as many to be ranked.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    draw = Window.partitionBy("lang").orderBy(F.xxhash64(F.col(id_col)), id_col)
-    chosen = rows.select(F.col(lang_col).alias("lang"), id_col).withColumn("k", F.row_number().over(draw)).where(F.col("k") <= per_language)
+    drawn = rows.select(F.col(lang_col).alias("lang"), id_col, F.xxhash64(F.col(id_col)).alias("h"))
+    sizes = drawn.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count(F.lit(1))).alias("share"))
+    drawn = drawn.join(F.broadcast(sizes), "lang")  # a row for each language
+    drawn = drawn.where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share"))
+    draw = Window.partitionBy("lang").orderBy("h", id_col)
+    chosen = drawn.withColumn("k", F.row_number().over(draw)).where(F.col("k") <= per_language)
     chosen = F.broadcast(chosen.select(F.col(id_col).alias("_id"), F.col("lang").alias("_lang")).distinct())  # per_language ids for each language
     sample = rows.join(chosen, (rows[id_col] == chosen["_id"]) & (rows[lang_col] == chosen["_lang"]))
     split = F.split(F.lower(F.col(text_col)), r"\s+")

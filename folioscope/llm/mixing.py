@@ -3,7 +3,7 @@
 Every document of a source has the same expected number of copies (target / size of the source). The documents are
 laid out in one order, those expectations are summed along it, one offset is added, and a document is emitted once
 for each whole number its stretch of the sum crosses. Ordered by size, neighbours in the order are alike, so the
-words taken stay close to the target. The order's prefix sums are taken in three steps (bands of sizes, cells of one
+words taken stay close to the target. The order's prefix sums are taken in three steps (sizes of a source, cells of one
 size, rows), so no task ever sorts a whole source.
 """
 
@@ -69,11 +69,11 @@ def mix_plan(
     deal = F.pmod(F.coalesce(F.col("id"), F.lit(0)), F.lit(256)).cast("int")
     rows = rows.join(F.broadcast(strata), ["skey", "size"], "left").withColumn("cell", F.when(F.col("dealt").isNotNull(), deal).otherwise(-1))
     rows = rows.select("id", "skey", "size", "cell", deal.alias("deal"))
-    cells = rows.groupBy("skey", "size", "cell").count().withColumn("band", F.expr("size div 50"))
-    bands = cells.groupBy("skey", "band").agg(F.sum("count").alias("held"))
-    bands = bands.select("skey", "band", (F.sum("held").over(Window.partitionBy("skey").orderBy(F.desc("band"))) - F.col("held")).alias("band_from"))
-    within = F.sum("count").over(Window.partitionBy("skey", "band").orderBy(F.desc("size"), "cell")) - F.col("count")
-    cells = cells.withColumn("cell_from", within).join(bands, ["skey", "band"])
+    cells = rows.groupBy("skey", "size", "cell").count()
+    bands = cells.groupBy("skey", "size").agg(F.sum("count").alias("held"))
+    bands = bands.select("skey", "size", (F.sum("held").over(Window.partitionBy("skey").orderBy(F.desc("size"))) - F.col("held")).alias("band_from"))
+    within = F.sum("count").over(Window.partitionBy("skey", "size").orderBy("cell")) - F.col("count")
+    cells = cells.withColumn("cell_from", within).join(bands, ["skey", "size"])
     cells = cells.join(F.broadcast(targets) if few else targets, "skey")
     cells = cells.select("skey", "size", "cell", (F.col("band_from") + F.col("cell_from")).alias("base"), "source_size", "target")
     order = Window.partitionBy("skey", "size", "cell").orderBy("deal", "id")
