@@ -140,7 +140,8 @@ class Encoder:
         self.model = self.tokenizer.model
         self.space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0][:1]
         self.cuts = {c: self._whole(c) for c in CUTS}
-        self.cached, self.unsafe = cached, re.compile(r"\s\s")
+        self.cached = cached
+        self.together = re.compile(r"\s[\s,.]|[,.][,.]")  # what no cut may fall into
         self.run, self.marks = False, set()  # of the text at hand
         self.known, self.heads, self.single = Known(self._piece), Known(self._head), Known(self._mark)
         self.marked: dict[str, bytes] = {}  # pieces that end in a mark: the text has to be looked at where they are met
@@ -205,7 +206,7 @@ class Encoder:
     def encode(self, t: str) -> np.ndarray:
         if not t:
             return np.zeros(0, "<u4")
-        if t[0].isspace() or t[-1].isspace() or " ," in t or " ." in t or ",," in t or ".." in t or ",." in t or ".," in t or self.unsafe.search(t):
+        if t[0].isspace() or t[-1].isspace() or self.together.search(t):
             return np.frombuffer(self._whole(t), "<u4")
         lines = t.replace("\n", " \n")
         pieces = lines.replace(",", " ,").replace(".", " .").split(" ")
@@ -244,12 +245,13 @@ def write_tokens(
     text_col: str = "text",
     shards: int | None = None,
     segment: int = 1 << 18,
+    cached: int = CACHED,
 ) -> None:
     """Encodes every text and writes the ids, each document closed by ``end_id``, in ascending order of ids.
 
     A null text is empty; null ids come first; rows that repeat an id follow each other in order of their texts.
     Documents are ranged over ``shards`` (about 32 MB of text each unless given); a segment is closed at the first
-    document that takes it to ``segment`` tokens. An empty table writes an empty table. Other columns are ignored.
+    document that takes it to ``segment`` tokens. A worker keeps the ids of ``cached`` pieces (about 200 bytes each). An empty table writes an empty table. Other columns are ignored.
     """
     ship(docs.sparkSession)
     tokenizer = tokenizer or vocabulary()
@@ -259,6 +261,7 @@ def write_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, seg = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc.cached = cached
         names: list[int | None] = []
         ends: list[int] = []
         held: list[np.ndarray] = []
@@ -350,4 +353,4 @@ def encode_documents(docs: DataFrame, path: str | None = None, **options) -> Dat
 
 def op3(spark, sf_dir: str) -> DataFrame:
     """Query op3_token_codes: every row of ``documents``, read back from the files."""
-    return encode_documents(table(spark, sf_dir, "documents"))
+    return encode_documents(table(spark, sf_dir, "documents"), cached=500_000)
