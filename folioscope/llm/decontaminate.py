@@ -92,7 +92,8 @@ def contamination(
         size = F.size("words").cast("long") if small_set else F.col("n_words")
         flat = flat if small_set else flat.withColumn("n_words", F.size("words").cast("long")).withColumn("own", cut).drop("words")
         met = flat.join(grams, (F.col("h") == F.col("key")) & (F.col("len") == F.col("glen")))
-        met = met.where((cut if small_set else F.col("own")) == F.col("gram"))
+        # not a plain equality next to a broadcast set: it would become a key of the join and be made for every row
+        met = met.where((F.col("pos") < 0) | (cut == F.col("gram")) if small_set else F.col("own") == F.col("gram"))
         start = met.select("id", "x", size.alias("n_words"), F.when(F.col("pos") >= 0, F.col("pos")).alias("pos"), F.col("len"), "items")
     hit = F.when(F.col("pos").isNotNull(), F.struct("pos", (F.col("pos") + F.col("len")).alias("end")))
     whole = start.groupBy("id", "x", "n_words").agg(
