@@ -37,5 +37,5 @@ def acceptances(log: DataFrame) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str, files_a_batch: int = 1) -> DataFrame:
-    """A journal of JSON lines as a stream."""
+    """A journal of JSON lines as a stream; files come in order of their times, as a journal is appended to."""
     return spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_a_batch).json(path)

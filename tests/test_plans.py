@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,6 +175,7 @@ def test_stream(spark, tmp_path):
     lines = [[("a", 1, "accept", "x"), ("b", 2, "accept", "x")], [("a", 3, "withdraw", None), ("b", 4, "accept", "y")], [("a", 5, "accept", "z")]]
     for i, part in enumerate(lines):
         (path / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("id", "line", "event", "payload"), r, strict=True))) for r in part))
+        os.utime(path / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files are taken in order of their times
     q = folds.acceptances(folds.read_log(spark, str(path))).writeStream.outputMode("update").format("memory").queryName("folded").trigger(availableNow=True).start()
     q.awaitTermination(90)
     last = {}
