@@ -379,6 +379,27 @@ def test_crowded_passage(spark):
     assert {x for r in got for x in (r.doc_id, r.partner_id)} == set(range(40)) and {r.class_id for r in got} == {0}
 
 
+def test_edited_copies_of_a_crowded_passage(spark):
+    """Copies changed in the middle share 22 words on no side with most others, and aren't like each other."""
+    passage = prose(300, 50).split()
+    rows = [(0, f"{prose(4000, 30)} {' '.join(passage)} {prose(5000, 30)}")]
+    for i in range(1, 17):
+        copy = [*passage]
+        copy[23 + i % 4] = f"changed{i}"
+        rows.append((i, f"{prose(4000 + i, 30)} {' '.join(copy)} {prose(5000 + i, 30)}"))
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {frozenset((r.doc_id, r.partner_id)) for r in got} >= {frozenset((0, i)) for i in range(1, 17)}
+    assert {r.class_id for r in got} == {0}
+
+
+def test_blocks_give_every_pair_once(spark):
+    rows = [(1, i % 7, 0, 0, 50 + i, 120, 11) for i in range(11)] + [(2, i, 1, 0, 60, 120, 2) for i in range(2)]
+    found = spark.createDataFrame(rows, "key long, uid long, f int, l int, c int, r int, count long")
+    got = sorted((r.a, r.ca, r.b, r.cb) for r in substring_dedup._links(found, 46, 3).collect())
+    want = sorted((x[1], x[4], y[1], y[4]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1])
+    assert got == want
+
+
 def test_windows():
     r = np.random.default_rng(0)
     for values in (r.integers(0, 9, 60), r.permutation(60), np.zeros(60, int)):
