@@ -507,9 +507,17 @@ def slugs(spark, d):
 
 @query("SELECT doc_id, (length(text) - length(replace(text, 'e', 'ee')))::INT AS delta, replace(text, 'ed ', 'ing ') AS text FROM documents WHERE doc_id < 200")
 def edit_plan_splice(spark, d):
+    return _spliced(t(spark, d, "documents").where("doc_id < 200"))
+
+
+@query("SELECT doc_id, (length(text) - length(replace(text, 'e', 'ee')))::INT AS delta, replace(text, 'ed ', 'ing ') AS text FROM documents")
+def edit_plan_splice_all(spark, d):
+    return _spliced(t(spark, d, "documents"))
+
+
+def _spliced(docs):
     text = F.col("text")
     edits = F.transform(occurrences(text, F.lit("ed ")), lambda s: F.struct(s.alias("start"), (s + 3).alias("end"), F.lit("ing ").alias("replacement")))
-    docs = t(spark, d, "documents").where("doc_id < 200")
     return docs.select("doc_id", (F.length(text) - F.length(F.replace(text, F.lit("e"), F.lit("ee")))).alias("delta"), X.splice(text, edits).alias("text"))
 
 
