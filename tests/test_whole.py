@@ -12,3 +12,9 @@ def test_splice_past_the_first_ids(spark, tmp_path):
     data = [(7, "he mended it"), (200, "ended, ended "), (5000, "ed ed no")]
     got = rows(spark, tmp_path, "documents", data, "doc_id long, text string", "edit_plan_splice_all")
     assert got == sorted((i, -s.count("e"), s.replace("ed ", "ing ")) for i, s in data)
+
+
+def test_ledger_of_all_users(spark, tmp_path):
+    data = [(3, "click", 1.5), (4, "click", 2.0), (15, "view", 1.0), (13, "view", None), (20, "signup", 0.25)]
+    got = rows(spark, tmp_path, "events", data, "user_id long, event_type string, value double", "ledger_totals_all")
+    assert got == [("click", 3.5, 2), ("signup", 0.25, 1), ("view", None, 2)]  # a type with an open cost has no total
