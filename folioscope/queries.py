@@ -649,8 +649,22 @@ SELECT DISTINCT id, CASE WHEN twice THEN 'duplicate' WHEN unverified THEN 'unver
 """)
 def acceptance_checks(spark, d):
     e = t(spark, d, "events")
+    return _refused(e, e.where("event_id % 50 = 0"))
+
+
+@query("""
+WITH a AS (SELECT user_id AS id, arg_min(event_type, event_id) AS payload FROM events GROUP BY user_id), w AS (SELECT event_id, user_id AS id, event_type AS payload, value IS NULL AS unverified FROM events),
+     k AS (SELECT *, count(*) OVER (PARTITION BY id) > 1 AS twice FROM w)
+SELECT DISTINCT id, CASE WHEN twice THEN 'duplicate' WHEN unverified THEN 'unverified' WHEN a.payload <> k.payload THEN 'conflicting' END AS why FROM k LEFT JOIN a USING (id) WHERE twice OR unverified OR a.payload <> k.payload
+""")
+def acceptance_checks_all(spark, d):
+    e = t(spark, d, "events")
+    return _refused(e, e)
+
+
+def _refused(e, asked):
     active = e.groupBy(F.col("user_id").alias("id")).agg(F.min_by("event_type", "event_id").alias("payload"))
-    wanted = e.where("event_id % 50 = 0").select(F.col("user_id").alias("id"), F.col("event_type").alias("payload"), F.col("value").isNull().alias("unverified"))
+    wanted = asked.select(F.col("user_id").alias("id"), F.col("event_type").alias("payload"), F.col("value").isNull().alias("unverified"))
     return harness.acceptance_refusals(wanted, active, unverified_ok=False)
 
 
@@ -688,7 +702,19 @@ SELECT p_partkey, (lower(a) = lower(b) OR (length(a) = length(b) AND length(a) >
 FROM (SELECT p_partkey, p_type AS a, lead(p_type) OVER (ORDER BY p_partkey) AS b FROM part WHERE p_partkey <= 500) WHERE b IS NOT NULL
 """)
 def stem_pairs(spark, d):
-    p = t(spark, d, "part").where("p_partkey <= 500").select("p_partkey", F.col("p_type").alias("a"))
+    return _neighbours(t(spark, d, "part").where("p_partkey <= 500"))
+
+
+@query("""
+SELECT p_partkey, (lower(a) = lower(b) OR (length(a) = length(b) AND length(a) > 1 AND lower(a)[:-2] = lower(b)[:-2]) OR (length(a) >= 6 AND length(b) >= 6 AND lower(a)[1:6] = lower(b)[1:6])) AS same
+FROM (SELECT x.p_partkey, x.p_type AS a, y.p_type AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1)
+""")
+def stem_pairs_all(spark, d):
+    return _neighbours(t(spark, d, "part"))
+
+
+def _neighbours(part):
+    p = part.select("p_partkey", F.col("p_type").alias("a"))
     nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b"))
     return p.join(nxt, "p_partkey").select("p_partkey", X.same_stem(F.col("a"), F.col("b")).alias("same"))
 
