@@ -331,15 +331,15 @@ def score_documents(
     classes: int = 30,
     hidden: int = 16,
     frequent: int = 150_000,
-    train_parts: int = 8,
+    train_parts: int = 1,
     rounds: int = 2,
     rate: float = 0.01,
 ) -> DataFrame:
     """One row for each input row: id, the columns of ``keep``, n_tokens, n_known, train_tokens, base_score, score.
 
     A token is a word (A-Z lower-cased) or the one end of each text; a null text has the end alone. Word counts come from
-    all of ``train``; the network is fitted on one in ``train_parts`` of its rows (by hash of the text), a share that
-    grows with it. Without training rows every token is unknown. Rows that repeat are scored alike, each for itself;
+    all of ``train``, and the network is fitted on all of its rows; ``train_parts`` above 1 leaves it one in so many (by
+    hash of the text). Without training rows every token is unknown. Rows that repeat are scored alike, each for itself;
     an empty table gives an empty result; other columns are ignored.
     """
     ship(docs.sparkSession)
@@ -362,7 +362,8 @@ def score_documents(
     held, raw = np.zeros(shapes), np.zeros(shapes)
     for s, k, h in outside:
         held[s], raw[s] = h, k
-    net = fit(train.where(F.pmod(F.xxhash64(text_col), F.lit(train_parts)) == 0), lay, np.concatenate([amount[:vocab], [ends], raw]), text_col, hidden, rounds, rate)
+    fitted = train.where(F.pmod(F.xxhash64(text_col), F.lit(train_parts)) == 0) if train_parts > 1 else train
+    net = fit(fitted, lay, np.concatenate([amount[:vocab], [ends], raw]), text_col, hidden, rounds, rate)
     # id in the network and log10 of what the count adds, for each frequent word
     ids = [i if i < vocab else lay.end + 1 + bucket(w, shapes) for w, i in common.items()]
     within = [0.0 if i < vocab else float(np.log10((amount[i] + 1) / (held[bucket(w, shapes)] + 1))) for w, i in common.items()]

@@ -320,6 +320,16 @@ def test_lm(spark, docs):
     assert len(none) == len(got) and all(r.n_known == 0 and r.train_tokens == 0 for r in none)
 
 
+def test_network_is_fitted_on_every_training_row(spark, monkeypatch):
+    rows = [(i, prose(600 + i // 3, 20)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+    seen, fit = [], lm_score.fit
+    monkeypatch.setattr(lm_score, "fit", lambda train, *a, **k: seen.extend(r.text for r in train.select("text").collect()) or fit(train, *a, **k))
+    monkeypatch.setattr(lm_score, "table", lambda *_: docs.drop("held_out"))
+    assert lm_score.op6(spark, "").count() == 60
+    assert sorted(seen) == sorted(r.text for r in docs.where("not held_out").collect())
+
+
 def test_network_is_a_distribution():
     lay = lm_score.layout([b"a", b"b", b"c", b"d", b"e"], [5, 4, 3, 2, 1], 3, 2)
     net = lm_score.Network(lay, 4)
