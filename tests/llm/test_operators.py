@@ -410,6 +410,21 @@ def test_blocks_give_every_pair_once(spark):
     assert got == want
 
 
+def test_passage_with_a_phrase_that_comes_again():
+    r = np.random.default_rng(7)
+    new = lambda n: r.integers(0, 1 << 30, n).astype(np.int32)
+    p, q = new(56), new(60)
+    for far in (90, 300):
+        edited = np.concatenate([p[:25], new(5), p[30:]])
+        other = np.concatenate([q[:28], new(5), q[33:]])
+        x = np.concatenate([p, new(40), q])
+        y = np.concatenate([edited, new(40), other, new(far), p[10:11], new(3), q[3:4]])
+        got = substring_dedup.matching(x, y, 46, 0.8)
+        assert sorted(g[:4] for g in got) == [(0, 56, 0, 56), (96, 156, 96, 156)]
+        assert sorted(g[:2] for g in substring_dedup.matching(y, x, 46, 0.8)) == [(0, 56), (96, 156)]
+        assert all(g[4] >= 0.8 for g in got)
+
+
 def test_windows():
     r = np.random.default_rng(0)
     for values in (r.integers(0, 9, 60), r.permutation(60), np.zeros(60, int)):
