@@ -258,6 +258,17 @@ def occurrence_ordinals(spark, d):
     return docs.select("doc_id", occurrence_before(text, F.lit("the"), F.lit(200)).alias("ordinal"), line_and_place(text, F.lit(200)).alias("line"))
 
 
+@query("""
+WITH g AS (SELECT doc_id, unnest(string_split(text, 'the')) AS gap, generate_subscripts(string_split(text, 'the'), 1) AS i FROM documents),
+     m AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id) AS n, sum(length(gap)) OVER w AS chars, sum(length(gap) - length(replace(gap, chr(10), ''))) OVER w AS breaks FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, (chars + 3 * (i - 1))::INT AS start, (i - 1)::INT AS ordinal, (1 + breaks)::INT AS line FROM m WHERE i < n
+""")
+def occurrence_ordinals_all(spark, d):
+    text, the = F.col("text"), F.lit("the")
+    place = lambda s: F.struct(s.alias("start"), occurrence_before(text, the, s).alias("ordinal"), line_and_place(text, s).alias("line"))
+    return t(spark, d, "documents").select("doc_id", F.explode(F.transform(occurrences(text, the), place)).alias("m")).select("doc_id", "m.*")
+
+
 _I = "(SELECT user_id, event_id, epoch_us(ts) AS s, epoch_us(ts) + 21600000000 AS e FROM events)"
 
 

@@ -30,3 +30,13 @@ def test_every_event_is_checked(spark, tmp_path):
     data = [(1, 1, "view", 1.0), (7, 2, "view", None), (3, 3, "view", 1.0), (9, 3, "click", 1.0)]
     got = rows(spark, tmp_path, "events", data, "event_id long, user_id long, event_type string, value double", "acceptance_checks_all")
     assert got == [(2, "unverified"), (3, "duplicate")]
+
+
+def test_ordinals_of_every_match(spark, tmp_path):
+    data = [(1, "the"), (2, "no"), (3, "x" * 300 + "the\n" + "y" * 300 + "thethe\n\nother \U0001f600 the")]
+    got = rows(spark, tmp_path, "documents", data, "doc_id long, text string", "occurrence_ordinals_all")
+    want = []
+    for i, s in data:
+        starts = [k for k in range(len(s)) if s.startswith("the", k)]
+        want += [(i, k, n, 1 + s[:k].count("\n")) for n, k in enumerate(starts)]
+    assert got == want
