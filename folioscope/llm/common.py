@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,8 +76,6 @@ def trim() -> None:
     import ctypes
     import gc
 
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -84,6 +84,20 @@ def trim() -> None:
         pass
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 1 << 24) -> Iterator[list[pa.Array]]:
+    """Columns of about ``most`` bytes at a time, or of one batch: what repeats in them is then met once."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield [pa.concat_arrays(c) for c in zip(*(x.columns for x in held), strict=True)]
+            held, size = [], 0
+    if held:
+        yield [pa.concat_arrays(c) for c in zip(*(x.columns for x in held), strict=True)]
+
+
 def lower_ascii(text):
     """Lower-cases A-Z only; a plain-ASCII text takes the byte-wise way."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -24,18 +24,19 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import scratch_dir, ship, table, trim
+from folioscope.llm.common import gathered, scratch_dir, ship, table, trim
 
 BLOCK = 64  # bytes of bitmap for each entry of the directory
-CACHED = 300_000
-CUTS = ("\n", ",", ".")
+CACHED = 500_000
 #: Letters that stand for bytes in a byte-level vocabulary: a byte that prints stands for itself, the others follow 255.
 _OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
@@ -110,25 +111,22 @@ class Codes:
         return out
 
 
-class Known(dict):
-    """Ids of pieces, kept or made."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.make(piece)
+#: White space of the pattern that cuts a text before the merges (Unicode's White_Space).
+WHITE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PIECE = re.compile(f"[^{WHITE}]+|[{WHITE}]+[^{WHITE}]*")
+LATE = "\u0530"  # letters before it are known to every version of the pattern's tables
+START = "\x01"  # stands before a piece that has no space before it
 
 
 class Encoder:
-    """The tokenizers library, with the ids of frequent words kept.
-
-    A byte-level vocabulary never merges across the space before a word, nor from a letter or digit into a mark, so a
-    text is cut before single spaces, line feeds, commas and full stops, and its pieces are looked up. A new piece of
-    letters, which the pattern keeps whole, goes to the library's model alone; any other to the whole tokenizer. In a
-    run of marks the pattern takes more than one character, so texts with such runs are cut at spaces and line feeds
-    alone; those with runs of white space are not cut. At most ``CACHED`` pieces of 40 characters are kept.
+    """The tokenizers library, each distinct piece of a batch encoded once.
+
+    A byte-level vocabulary never merges across the beginning of white space, so texts are cut there, in Arrow, and only
+    the distinct pieces of a batch come to Python. A new word goes to the library's model, which is all that is left to do
+    for it; other new pieces go to the library in one text, which is cut again where its ids begin with a space or a line
+    feed. Texts with long runs of white space, where a space may belong to the one before it, are cut at the runs; texts
+    that spell a special token go to the library as they are. Pieces are kept from batch to batch until there are more than
+    ``cached`` of them.
     """
 
     def __init__(self, path: str, cached: int = CACHED):
@@ -136,88 +134,126 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a text that spells a special token is text
-        self.model = self.tokenizer.model
-        self.space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0][:1]
-        self.cuts = {c: self._whole(c) for c in CUTS}
+        whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join(map(re.escape, [*whole, "\x00", START]))
+        self.runs = f"[{WHITE}]{{3}}|[{WHITE}]{{2}}$"
+        self.first = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        begins = tuple(self.tokenizer.encode(c, add_special_tokens=False).tokens[0] for c in " \n")
+        self.first[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(begins)]] = True
+        self.model, self.space = self.tokenizer.model, begins[0]
+        self.marks = {c: ids.tolist() for c, ids in zip(".,;:!?", self._all([*".,;:!?"]), strict=True)}
         self.cached = cached
-        self.together = re.compile(r"\s[\s,.]|[,.][,.]")  # what no cut may fall into
-        self.run, self.marks = False, set()  # of the text at hand
-        self.known, self.heads, self.single = Known(self._piece), Known(self._head), Known(self._mark)
-        self.marked: dict[str, bytes] = {}  # pieces that end in a mark: the text has to be looked at where they are met
+        self.forget()
 
     def forget(self) -> None:
-        """Frees the words kept: a worker process goes on to other tasks."""
-        for kept in (self.known, self.heads, self.marked):
-            kept.clear()
-
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _letters(self, word: str, lead: str) -> bytes:
-        text = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
-        return array("I", [t.id for t in self.model.tokenize(lead + text)]).tobytes()
-
-    def _piece(self, w: str) -> bytes:
-        """Ids of a piece: after a space, unless it starts with one of ``CUTS``."""
-        if w.isalpha():
-            ids = self._letters(w, self.space)
-        elif w[0] in CUTS:
-            rest = w[1:]
-            if rest and w[0] != "\n" and not rest[0].isalnum():
-                self.run = True
-                return b""
-            ids = self.cuts[w[0]] if not rest else self.cuts[w[0]] + self._letters(rest, "") if rest.isalpha() else self._whole(w)
-        elif w in self.marked:
-            self.marks.add(w[-1])
-            return self.marked[w]
-        elif w[:-1].isalpha() and not w[-1].isalnum():
-            ids = self.known[w[:-1]] + self.single[w[-1]]
-        else:
-            ids = self._whole(" " + w)
-        into = self.known
-        if not (w[-1].isalnum() or w in CUTS):
-            self.marks.add(w[-1])
-            into = self.marked
-        if len(self.known) + len(self.marked) < self.cached and len(w) <= 40:
-            into[w] = ids
-        return ids
-
-    def _mark(self, c: str) -> bytes:
-        if len(self.single) < 1000:
-            self.single[c] = self._whole(c)
-            return self.single[c]
-        return self._whole(c)
-
-    def _head(self, w: str) -> bytes:
-        """Ids of what a text starts with."""
-        ids = b"" if not w else self._letters(w, "") if w.isalpha() else self._whole(w)
-        if w and not w[-1].isalnum():
-            self.marks.add(w[-1])
-        elif len(self.heads) < 20_000 and len(w) <= 40:
-            self.heads[w] = ids
-        return ids
-
-    def _cut(self, pieces: list[str]) -> list[bytes]:
-        got = [self.heads[pieces[0]]]
-        got += map(self.known.__getitem__, pieces[1:])
+        """Frees the pieces kept: a worker process goes on to other tasks."""
+        self.known: dict[str, int] = {}  # place of a piece in ends; its ids are flat[ends[place] : ends[place + 1]]
+        self.flat, self.ends = array("I"), array("q", [0])
+
+    def _all(self, texts: list[str]) -> list[array]:
+        return [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, names: list[str]) -> list[array | list[int]]:
+        """Ids of pieces: after a space, unless they start with a line feed or ``START``."""
+        out: list = [None] * len(names)
+        made: dict[str, list[int]] = {}
+        rest, marked, tokenize, space, marks = [], [], self.model.tokenize, self.space, self.marks
+        for i, w in enumerate(names):
+            if w.isascii():
+                if w.isalpha():
+                    made[w] = out[i] = [t.id for t in tokenize(space + w)]
+                else:
+                    (marked if w[-1:] in marks and w[:-1].isalpha() else rest).append(i)
+            elif max(w) >= LATE:
+                rest.append(i)
+            elif w.isalpha():
+                made[w] = out[i] = [t.id for t in tokenize(space + w.encode().decode("latin-1").translate(BYTES))]
+            else:
+                (marked if w[-1] in marks and w[:-1].isalpha() else rest).append(i)
+        for i in marked:
+            w = names[i]
+            ids = made.get(w[:-1])
+            if ids is None:
+                at = self.known.get(w[:-1])
+                ids = self.flat[self.ends[at] : self.ends[at + 1]].tolist() if at is not None else [t.id for t in tokenize(space + w[:-1].encode().decode("latin-1").translate(BYTES))]
+                made[w[:-1]] = ids
+            out[i] = ids + marks[w[-1]]
+        texts = {i: w[1:] if w[:1] == START else w if w[:1] == "\n" else " " + w for i, w in zip(rest, map(names.__getitem__, rest), strict=True)}
+        plain = [i for i in rest if (w := names[i]) and w[0] != START and not (w[-1].isspace() or w.lstrip("\n")[0].isspace())]
+        for at in range(0, len(plain), 10_000):
+            some = plain[at : at + 10_000]
+            ids = self._all(["".join([texts[i] for i in some])])[0]
+            starts = np.flatnonzero(self.first[np.frombuffer(ids, "<u4")]).tolist()
+            if len(starts) == len(some):
+                for i, x, y in zip(some, starts, [*starts[1:], len(ids)], strict=True):
+                    out[i] = ids[x:y]
+        others = [i for i in rest if out[i] is None]
+        for i, ids in zip(others, self._all([texts[i] for i in others]), strict=True):
+            out[i] = ids
+        return out
+
+    def _places(self, names: list[str]) -> np.ndarray:
+        if len(self.known) > self.cached:
+            self.forget()
+        got = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(got < 0)
+        got[new] = range(len(self.ends) - 1, len(self.ends) - 1 + len(new))
+        own = [names[i] for i in new.tolist()]
+        self.known.update(zip(own, got[new].tolist(), strict=True))
+        for ids in self._new(own):
+            self.flat.extend(ids)
+            self.ends.append(len(self.flat))
         return got
 
-    def encode(self, t: str) -> np.ndarray:
-        if not t:
-            return np.zeros(0, "<u4")
-        if t[0].isspace() or t[-1].isspace() or self.together.search(t):
-            return np.frombuffer(self._whole(t), "<u4")
-        lines = t.replace("\n", " \n")
-        pieces = lines.replace(",", " ,").replace(".", " .").split(" ")
-        self.run, self.marks = False, set()
-        got = self._cut(pieces)
-        if self.run or any(c + "," in t or c + "." in t for c in self.marks):
-            got = self._cut(lines.split(" "))  # a comma or full stop stands in a run of marks
-        return np.frombuffer(b"".join(got), "<u4")
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (none null), one after the other, and the end of each."""
+        kind = pa.large_string()
+        texts = texts.cast(kind)
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        runs = pc.match_substring_regex(texts, self.runs).to_numpy(zero_copy_only=False) & ~whole
+        plain = ~(whole | runs)
+        marked = pc.binary_join_element_wise(pa.scalar(START, kind), texts.filter(pa.array(plain)), pa.scalar("", kind))
+        cut = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[plain] = pc.list_value_length(cut).to_numpy()
+        code = pc.list_flatten(cut).dictionary_encode()
+        names, codes = code.dictionary.to_numpy(zero_copy_only=False).tolist(), code.indices.to_numpy()
+        del marked, cut, code
+        odd, lone = [], {}
+        for i in np.flatnonzero(~plain).tolist():
+            if whole[i]:
+                lone[i] = self._all([texts[i].as_py()])[0]
+            else:
+                got = [x if x[0] == "\n" else x[1:] if x[0] == " " and x[1:2].strip() else START + x for x in PIECE.findall(texts[i].as_py())]
+                sizes[i] = len(got)
+                odd += got
+        if odd or lone:  # put the pieces of the other texts where they belong
+            more = pa.array(odd, kind).dictionary_encode()
+            sizes[list(lone)] = 1
+            every, who = np.empty(int(sizes.sum()), np.int32), np.repeat(np.arange(len(texts)), sizes)
+            every[plain[who]] = codes
+            every[runs[who]] = len(names) + more.indices.to_numpy()
+            names += more.dictionary.to_numpy(zero_copy_only=False).tolist()
+            every[whole[who]] = len(names) + np.arange(len(lone))
+            codes = every
+        places, mark = self._places(names), len(self.flat)
+        ends = np.frombuffer(self.ends, np.int64)
+        first, length = ends[places], ends[places + 1] - ends[places]
+        del ends
+        for ids in lone.values():
+            first, length = np.append(first, len(self.flat)), np.append(length, len(ids))
+            self.flat.extend(ids)
+        n = length[codes]
+        stops = np.cumsum(n)
+        at = np.repeat(first[codes] - stops + n, n)
+        at += np.arange(len(at))
+        out = np.frombuffer(self.flat, "<u4")[at] if len(at) else np.zeros(0, "<u4")
+        del self.flat[mark:]
+        return out, np.concatenate([np.zeros(1, np.int64), stops])[np.cumsum(sizes)]
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        return [self.encode(t) for t in texts]
+        ids, ends = self.encode(pa.array(texts, pa.string()))
+        return np.split(ids, ends[:-1]) if len(ends) else []
 
 
 _encoders: dict[str, Encoder] = {}
@@ -272,10 +308,13 @@ def write_tokens(
             cells = ([shard], pa.int32()), ([seg], pa.int32()), ([names[0]], pa.int64()), ([names], many), ([ends], many), ([n], pa.int64()), ([pack(np.concatenate(held))], pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in cells], ["shard", "seg", "first_id", "doc_ids", "ends", "n_tokens", "codes"])
 
-        for b in (b.slice(at, 128) for b in batches for at in range(0, len(b), 128)):
-            for i, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist()), strict=True):
-                held += [ids, last]
-                n += len(ids) + 1
+        for ids_of, texts in gathered(batches):
+            ids, stops = enc.encode(texts)
+            at = 0
+            for i, stop in zip(ids_of.to_pylist(), stops.tolist(), strict=True):
+                held += [ids[at:stop], last]
+                n += stop - at + 1
+                at = stop
                 names.append(i)
                 ends.append(n)
                 if n >= segment:

@@ -196,11 +196,17 @@ def test_encoder():
 
     path = token_store.vocabulary()
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    enc = token_store.Encoder(path)
+    enc, tight = token_store.Encoder(path), token_store.Encoder(path, cached=3)
+    r = np.random.default_rng(11)
+    signs = [*"abXY01 .,;:'\"!?-_(\n\n  \t\r\x0b\x1c\x1f\x00\x01", "é", "½", "²", "日", "İ", "ß", "\u0301", "\u0085", "\u00a0", "\u2003", "\u3000", "\u200b", "😀", "'s", " the", "\n\n", "   ", "<|endoftext|>"]
     texts = TRICKY + [prose(i, 50) + ". " + prose(i, 9).title() + "," for i in range(40)]
-    for _ in range(3):
-        assert [x.tolist() for x in enc.encode_many(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["".join(r.choice(signs, r.integers(0, 30))) for _ in range(4000)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for e in (enc, enc, tight):
+        assert [x.tolist() for x in e.encode_many(texts)] == want
+    assert enc.encode_many([]) == [] and [50256] in [x.tolist() for x in enc.encode_many(["<|endoftext|>"])]
+    long = "z" * 30_000 + " " + "é," * 2000
+    assert enc.encode_many([long])[0].tolist() == plain.encode(long, add_special_tokens=False).ids
 
 
 def test_token_store(spark, docs, tmp_path):
