@@ -8,7 +8,9 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,7 +86,7 @@ def trim() -> None:
         pass
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most: int = 1 << 24) -> Iterator[list[pa.Array]]:
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[list[pa.Array]]:
     """Columns of about ``most`` bytes at a time, or of one batch: what repeats in them is then met once."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -98,6 +100,24 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = 1 << 24) -> Iterator
         yield [pa.concat_arrays(c) for c in zip(*(x.columns for x in held), strict=True)]
 
 
+def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words of all texts (A-Z lower-cased, cut at ASCII white space) one after the other, and how many each text has."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    sizes, flat = pc.list_value_length(cut).to_numpy(), pc.list_flatten(cut)
+    some = pc.not_equal(pc.binary_length(flat), 0)  # white space at an end leaves an empty string
+    if not pc.all(some).as_py():
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(some.to_numpy(zero_copy_only=False))])
+        at = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        sizes, flat = np.diff(ends[at]), flat.filter(some)
+    return flat.cast(pa.large_binary()).dictionary_encode(), sizes
+
+
+def values(strings: pa.Array) -> list:
+    """An Arrow array as Python values, without a box for each."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 def lower_ascii(text):
     """Lower-cases A-Z only; a plain-ASCII text takes the byte-wise way."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -33,10 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import gathered, scratch_dir, ship, table, trim
+from folioscope.llm.common import gathered, scratch_dir, ship, table, trim, values
 
 BLOCK = 64  # bytes of bitmap for each entry of the directory
-CACHED = 500_000
+CACHED = 300_000
 #: Letters that stand for bytes in a byte-level vocabulary: a byte that prints stands for itself, the others follow 255.
 _OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
@@ -217,7 +217,7 @@ class Encoder:
         sizes = np.zeros(len(texts), np.int64)
         sizes[plain] = pc.list_value_length(cut).to_numpy()
         code = pc.list_flatten(cut).dictionary_encode()
-        names, codes = code.dictionary.to_numpy(zero_copy_only=False).tolist(), code.indices.to_numpy()
+        names, codes = values(code.dictionary), code.indices.to_numpy()
         del marked, cut, code
         odd, lone = [], {}
         for i in np.flatnonzero(~plain).tolist():
@@ -233,7 +233,7 @@ class Encoder:
             every, who = np.empty(int(sizes.sum()), np.int32), np.repeat(np.arange(len(texts)), sizes)
             every[plain[who]] = codes
             every[runs[who]] = len(names) + more.indices.to_numpy()
-            names += more.dictionary.to_numpy(zero_copy_only=False).tolist()
+            names += values(more.dictionary)
             every[whole[who]] = len(names) + np.arange(len(lone))
             codes = every
         places, mark = self._places(names), len(self.flat)
