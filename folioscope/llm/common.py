@@ -104,7 +104,7 @@ def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Words of all texts (A-Z lower-cased, cut at ASCII white space) one after the other, and how many each text has."""
     texts = texts.cast(pa.large_string()).fill_null("")
     cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    sizes, flat = pc.list_value_length(cut).to_numpy(), pc.list_flatten(cut)
+    sizes, flat = pc.list_value_length(cut).to_numpy().astype(np.int64), pc.list_flatten(cut)
     some = pc.not_equal(pc.binary_length(flat), 0)  # white space at an end leaves an empty string
     if not pc.all(some).as_py():
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(some.to_numpy(zero_copy_only=False))])

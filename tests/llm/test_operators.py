@@ -312,7 +312,7 @@ def test_bloom(spark):
 
 def test_lm(spark, docs):
     train = docs.where("doc_id % 2 = 1")
-    got = lm_score.score_documents(docs, train, vocab=12, shapes=4, classes=3, hidden=6, frequent=16, train_parts=1).collect()
+    got = lm_score.score_documents(docs, train, vocab=12, shapes=4, classes=3, hidden=6, frequent=16).collect()
     from collections import Counter
 
     split = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", low(t).encode()) + [b"\n"]
@@ -330,10 +330,26 @@ def test_network_is_fitted_on_every_training_row(spark, monkeypatch):
     rows = [(i, prose(600 + i // 3, 20)) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
     seen, fit = [], lm_score.fit
-    monkeypatch.setattr(lm_score, "fit", lambda train, *a, **k: seen.extend(r.text for r in train.select("text").collect()) or fit(train, *a, **k))
+    monkeypatch.setattr(lm_score, "fit", lambda seqs, *a, **k: seen.extend(bytes(r.seq) for r in seqs.select("seq").collect()) or fit(seqs, *a, **k))
     monkeypatch.setattr(lm_score, "table", lambda *_: docs.drop("held_out"))
-    assert lm_score.op6(spark, "").count() == 60
-    assert sorted(seen) == sorted(r.text for r in docs.where("not held_out").collect())
+    got = lm_score.op6(spark, "").collect()
+    assert {r.doc_id: r.held_out for r in got} == {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(60)}
+    learned = docs.where("not held_out").collect()
+    counts = sorted({w: sum(r.text.split().count(w) for r in learned) for w in WORDS}.items(), key=lambda x: (-x[1], x[0]))
+    ids = {w: i for i, (w, n) in enumerate(counts) if n}
+    assert sorted(seen) == sorted(np.array([ids[w] for w in r.text.split()], np.int16).tobytes() for r in learned)
+    as_table = lm_score.score_documents(docs, docs.where("not held_out")).collect()
+    assert sorted((r.doc_id, round(r.base_score, 6), round(r.score, 3)) for r in got) == sorted((r.doc_id, round(r.base_score, 6), round(r.score, 3)) for r in as_table)
+
+
+def test_frequent_words(spark):
+    counts = [1] * 50 + [2] * 20 + [3, 3, 700, 5000, 5100, 90_000]
+    words = spark.createDataFrame([(f"w{i}".encode(), n) for i, n in enumerate(counts)], "word binary, n long")
+    for most in (0, 1, 2, 3, 4, 6, 20, 26, 75, 76, 1000):
+        top, least = lm_score.frequent_words(words, most)
+        kept = top["n"].tolist()
+        assert len(kept) <= most and kept == sorted(kept, reverse=True) and kept == [n for n in sorted(counts, reverse=True) if n >= least]
+    assert len(lm_score.frequent_words(words, 26)[0]) == 26 and len(lm_score.frequent_words(words, 25)[0]) == 6
 
 
 def test_network_is_a_distribution():
@@ -350,7 +366,9 @@ def test_network_state_is_carried():
     seq = np.random.default_rng(1).integers(0, len(lay), 77).astype(np.int32)
     h, last, total = np.zeros((1, 4), np.float32), lay.end, 0.0
     for i in [*seq, lay.end]:
-        h = net.step(np.array([last]), h)[0]
+        after = np.empty((1, 4), np.float32)
+        net.step(net.p["x"][np.array([last])], h, np.empty((1, 8), np.float32), np.empty((1, 4), np.float32), np.empty((1, 4), np.float32), after)
+        h = after
         total += net.output(h, np.array([i]))[0][0]
         last = i
     others = [seq[:5], seq[:40], np.zeros(0, np.int32)]
@@ -359,13 +377,52 @@ def test_network_state_is_carried():
 
 
 def test_network_gradients():
-    lay = lm_score.layout([b"a", b"b", b"c"], [3, 2, 1], 2, 2)
+    """The gradient of one window against differences of the loss, for every parameter, and a cycle that is learned."""
+    lay = lm_score.layout([b"a", b"b", b"c", b"d"], [4, 3, 2, 1], 4, 2)
+    r = np.random.default_rng(2)
+    docs = [r.integers(0, len(lay), n).astype(np.int32) for n in (5, 0, 7)]
+    docs = [np.where(d == lay.end, 0, d) for d in docs]
+
+    def double():
+        net = lm_score.Network(lay, 3)
+        net.load((net.flat * 3).astype(np.float64))
+        net.p["wb"][...] = np.where(net.p["wb"] < -100, -1e4, r.standard_normal(net.p["wb"].shape))
+        return net
+
+    net = double()
+    start, tokens = net.flat.copy(), sum(len(d) + 1 for d in docs)
+    grads = {}
+
+    class Kept(lm_score.Network):
+        def views(self, flat):
+            if hasattr(self, "flat") and flat is not self.flat:
+                grads["flat"] = flat
+            return super().views(flat)
+
+    got = Kept(lay, 3)
+    got.load(start.astype(np.float32))
+    got.train(docs, 1, 64, 0.0)
+
+    def loss(flat):
+        own = lm_score.Network(lay, 3)
+        own.load(flat.astype(np.float32))
+        return -own.score(docs).sum() * np.log(10) / tokens
+
+    checked = 0
+    for i in np.flatnonzero(start > -100):
+        up, down = start.copy(), start.copy()
+        up[i] += 1e-2
+        down[i] -= 1e-2
+        slope = (loss(up) - loss(down)) / 2e-2
+        assert abs(slope - grads["flat"][i]) < 2e-3 + 0.03 * abs(slope), (i, slope, grads["flat"][i])
+        checked += abs(slope) > 1e-3
+    assert checked > 80
     seq = [np.array([0, 1, 2, 0, 1, 2, 0, 1, 2, 0] * 6, np.int32)]
     net = lm_score.Network(lay, 8)
     before = net.score(seq)[0]
     for _ in range(30):
         net.train(seq, 1, 10, 0.02)
-    assert net.score(seq)[0] > before / 3  # a cycle is learned
+    assert net.score(seq)[0] > before / 3
 
 
 # --- substring deduplication -------------------------------------------------------------------------------------
