@@ -444,12 +444,36 @@ def test_passages(spark):
     assert substring_dedup.repeated_passages(docs.where("false")).count() == 0
 
 
-def test_crowded_passage(spark):
-    """A posting too long to be paired off: all holders meet in one class."""
-    shared = prose(200, 64)
-    rows = [(i, f"{prose(1000 + i, 30)} {shared} {prose(2000 + i, 30)}") for i in range(40)] + [(i, prose(3000 + i, 120)) for i in range(40, 60)]
-    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {x for r in got for x in (r.doc_id, r.partner_id)} == set(range(40)) and {r.class_id for r in got} == {0}
+def unlike(seed, n):
+    """Words of which no two texts share a stretch by chance."""
+    return " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 20_000, n))
+
+
+@pytest.mark.parametrize("block", [256, 12])
+def test_crowded_passages(spark, block):
+    """Postings too long to be paired off at once: all holders of a passage meet, holders of a common line don't."""
+    r = np.random.default_rng(5)
+    passage, edited, line = unlike(200, 64), unlike(201, 60), unlike(202, 17)
+    said = [f"{unlike(1000 + i, 30)} {passage} {unlike(2000 + i, 30)}" for i in range(40)]
+
+    def changed(text, i):
+        out = text.split()
+        out[int(r.integers(len(out)))] = f"changed{i}"
+        return " ".join(out)
+
+    said += [f"{unlike(3000 + i, 25)} {changed(passage, i)} {unlike(4000 + i, 25)}" for i in range(40)]
+    said += [f"{unlike(5000 + i, 25)} {changed(edited, 100 + i)} {unlike(6000 + i, 25)}" for i in range(60)]
+    said += [f"{unlike(7000 + i, 60)} {line} {unlike(8000 + i, 60)}" for i in range(40)]
+    said += [f"{unlike(9000, 30)} {unlike(9001 + i, 100)}" for i in range(5)] + ["same " * 300, "same " * 200, "a b " * 150, f"a b {'a b ' * 100}end"]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), block=block).collect()
+    classes = {}
+    for x in got:
+        classes.setdefault(x.class_id, set()).update((x.doc_id, x.partner_id))
+    assert classes[0] >= set(range(40)) and len(classes[0] & set(range(80))) >= 78
+    own = [c & set(range(80, 140)) for c in classes.values()]
+    assert max(map(len, own)) >= 54
+    assert not any(c & set(range(140, 185)) for c in classes.values())
+    assert {185, 186} in classes.values() and {187, 188} in classes.values()
 
 
 def test_edited_copies_of_a_crowded_passage(spark):
@@ -465,12 +489,19 @@ def test_edited_copies_of_a_crowded_passage(spark):
     assert {r.class_id for r in got} == {0}
 
 
-def test_blocks_give_every_pair_once(spark):
+def test_pairs_are_met_once(spark):
     rows = [(1, i % 7, 0, 0, 50 + i, 120, 11) for i in range(11)] + [(2, i, 1, 0, 60, 120, 2) for i in range(2)]
     found = spark.createDataFrame(rows, "key long, uid long, f int, l int, c int, r int, count long")
-    got = sorted((r.a, r.ca, r.b, r.cb) for r in substring_dedup._links(found, 46, 3).collect())
+    said = lambda df: sorted((x.a, x.ca, x.b, x.cb) for x in df.collect())
     want = sorted((x[1], x[4], y[1], y[4]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1])
-    assert got == want
+    assert said(substring_dedup.all_pairs(found, 46)) == want and substring_dedup.all_pairs(found, 500).isEmpty()
+    for block in (1, 3, 100):
+        for sets in ({}, {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}, dict.fromkeys(range(7), 0)):
+            roots = spark.createDataFrame(list(sets.items()), "node long, root long")
+            over = [w for w in want if sets.get(w[0], w[0]) != sets.get(w[2], w[2])]
+            assert said(substring_dedup.cross_pairs(found, roots, 46, block)) == over
+    stars = {(x.a, x.b) for x in substring_dedup.star_pairs(found, 46).collect()}
+    assert {n for p in stars for n in p} == set(range(7)) and len(stars) <= 12
 
 
 def test_passage_with_a_phrase_that_comes_again():
@@ -490,12 +521,29 @@ def test_passage_with_a_phrase_that_comes_again():
 
 def test_windows():
     r = np.random.default_rng(0)
-    for values in (r.integers(0, 9, 60), r.permutation(60), np.zeros(60, int)):
-        got = substring_dedup.windows(values, 10)
-        cover = {(i, j): c for a, c, b in got for i in range(a, c + 1) for j in range(max(c, i + 9), b + 1)}
-        for i in range(60):
-            for j in range(i + 9, 60):  # every wide subsequence is in one window, at a minimum of it
-                assert values[cover[i, j]] == values[i : j + 1].min()
+    top = np.uint64(1) << np.uint64(30)
+    for values in (r.integers(0, 9, 60), r.permutation(60), np.arange(60)[::-1]):
+        valid = np.ones(51, bool)
+        valid[[7, 8, 30]] = False
+        got = list(zip(*substring_dedup.windows(values.astype(np.uint64) * top, valid, 10), strict=True))
+        cover = {i: c for a, c, b in got for i in range(a, b - 8)}
+        assert sorted(cover) == np.flatnonzero(valid).tolist()
+        for i, c in cover.items():  # every subsequence of that width is in one window, at the first of its minima
+            assert c - i == values[i : i + 10].argmin()
+    a, c, b = substring_dedup.windows(np.zeros(400, np.uint64), np.ones(355, bool), 46)
+    assert len(c) < 50 and a[0] == 0 and b[-1] == 399
+
+
+def test_shingles():
+    import pyarrow as pa
+
+    texts = ["One two three four five six", None, "", "two three four five six seven", "x"]
+    s, ends = substring_dedup.Shingles.of(pa.array(texts))
+    assert ends.tolist() == [6, 6, 6, 12, 13]
+    every = s.shingles(0, s.n)
+    assert every[1] == every[6] and len(set(every.tolist())) == len(every) - 1
+    assert s.stretch(np.array([1]), 5)[0] == every[1] and s.shingles(3, 3).tolist() == []
+    assert substring_dedup.range_minima(np.array([3, 1, 2, 5, 4]), 3).tolist() == [1, 1, 2]
 
 
 # --- languages ---------------------------------------------------------------------------------------------------
