@@ -7,6 +7,8 @@ a match cost one search. The result is an array of (start, end, text, groups).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,27 @@ EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))
 SPACES = r"\s\x0b   -     　﻿"
 
 
+def laid_out(parts: Column, length: Callable[[Column], Column], build: Callable[[Column, Column], Column], kind: str, block: int = 256) -> Column:
+    """``build(at, part)`` of every part of an array, ``at`` being the sum of the lengths before it; an array of ``kind``.
+
+    An array that grows in a fold is copied with each step, so parts are folded in blocks and the blocks flattened.
+    """
+    count = F.greatest(F.size(parts), F.lit(0))
+    blocks = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.floor((count - 1) / block).cast("int")), lambda k: F.slice(parts, k * block + 1, F.lit(block))))
+    inner = lambda at, b: F.aggregate(
+        b,
+        F.struct(at.alias("at"), F.array().cast(kind).alias("out")),
+        lambda s, x: F.struct((s["at"] + length(x)).alias("at"), F.concat(s["out"], F.array(build(s["at"], x)).cast(kind)).alias("out")),
+    )
+    walked = F.aggregate(
+        blocks,
+        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")),
+        lambda s, b: F.element_at(F.transform(F.array(inner(s["at"], b)), lambda r: F.struct(r["at"].alias("at"), F.concat(s["out"], F.array(r["out"])).alias("out"))), 1),
+        lambda s: F.flatten(s["out"]),
+    )
+    return F.coalesce(walked, F.array().cast(kind))
+
+
 def matches(text: Column, pattern: str, groups: int = 0) -> Column:
     """Leftmost non-overlapping matches. A group that takes no part is the empty string; null text has none.
 
@@ -28,25 +51,10 @@ def matches(text: Column, pattern: str, groups: int = 0) -> Column:
     )
     parts = F.filter(zipped, lambda x: x["m"].isNotNull())
     caught = lambda x: F.array(*(x[f"g{i}"] for i in range(groups))).cast("array<string>")
-    walked = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
-            F.concat(
-                s["out"],
-                F.array(
-                    F.struct(
-                        (s["at"] + F.length(x["gap"])).alias("start"),
-                        (s["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("end"),
-                        x["m"].alias("text"),
-                        caught(x).alias("groups"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda s: s["out"],
+    span = lambda at, x: F.struct(
+        (at + F.length(x["gap"])).alias("start"), (at + F.length(x["gap"]) + F.length(x["m"])).alias("end"), x["m"].alias("text"), caught(x).alias("groups")
     )
+    walked = laid_out(parts, lambda x: F.length(x["gap"]) + F.length(x["m"]), span, MATCH)
     return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(F.array().cast(MATCH))
 
 
@@ -55,15 +63,8 @@ def between(text: Column, separator: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(separator), F.lit(0))
     zipped = F.arrays_zip(F.split(text, separator, -1).alias("gap"), found.alias("m"))
     kind = "array<struct<start:int,end:int,text:string>>"
-    return F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.length(x["gap"])).alias("end"), x["gap"].alias("text")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
+    span = lambda at, x: F.struct(at.alias("start"), (at + F.length(x["gap"])).alias("end"), x["gap"].alias("text"))
+    return F.when(text.isNotNull(), laid_out(zipped, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0)), span, kind))
 
 
 def texts(text: Column, pattern: str, group: int = 0) -> Column:
@@ -83,12 +84,8 @@ def escape(literal: str) -> str:
 def occurrences(text: Column, literal: Column) -> Column:
     """Starts of the non-overlapping occurrences of a literal, from the left; empty for an empty literal or null."""
     gaps = F.split(text, F.concat(F.lit(r"\Q"), F.replace(literal, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), -1)
-    starts = F.aggregate(
-        F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda s, g: F.struct((s["at"] + F.length(g) + F.length(literal)).alias("at"), F.concat(s["out"], F.array(s["at"] + F.length(g))).alias("out")),
-        lambda s: s["out"],
-    )
+    before = F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0)))
+    starts = laid_out(before, lambda g: F.length(g) + F.length(literal), lambda at, g: at + F.length(g), "array<int>")
     return F.when(F.contains(text, literal) & (F.length(literal) > 0), starts).otherwise(F.array().cast("array<int>"))
 
 
@@ -98,6 +95,14 @@ def occurrence_before(text: Column, literal: Column, start: Column) -> Column:
     return F.when(F.length(literal) > 0, ((F.length(before) - F.length(F.replace(before, literal, F.lit("")))) / F.length(literal)).cast("int")).otherwise(F.lit(0))
 
 
+def run_before(text: Column, end: Column, inside: str, near: int = 64) -> Column:
+    """The longest run of characters of the class ``inside`` that ends at an offset. Few are long, so what is near is
+    looked at first, and the whole text only where the run fills that."""
+    some = F.regexp_extract(F.substring(text, F.greatest(end - near, F.lit(0)) + 1, F.least(end, F.lit(near))), rf"[{inside}]*\z", 0)
+    whole = F.reverse(F.regexp_extract(F.reverse(F.substring(text, F.lit(1), end)), rf"^[{inside}]*", 0))
+    return F.when(F.length(some) < near, some).otherwise(whole)
+
+
 def overlaps(a: Column, b: Column) -> Column:
     """Whether two (start, end) spans share a position."""
     return (a["start"] < b["end"]) & (a["end"] > b["start"])

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.matching import MATCH, any_span, char, count, matches, occurrence_before, overlaps, touches, within
+from folioscope.functions.matching import MATCH, any_span, char, count, matches, occurrence_before, overlaps, run_before, touches, within
 from folioscope.functions.text import changed_span, like_case, one_edit_apart, same_stem, sha256, stable_id
 from folioscope.operators.lexicon import Pack, Regional, region_of
 from folioscope.operators.segment import WORD, dialogue, paragraphs, tokens_table
@@ -201,7 +201,7 @@ def sentence_start(scenes: DataFrame, ctx: Context) -> DataFrame:
         end, gap = m["groups"][0], m["groups"][1]
         head = F.substring(text, F.lit(1), m["start"] + 1)
         before = F.substring(text, F.lit(1), m["start"])
-        word = F.lower(F.regexp_extract(F.right(head, F.lit(64)), r"[\p{L}.]+\z", 0))
+        word = F.lower(run_before(text, m["start"] + 1, r"\p{L}."))
         line = F.element_at(F.split(before, "\n"), -1)
         first = F.regexp_extract(F.element_at(F.split(line, r"[.!?…:]\s+"), -1), r"\p{L}", 0)
         return (
@@ -422,7 +422,7 @@ def detect(scenes: DataFrame, ctx: Context, titles: bool = False) -> DataFrame:
 
 def widen(text: Column, start: Column, end: Column, replacement: Column) -> Column:
     """(start, end, target, replacement) with target and replacement widened to whole words on both sides."""
-    left = F.regexp_extract(F.substring(text, F.greatest(start - 64, F.lit(0)) + 1, F.least(start, F.lit(64))), r"[\p{L}\p{N}]*\z", 0)
+    left = run_before(text, start, r"\p{L}\p{N}")
     inside = lambda c: F.regexp_like(c, F.lit(r"[\p{L}\p{N}]"))
     left = F.when(inside(char(text, start)) & (end > start), left).otherwise(F.lit(""))
     right = F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"^[\p{L}\p{N}]*", 0)
