@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,50 +13,47 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.cluster import ship
+
+__all__ = ["components", "gathered", "hidden", "lower_ascii", "materialize", "quoted", "release", "scratch_dir", "ship", "small", "split_words", "table", "trim", "values"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space, as the contracts name it.
 SPACE = "\x20\x09-\x0d"
 _own: dict[str, str] = {}
-_shipped: set[str] = set()
+_released: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Hands this package to the executors' Python, once for each application: they may not have it on their path."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="folioscope-")) / "folioscope_package.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(path))
-    _shipped.add(app)
-
-
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where that is unset and there is one
+    machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="folioscope-")
-    return _own[app]
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="folioscope-")
+    return _own[context.applicationId]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back, which cuts its lineage.
 
-    The files survive lost executors, and each reader prunes their columns. They are this run's scratch:
-    ``release`` removes all of them, and a cluster may empty the folder between jobs.
+    The files survive lost executors, and each reader prunes their columns. They are this run's scratch: ``release``
+    removes all of them, at the end of the program at the latest.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/folioscope/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    path = f"{scratch_dir(spark)}/folioscope/{app}/{label}-{uuid.uuid4().hex}"
+    if app not in _released:  # results are read after a query returns, so the tables stay until the program ends
+        _released.add(app)
+        atexit.register(_release_at_end, spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -73,6 +69,11 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _release_at_end(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        release(spark)
+
+
 def trim() -> None:
     """Gives freed memory back: a Python worker outlives its task, and so would its largest heap."""
     import ctypes
@@ -118,6 +119,17 @@ def values(strings: pa.Array) -> list:
     return strings.to_numpy(zero_copy_only=False).tolist()
 
 
+def quoted(name: str) -> str:
+    """A column's name, whatever it holds, as the engine reads it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def hidden(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with columns ``_c0``, ``_c1``, … and what each was called, so that no added name can clash with one."""
+    names = {f"_c{i}": c for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names), names
+
+
 def lower_ascii(text):
     """Lower-cases A-Z only; a plain-ASCII text takes the byte-wise way."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import lower_ascii, materialize, small, table
+from folioscope.llm.common import hidden, lower_ascii, materialize, small, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -43,22 +44,9 @@ def benchmark_windows(bench: DataFrame, n: int, id_col: str, text_col: str) -> t
     return grams.groupBy("len", "gram").agg(F.array_sort(F.collect_set("item")).alias("items")), lengths
 
 
-def contamination(
-    docs: DataFrame,
-    bench: DataFrame,
-    n: int = 13,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    broadcast_windows: int = 1_000_000,
-) -> DataFrame:
-    """One row for each input row: id, n_words, spans (word positions, half-open, merged), items (sorted strings).
-
-    A null or wordless text has no words and no hits; an item without words has no window; null item ids count for
-    hits but aren't listed. Rows that repeat an id with the same text get equal rows, with another text their own.
-    Other columns are ignored. Windows are broadcast up to ``broadcast_windows`` of them (about 200 bytes each).
-    """
+def _found(docs: DataFrame, bench: DataFrame, n: int, id_col: str, text_col: str, item_col: str, item_text_col: str, broadcast_windows: int) -> DataFrame:
+    """id, x (a hash of the text), n_words, rows, hits (sorted positions of the words that are hit), items: a row for each
+    id and text."""
     grams, lengths = benchmark_windows(bench, n, item_col, item_text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("x"), words_of(F.col(text_col)).alias("words"))
     start = rows.select("id", "x", F.size("words").cast("long").alias("n_words"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("array<string>").alias("items"))
@@ -98,19 +86,34 @@ def contamination(
     hit = F.when(F.col("pos").isNotNull(), F.struct("pos", (F.col("pos") + F.col("len")).alias("end")))
     whole = start.groupBy("id", "x", "n_words").agg(
         F.count(F.when(F.col("pos").isNull(), 1)).cast("int").alias("rows"),
-        F.array_sort(F.collect_set(hit)).alias("hits"),
+        F.collect_set(hit).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    merged = F.aggregate(
-        "hits",
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda done, h: F.when(
-            (F.size(done) > 0) & (h["pos"] <= F.element_at(done, -1)["end"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], h["end"]).alias("end")))),
-        ).otherwise(F.concat(done, F.array(F.struct(h["pos"].alias("start"), h["end"].alias("end"))))),
-    )
+    return whole.withColumn("hits", F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["pos"], h["end"] - 1))))))
+
+
+def contamination(
+    docs: DataFrame,
+    bench: DataFrame,
+    n: int = 13,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    broadcast_windows: int = 1_000_000,
+) -> DataFrame:
+    """One row for each input row: id, n_words, spans (word positions, half-open, merged), items (sorted strings).
+
+    A null or wordless text has no words and no hits; an item without words has no window; null item ids count for
+    hits but aren't listed. Rows that repeat an id with the same text get equal rows, with another text their own.
+    Other columns are ignored. Windows are broadcast up to ``broadcast_windows`` of them (about 200 bytes each).
+    """
+    whole = _found(docs, bench, n, id_col, text_col, item_col, item_text_col, broadcast_windows)
+    # where a run of positions starts and ends
+    after = F.transform("hits", lambda i: i + 1)
+    spans = F.arrays_zip(F.array_sort(F.array_except("hits", after)).alias("start"), F.array_sort(F.array_except(after, "hits")).alias("end"))
     whole = whole.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    return whole.select(F.col("id").alias(id_col), "n_words", merged.alias("spans"), "items")
+    return whole.select(F.col("id").alias(id_col), "n_words", spans.alias("spans"), "items")
 
 
 def judged(found: DataFrame, percent: int = 5) -> DataFrame:
@@ -120,33 +123,41 @@ def judged(found: DataFrame, percent: int = 5) -> DataFrame:
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns. A document without an id stays."""
-    bad = judged(contamination(docs, bench, id_col=id_col, **options)).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    bad = small(materialize(bad, "contaminated"))
-    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
-
-
-def remove_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Documents with the hit words cut out of their texts; what lies between the other words stays as it is."""
-    found = contamination(docs, bench, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0)
-    found = found.select(F.col(id_col).alias("_id"), F.col("n_words").alias("_n"), F.col("spans").alias("_spans")).distinct()
-    low = lower_ascii(F.col(text_col))
-    gaps, words = F.split(low, WORD, -1), words_of(F.col(text_col))
-    step = F.zip_with(gaps, words, lambda g, w: F.struct(F.length(g).alias("g"), F.coalesce(F.length(w), F.lit(0)).alias("w")))
-    cut = F.aggregate(
-        step,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("i")),
-        lambda s, x: F.struct(
-            F.concat(s["out"], F.col(text_col).substr(s["at"] + 1, x["g"]), F.when(F.exists("_spans", lambda p: (p["start"] <= s["i"]) & (s["i"] < p["end"])), F.lit("")).otherwise(F.col(text_col).substr(s["at"] + x["g"] + 1, x["w"]))).alias("out"),
-            (s["at"] + x["g"] + x["w"]).alias("at"),
-            (s["i"] + 1).alias("i"),
-        ),
-        lambda s: s["out"],
-    )
-    hit = docs.join(found, (docs[id_col] == found["_id"]) & (F.size(words) == found["_n"]), "left")
-    fixed = F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col(text_col))
-    return hit.select(*(fixed.alias(c) if c == text_col else docs[c] for c in docs.columns))
+def _beside(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """Documents (hidden names) joined to what was found of them, by id and text."""
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_x"))
+    return docs.join(small(materialize(found, "contaminated")), same, how)
+
+
+def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 5, n: int = 13, item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = 1_000_000) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns.
+
+    Each row is judged by its own text, so rows that repeat an id, or have none, stay or go by themselves. Null and
+    wordless texts stay. An empty table gives an empty one; other columns pass through whatever their names.
+    """
+    rows, names = hidden(docs)
+    by = {c: n for n, c in names.items()}
+    found = _found(rows, bench, n, by[id_col], by[text_col], item_col, item_text_col, broadcast_windows)
+    bad = found.where((F.size("hits") > 0) & (100 * F.size("hits") >= percent * F.col("n_words"))).select(F.col("id").alias("_id"), F.col("x").alias("_x"))
+    return _beside(rows, bad, by[id_col], by[text_col], "left_anti").toDF(*names.values())
+
+
+def remove_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 13, item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = 1_000_000) -> DataFrame:
+    """Documents with the hit words cut out of their texts; what lies between the other words stays as it is.
+
+    Each row is cut by what was found in its own text, whatever ids repeat or are missing. A null text stays null, an empty
+    table empty; other columns pass through whatever their names.
+    """
+    rows, names = hidden(docs)
+    by = {c: n for n, c in names.items()}
+    found = _found(rows, bench, n, by[id_col], by[text_col], item_col, item_text_col, broadcast_windows).where(F.size("hits") > 0)
+    hit = _beside(rows, found.select(F.col("id").alias("_id"), F.col("x").alias("_x"), F.col("hits").alias("_hits")), by[id_col], by[text_col], "left")
+    text = F.col(by[text_col])
+    gaps, words = F.split(text, ANY_CASE, -1), F.regexp_extract_all(text, F.lit(ANY_CASE), 0)
+    stays = F.transform(words, lambda w, i: F.when(F.array_contains("_hits", i), F.lit("")).otherwise(w))
+    cut = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), stays.alias("w")), lambda x: F.concat(x["g"], F.coalesce(x["w"], F.lit("")))), "")
+    fixed = F.when(F.col("_hits").isNotNull(), cut).otherwise(text)
+    return hit.select(*((fixed if c == text_col else F.col(n)).alias(c) for n, c in names.items()))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

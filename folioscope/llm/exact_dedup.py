@@ -56,7 +56,7 @@ def exact_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = 200_000,
-    depth: int = 10,
+    depth: int | None = None,
     key_bits: int = 256,
     broadcast_keys: int = 1_000_000,
 ) -> DataFrame:
@@ -66,7 +66,8 @@ def exact_groups(
     code points in its original text stays, then the one with the least id (a null id comes last). Rows that repeat
     an id are rows of their own for ``group_size``; the first of them counts as kept along with its repeats.
     Other columns of ``docs`` are ignored; an empty table gives an empty result. ``key_bits`` shortens the key, to try
-    the chaining of collisions. Keys of chains are broadcast up to ``broadcast_keys`` of them, beyond that shuffled.
+    the chaining of collisions. The directory doubles up to 2**``depth`` slots; unless given that goes by the number of keys,
+    to a million slots. Keys of chains are broadcast up to ``broadcast_keys`` of them, beyond that shuffled.
     """
     text = squeezed(F.col(text_col))
     row = docs.select(
@@ -76,16 +77,18 @@ def exact_groups(
     row = row.withColumn("key", key)
     entries = materialize(row.select("id", "len", "sha", "key"), "exact-entries")
     best = F.min(F.struct((-F.col("len")).alias("len"), F.col("id").isNull().alias("none"), "id")).alias("best")
-    slot = F.conv(F.substring(F.rpad("key", 8, "0"), 1, 8), 16, 10).cast("long")
-    slot = F.shiftright(slot, 32 - depth).cast("int")
     # Folded first: a key is one entry a task, however many copies it has.
-    folded = entries.groupBy("key").agg(best, F.count(F.lit(1)).alias("n")).withColumn("slot", slot)
+    folded = entries.groupBy("key").agg(best, F.count(F.lit(1)).alias("n"))
     folded = materialize(folded, "exact-folded")
+    # Eight times as many slots as buckets are needed, so that uneven prefixes can be told apart; digests are even.
+    depth = min(20, max(4, (folded.count() // capacity).bit_length() + 3)) if depth is None else depth
+    slot = F.conv(F.substring(F.rpad("key", 8, "0"), 1, 8), 16, 10).cast("long")
+    folded = folded.withColumn("slot", F.shiftright(slot, 32 - depth).cast("int"))
     depths = directory(folded.groupBy("slot").count(), capacity, depth)
-    buckets = [(slot, (slot >> (depth - bits)) + (1 << bits)) for slot, bits in depths.items()]
-    slots = docs.sparkSession.createDataFrame(buckets, "slot int, bucket int")  # 2**depth rows
-    owners = len({bucket for _, bucket in buckets})
-    index = folded.join(F.broadcast(slots), "slot").repartitionByRange(owners, "bucket", "key")
+    bits = F.element_at(F.split(F.lit(",".join(str(depths[i]) for i in range(1 << depth))), ","), F.col("slot") + 1).cast("int")  # of a constant
+    bucket = F.expr(f"shiftright(slot, {depth} - bits) + shiftleft(1, bits)")
+    owners = len({(i >> (depth - b)) + (1 << b) for i, b in depths.items()})
+    index = folded.withColumn("bits", bits).withColumn("bucket", bucket).drop("bits").repartitionByRange(owners, "bucket", "key")
     index = materialize(index.sortWithinPartitions("bucket", "key"), "exact-index")
     chained = index.where("n > 1").select("key")
     if chained.count() <= broadcast_keys:

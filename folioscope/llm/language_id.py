@@ -8,7 +8,6 @@ Both passes run on whole arrays of distinct words, so a word is scored once for
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
@@ -18,14 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import ship, table, trim
+from folioscope.llm.common import hidden, ship, table, trim
 
 if TYPE_CHECKING:  # workers do without it
     import pandas as pd
 
 MARK = "▁"  # stands before each word, as in the vocabulary
 LONGEST = 48  # a longer word is scored in parts of so many characters
-LETTER = re.compile(r"[^\W\d_]")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 250_000  # distinct words a task holds at once
 
@@ -173,15 +171,16 @@ def fit_model(counts: pd.DataFrame, pieces: list[str], rounds: int = 4, smooth:
     return Model(languages, pieces, probs, other)
 
 
-def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, words: int) -> pd.DataFrame:
+def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, words: int, languages: int = 256) -> pd.DataFrame:
     """(lang, word, n) of a bounded sample: of each language ``per_language`` documents, those with the least hash of
-    their id, and the ``words`` most frequent words among them.
+    their id, and the ``words`` most frequent words among them. The ``languages`` most frequent labels are learned.
 
     A cut on the hash, from the language's number of documents, leaves about four times as many to be ranked.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     drawn = rows.select(F.col(lang_col).alias("lang"), id_col, F.xxhash64(F.col(id_col)).alias("h"))
-    sizes = drawn.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count(F.lit(1))).alias("share"))
+    sizes = drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    sizes = sizes.select("lang", (F.lit(4.0 * per_language) / F.col("n")).alias("share"))
     drawn = drawn.join(F.broadcast(sizes), "lang")  # a row for each language
     drawn = drawn.where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share"))
     draw = Window.partitionBy("lang").orderBy("h", id_col)
@@ -217,7 +216,7 @@ def _judged(rows: DataFrame, text: str, model: Model, drop: bool) -> DataFrame:
             found: list[np.ndarray | None] = []
             for cell in b.column(b.schema.get_field_index(text)):
                 t = cell.as_py()
-                if t is None or not m.languages or not LETTER.search(t):
+                if t is None or not m.languages or not any(map(str.isalpha, t)):
                     found.append(None)
                 else:
                     found.append(np.array([known.setdefault(w, len(known)) for w in t.lower().split()], np.int64))
@@ -265,16 +264,18 @@ def op9(spark, sf_dir: str) -> DataFrame:
     return identify(docs, model, keep=("held_out",))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", languages: tuple[str, ...] = (), least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: tuple[str, ...] = (), least: float = 0.5) -> DataFrame:
     """Documents, with all their columns, whose text is identified; with ``languages`` only as one of these.
 
-    Trained on the documents' own labels that aren't held out. Text without letters is rejected; so is a text that no
+    Rows with an unwanted label, none or no id are judged like others; null texts go; an empty table gives an empty one; rows
+    that repeat are judged alike, and other columns pass through. Trained on the documents' own labels that aren't held out. Text without letters is rejected; so is a text that no
     language explains better than chance (a share under ``least``).
     """
-    model = train(docs.where(~held_out(id_col)), id_col, lang_col=lang_col)
-    inner = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    judged = _judged(docs.select(*(F.col(c).alias(n) for c, n in inner.items())), inner["text"], model, drop=False)
+    model = train(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
+    rows, names = hidden(docs)
+    text = next(n for n, c in names.items() if c == text_col)
+    judged = _judged(rows, text, model, drop=False)
     good = judged.where((F.col("_pred") != "und") & (F.col("_share") >= least))
     if languages:
         good = good.where(F.col("_pred").isin(*languages))
-    return good.select(*(F.col(n).alias(c) for c, n in inner.items()))
+    return good.drop("_pred", "_share").toDF(*names.values())

@@ -9,10 +9,10 @@ size, rows), so no task ever sorts a whole source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialize, small, table
+from folioscope.llm.common import hidden, materialize, small, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,28 +47,31 @@ def mix_plan(
     text_col: str = "text",
     source_col: str = "source",
     broadcast_rows: int = 1_000_000,
+    keep: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row for each input row: id, size, source_size, target, copies.
 
     Size is the number of words; a null text has none. A null source is a source of its own, the last. Rows that
     repeat an id are rows of their own; a null id orders first. A document of size 0 may be emitted and adds nothing;
     a source whose documents are all empty has target 0. An empty table gives an empty plan. Other columns of
-    ``docs`` are ignored. The offset of a source comes from ``seed`` and its name, so reruns agree.
+    ``docs`` are ignored, but for those that ``keep`` makes. The offset of a source comes from ``seed`` and its name, so reruns agree.
     """
     size = F.coalesce(F.size(F.regexp_extract_all(F.col(text_col), F.lit(WORD), 0)), F.lit(0)).cast("long")
     size = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(size).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    more = [c.alias(f"keep{i}") for i, c in enumerate((keep or {}).values())]
+    # rows of one source and size are laid out by a digest of their ids, whatever pattern these have
+    deal = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text_col).cast("string"))), 1, 2)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), deal.alias("deal"), *more)
     rows = materialize(rows.withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "mix-sizes")
     n = rows.count()
     sources = rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     few = rows.groupBy("skey").count().count() <= broadcast_rows
     targets = source_targets(sources, weights, share, most)
-    # Strata of one source and size. A stratum of many rows is dealt out by its ids; there are at most 10,000 of those.
+    # Strata of one source and size. A stratum of many rows is dealt out; there are at most 10,000 of those.
     large = max(64, n // 10_000)
     strata = rows.groupBy("skey", "size").count().where(F.col("count") > large).select("skey", "size", F.lit(1).alias("dealt"))
-    deal = F.pmod(F.coalesce(F.col("id"), F.lit(0)), F.lit(256)).cast("int")
-    rows = rows.join(F.broadcast(strata), ["skey", "size"], "left").withColumn("cell", F.when(F.col("dealt").isNotNull(), deal).otherwise(-1))
-    rows = rows.select("id", "skey", "size", "cell", deal.alias("deal"))
+    rows = rows.join(F.broadcast(strata), ["skey", "size"], "left").withColumn("cell", F.when(F.col("dealt").isNotNull(), F.col("deal")).otherwise(F.lit("")))
+    rows = rows.drop("source", "dealt")
     cells = rows.groupBy("skey", "size", "cell").count()
     bands = cells.groupBy("skey", "size").agg(F.sum("count").alias("held"))
     bands = bands.select("skey", "size", (F.sum("held").over(Window.partitionBy("skey").orderBy(F.desc("size"))) - F.col("held")).alias("band_from"))
@@ -83,19 +86,30 @@ def mix_plan(
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), "skey")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     copies = F.floor(offset + i * rate) - F.floor(offset + (i - 1) * rate)
     # rounding of the sums never lifts a document above its bound
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies"))
+    kept = [F.col(f"keep{i}").alias(c) for i, c in enumerate(keep or {})]
+    return placed.select(F.col("id").alias(id_col), *kept, "size", "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: rows of ``docs`` with all their columns, each as often as the plan takes it.
 
-    Rows that repeat an id are each taken as often as the most that one of them is planned.
+    Rows are told apart by id, text and source; of rows that agree in all three, some are taken once more than others, so
+    that together they are taken as often as planned. Null texts and sources are values like others, a null id too. An
+    empty table gives an empty mix; other columns pass through whatever their names.
     """
-    plan = mix_plan(docs, id_col=id_col, **options).where("copies > 0")
-    plan = plan.groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies"))
-    plan = small(materialize(plan, "mix-plan"))
-    taken = docs.join(plan, docs[id_col].eqNullSafe(plan["_id"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(docs[c] for c in docs.columns))
+    rows, names = hidden(docs)
+    by = {c: n for n, c in names.items()}
+    key = [F.col(by[id_col]).alias("_id"), F.xxhash64(F.coalesce(by[text_col], F.lit("")), F.col(by[text_col]).isNull()).alias("_x"), F.col(by[source_col]).cast("string").alias("_s")]
+    plan = mix_plan(rows, id_col=by[id_col], text_col=by[text_col], source_col=by[source_col], keep={"_x": key[1], "_s": key[2]}, **options)
+    plan = plan.groupBy(F.col(by[id_col]).alias("_pi"), F.col("_x").alias("_px"), F.col("_s").alias("_ps")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    plan = small(materialize(plan.where("_copies > 0"), "mix-plan"))
+    taken = rows.select("*", *key).join(plan, F.col("_id").eqNullSafe(F.col("_pi")) & (F.col("_x") == F.col("_px")) & F.col("_s").eqNullSafe(F.col("_ps")))
+    once = taken.where("_rows = 1").withColumn("_n", F.col("_copies"))
+    # the k-th of several equal rows: a window over those alone
+    again = taken.where("_rows > 1").withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_x", "_s").orderBy("_x")))
+    again = again.withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_k") <= F.col("_copies") % F.col("_rows")).cast("long")).drop("_k")
+    taken = once.unionByName(again).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    return taken.select(*(F.col(n).alias(c) for n, c in names.items()))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -114,7 +128,7 @@ WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_
      t AS (SELECT source, source_size, least(cap, max(level) OVER () * w)::DOUBLE AS target,
                   ('0x' || substr(md5('mix' || coalesce('=' || source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM l),
      o AS (SELECT doc_id, size, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-                  row_number() OVER (PARTITION BY d.source ORDER BY size DESC, doc_id % 256, doc_id) AS i
+                  row_number() OVER (PARTITION BY d.source ORDER BY size DESC, substr(md5(doc_id::VARCHAR), 1, 2), doc_id) AS i
            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (least(floor(u + i * rate) - floor(u + (i - 1) * rate), 3) * size)::BIGINT AS taken FROM o
 """

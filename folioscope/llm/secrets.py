@@ -3,9 +3,10 @@
 Tokens of 20 and more characters that no pattern has claimed are read in the smallest encoding that fits (hex,
 base32, base64). Three tests ask whether the symbols could be drawn uniformly from it: chi-squared over the alphabet,
 runs above and below its middle, and correlation of neighbours. Fisher's sum joins their p-values. A random token's p
-is uniform and ordinary words crowd at 0, so in each encoding and class of lengths the share of random tokens is read
-off the upper half of the p-values, and a token counts as a secret where, among tokens with a p as large as its own,
-the expected share of ordinary words is small. Classes of lengths are apart since short tokens give little evidence.
+is uniform and ordinary words crowd at 0, so in each encoding and class of lengths the number of random tokens is read
+off the p-values over a quarter, and a token counts as a secret where, among tokens with a p as large as its own, the
+expected share of ordinary words is small, one standard error of that number allowed; one with a p under 1/64 never does.
+Classes of lengths are apart since short tokens give little evidence.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialize, table
+from folioscope.functions.matching import laid_out
+from folioscope.llm.common import materialize, quoted, table
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -22,6 +24,7 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 BINS = 64
+CLEAR = 10  # class of lengths from which a token says enough by itself: 32 symbols
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
@@ -31,18 +34,12 @@ def _spans(text: Column, pattern: str, rank: int, group: int | None = None, leas
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else met
     parts = F.filter(F.arrays_zip(gaps.alias("g"), met.alias("m"), value.alias("v")), lambda x: x["m"].isNotNull())
     kind = SPAN.replace("end:int", "end:int,token:string") if also else SPAN
+    width = lambda x: F.length(x["g"]) + F.length(x["m"])
     one = lambda at, x: F.struct(
-        (at + F.length(x["g"])).alias("start"), F.lit(rank).alias("rank"), (at + F.length(x["g"]) + F.length(x["m"])).alias("end"), *([x["m"].alias("token")] if also else [])
-    )
-    out = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.when(F.length(x["v"]) >= least, F.concat(s["out"], F.array(one(s["at"], x)))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
+        (at + F.length(x["g"])).alias("start"), F.lit(rank).alias("rank"), (at + width(x)).alias("end"), F.length(x["v"]).alias("size"), *([x["m"].alias("token")] if also else [])
     )
+    out = laid_out(parts, width, one, kind.replace("end:int", "end:int,size:int"))
+    out = F.transform(F.filter(out, lambda x: x["size"] >= least), lambda x: F.struct(*(x[c].alias(c) for c in ("start", "rank", "end", *(["token"] if also else [])))))
     return F.when(F.regexp_like(text, F.lit(pattern)), out).otherwise(F.array().cast(kind))
 
 
@@ -77,25 +74,58 @@ def battery(tokens: str = "tokens") -> Column:
     return F.expr(out)
 
 
-def thresholds(tested: DataFrame, rate: float) -> dict[tuple[str, int], float]:
+def thresholds(tested: DataFrame, rate: float, least: int = 64) -> dict[tuple[str, int], float]:
     """(encoding, class of lengths) -> least p that counts as random, from the p-values of all tokens.
 
-    The table collected has a row for each encoding, class and bin of p: some thousands at most, whatever the input.
+    A class of fewer than ``least`` tokens is taken together with the nearest classes of its encoding. Where these are few
+    too, nothing can be learned of the ordinary words among them: a token of 32 symbols and more then counts as random
+    unless its own p is under ``rate``, a shorter one doesn't. The table collected has a row for each encoding, class and
+    bin of p: some thousands at most, whatever the input.
     """
     c = tested.select(F.explode("tested").alias("c")).select("c.enc", "c.cls", F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     held: dict[tuple[str, int], list[int]] = {}
     for enc, cls, b, n in c.groupBy("enc", "cls", "bin").count().collect():
         held.setdefault((enc, cls), [0] * BINS)[b] = n
     out = {}
-    for k, n in held.items():
-        upper = 2 * sum(n[BINS // 2 :])
-        for b in range(BINS // 2 + 1):
-            if upper and 1 - upper * (1 - b / BINS) / sum(n[b:]) <= rate:
-                out[k] = b / BINS
+    for enc, cls in sorted(held):
+        n = [0] * BINS
+        for _, other in sorted((abs(k - cls), k) for e, k in held if e == enc):
+            if sum(n) >= least:
+                break
+            n = [x + y for x, y in zip(n, held[enc, other], strict=True)]
+        if sum(n) < least:
+            if cls >= CLEAR:
+                out[enc, cls] = rate
+            continue
+        uniform = sum(n[BINS // 4 :]) / (BINS - BINS // 4)  # random tokens in each bin
+        for b in range(1, BINS // 2 + 1):
+            over = sum(n[b:])
+            if over - uniform * (BINS - b) <= rate * over + over**0.5:
+                out[enc, cls] = b / BINS
                 break
     return out
 
 
+def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
+    """row (all columns), base and tested of each input row."""
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    t = F.col("t")
+    base = F.array_sort(F.concat(_spans(t, ASSIGN, 0, 2, 6), _spans(t, ACCESS, 1), _spans(t, HEX, 2)))
+    rows = rows.select("row", base.alias("base"), _spans(t, TOKEN, 3, also=True).alias("tokens"))
+    free = F.filter("tokens", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    return rows.select("row", "base", free.alias("tokens")).select("row", "base", battery().alias("tested"))
+
+
+def _all_spans(bounds: dict[tuple[str, int], float]) -> Column:
+    """Base spans and the tokens over their bound, in order."""
+    if not bounds:
+        return F.col("base")
+    known = F.create_map(*(F.lit(x) for (enc, cls), p in sorted(bounds.items()) for x in (f"{enc}{cls}", p)))
+    random = lambda c: c["p"] >= F.coalesce(F.element_at(known, F.concat(c["enc"], c["cls"].cast("string"))), F.lit(2.0))
+    added = F.transform(F.filter("tested", random), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))
+    return F.array_sort(F.concat("base", added))
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05) -> DataFrame:
     """One row for each input row: id, base and spans, arrays of (start, kind, end) in order of start, then kind.
 
@@ -103,38 +133,29 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text is empty. Rows that repeat are scanned alike (and count as often in the p-values), an empty table gives
     an empty result, other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    t = F.col("t")
-    base = F.array_sort(F.concat(_spans(t, ASSIGN, 0, 2, 6), _spans(t, ACCESS, 1), _spans(t, HEX, 2)))
-    rows = rows.select("id", base.alias("base"), _spans(t, TOKEN, 3, also=True).alias("tokens"))
-    free = F.filter("tokens", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = rows.select("id", "base", free.alias("tokens")).select("id", "base", battery().alias("tested"))
-    rows = materialize(rows, "secrets")
+    rows = materialize(_scanned(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("row.id", "base", "tested"), "secrets")
     bounds = thresholds(rows, rate)
-    least = F.lit(2.0)
-    added = F.array().cast(SPAN)
-    if bounds:
-        known = F.create_map(*(F.lit(x) for (enc, cls), p in sorted(bounds.items()) for x in (f"{enc}{cls}", p)))
-        random = lambda c: c["p"] >= F.coalesce(F.element_at(known, F.concat(c["enc"], c["cls"].cast("string"))), least)
-        added = F.transform(F.filter("tested", random), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))
     named = lambda spans: F.transform(spans, lambda c: F.struct(c["start"].alias("start"), F.element_at(F.array(*map(F.lit, KINDS)), c["rank"] + 1).alias("kind"), c["end"].alias("end")))
-    return rows.select(F.col("id").alias(id_col), named(F.col("base")).alias("base"), named(F.array_sort(F.concat("base", added))).alias("spans"))
-
-
-def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]", rate: float = 0.05) -> DataFrame:
-    """Documents with each span that was found replaced, right to left; spans that overlap an earlier one are skipped."""
-    found = find_secrets(docs, id_col, text_col, rate).where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), F.col("spans").alias("_spans")).distinct()
-    cut = F.aggregate(
-        "_spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda s, c: F.struct(
-            F.when(c["start"] >= s["at"], F.concat(s["out"], F.col(text_col).substr(s["at"] + 1, c["start"] - s["at"]), F.lit(mask))).otherwise(s["out"]).alias("out"),
-            F.greatest(s["at"], c["end"]).alias("at"),
-        ),
-        lambda s: F.concat(s["out"], F.col(text_col).substr(s["at"] + 1, F.length(text_col))),
-    )
-    met = docs.join(found, docs[id_col] == found["_id"], "left")
-    return met.select(*(F.when(F.col("_spans").isNotNull(), cut).otherwise(docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns))
+    return rows.select(F.col("id").alias(id_col), named(F.col("base")).alias("base"), named(_all_spans(bounds)).alias("spans"))
+
+
+def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", rate: float = 0.05) -> DataFrame:
+    """The documents with each span that was found replaced; one that overlaps an earlier one is masked along with it.
+
+    Texts are scanned twice, first for the bounds and then in their rows, so nothing is joined: rows that repeat an id or
+    have none are masked like others. A null text stays null, an empty table empty; other columns pass through whatever
+    their names.
+    """
+    bounds = thresholds(_scanned(docs.select(F.col(text_col).alias("text")), "text"), rate)
+    rows = _scanned(docs, text_col).select("row", _all_spans(bounds).alias("spans"))
+    # what a span leaves open: from the furthest end before it to its start
+    text, spans = F.col("row").getField(text_col), F.col("spans")
+    furthest = lambda i: F.array_max(F.transform(F.slice(spans, 1, i), lambda c: c["end"]))
+    kept = F.transform(spans, lambda c, i: F.struct(F.when(i > 0, furthest(i)).otherwise(F.lit(0)).alias("from"), c["start"].alias("to")))
+    pieces = F.transform(F.filter(kept, lambda k: k["to"] >= k["from"]), lambda k: F.concat(text.substr(k["from"] + 1, k["to"] - k["from"]), F.lit(mask)))
+    rest = text.substr(F.array_max(F.transform(spans, lambda c: c["end"])) + 1, F.length(text))
+    cut = F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
+    return rows.select(*(cut.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from folioscope.llm.common import components, materialize, ship, small, table, trim
+from folioscope.llm.common import components, hidden, materialize, ship, small, table, trim
 
 PIECE = 1 << 16
 
@@ -97,16 +97,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, with all its columns: the one with the least id.
 
-    Of rows that repeat the id, one stays. Rows without an id stay.
+    Null and wordless texts are alike. Of rows that repeat the id, one stays. Rows without an id stay. An empty table gives
+    an empty one; other columns pass through whatever their names.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col).where(F.col(id_col).isNotNull()), "simhash-found")
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    kept = docs.join(small(gone), docs[id_col] == F.col("_gone"), "left_anti")
-    again = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_again")).count().where("count > 1").select("_again")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, kept[id_col] == F.col("_again"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, kept[id_col] == F.col("_again"), "left_anti").unionByName(once)
+    rows, names = hidden(docs)
+    id_name, text_name = (next(n for n, c in names.items() if c == col) for col in (id_col, text_col))
+    found = near_duplicates(rows.select(F.col(id_name).alias("id"), F.col(text_name).alias("text")), "id", "text").where("id is not null")
+    found = materialize(found.groupBy("id").agg(F.min("component_id").alias("root"), F.count(F.lit(1)).alias("n")), "simhash-found")
+    gone = small(found.where("id <> root").select(F.col("id").alias("_gone")))
+    kept = rows.join(gone, F.col(id_name).cast("long") == F.col("_gone"), "left_anti")
+    again = found.where("id = root and n > 1").select(F.col("id").alias("_again"))
+    if not again.isEmpty():
+        same = F.col(id_name).cast("long") == F.col("_again")
+        kept = kept.join(small(again), same, "left_anti").unionByName(kept.join(small(again), same, "left_semi").dropDuplicates([id_name]))
+    return kept.toDF(*names.values())
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ are rows (block, four words), so a probe reads one row; what passes is joined to
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,10 +82,12 @@ def judge_urls(
     blocks = max(1, n * 16 // 256 + 1)
     urls = rows.where("host <> ''").select("host", "path").distinct()
     labels = F.size(F.split("host", r"\."))
-    asked = [F.when((labels >= k) & (F.length("path") >= c), F.concat(F.lit("r:"), F.substring_index("host", ".", -k), F.substring("path", 1, c) if c else F.lit(""))) for k, c in shapes]
+    every = F.from_json(F.lit(json.dumps([{"k": k, "c": c} for k, c in sorted(shapes)])), "array<struct<k:int,c:int>>")  # a constant
+    fitting = F.filter(every, lambda x: (labels >= x["k"]) & (F.length("path") >= x["c"]))
+    asked = F.transform(fitting, lambda x: F.concat(F.lit("r:"), F.call_function("substring_index", F.col("host"), F.lit("."), -x["k"]), F.substring("path", F.lit(1), x["c"])))
     if listed is not None:
-        asked.append(F.concat(F.lit("u:"), "host", "path"))
-    found = urls.select("host", "path", F.explode(F.array_compact(F.array(*asked))).alias("key")) if asked else urls.select("host", "path", F.lit("").alias("key")).where("false")
+        asked = F.concat(asked, F.array(F.concat(F.lit("u:"), "host", "path")))
+    found = urls.select("host", "path", F.explode(asked).alias("key"))
     found = probe(found, blocked_bloom(keys, blocks), blocks)
     found = found.join(F.broadcast(keys) if n <= broadcast_keys else keys, "key")
     rank = F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "host_len", "rule", "action"))
@@ -95,9 +99,11 @@ def judge_urls(
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    """Query op5_url_filter: every row of ``pages`` against the fixed rules, which are the listed canonical URLs."""
-    rules = spark.createDataFrame(list(RULES), "action string, host string, path string")
-    return judge_urls(table(spark, sf_dir, "pages"), rules).drop("listed")
+    """Query op5_url_filter: every row of ``pages`` against the fixed rules; the list has the canonical URLs of those that block."""
+    rows = F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(r, ("action", "host", "path"), strict=True))) for r in RULES))
+    rules = spark.range(1).select(F.inline(rows))
+    listed = rules.where("action = 'block'").select(F.concat(F.lit("http://"), "host", "path").alias("url"))
+    return judge_urls(table(spark, sf_dir, "pages"), rules, listed).drop("listed")
 
 
 OP5_SQL = r"""
