@@ -449,8 +449,8 @@ def unlike(seed, n):
     return " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 20_000, n))
 
 
-@pytest.mark.parametrize("block", [256, 12])
-def test_crowded_passages(spark, block):
+@pytest.mark.parametrize(("few", "block"), [(8, 256), (1000, 12), (2, 5)])
+def test_crowded_passages(spark, few, block):
     """Postings too long to be paired off at once: all holders of a passage meet, holders of a common line don't."""
     r = np.random.default_rng(5)
     passage, edited, line = unlike(200, 64), unlike(201, 60), unlike(202, 17)
@@ -465,7 +465,7 @@ def test_crowded_passages(spark, block):
     said += [f"{unlike(5000 + i, 25)} {changed(edited, 100 + i)} {unlike(6000 + i, 25)}" for i in range(60)]
     said += [f"{unlike(7000 + i, 60)} {line} {unlike(8000 + i, 60)}" for i in range(40)]
     said += [f"{unlike(9000, 30)} {unlike(9001 + i, 100)}" for i in range(5)] + ["same " * 300, "same " * 200, "a b " * 150, f"a b {'a b ' * 100}end"]
-    got = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), block=block).collect()
+    got = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), few=few, block=block).collect()
     classes = {}
     for x in got:
         classes.setdefault(x.class_id, set()).update((x.doc_id, x.partner_id))
