@@ -89,6 +89,17 @@ def occurrences(text: Column, literal: Column) -> Column:
     return F.when(F.contains(text, literal) & (F.length(literal) > 0), starts).otherwise(F.array().cast("array<int>"))
 
 
+def numbered(text: Column, literal: Column) -> Column:
+    """(start, ordinal, line) of the non-overlapping occurrences of a literal: how many end before it, and its line from 1."""
+    gaps = F.split(text, F.concat(F.lit(r"\Q"), F.replace(literal, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), -1)
+    before = F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0)))
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    lines = laid_out(before, lambda g: breaks(g) + breaks(literal), lambda at, g: at + breaks(g) + 1, "array<int>")
+    rows = F.arrays_zip(occurrences(text, literal).alias("start"), lines.alias("line"))
+    found = F.transform(rows, lambda x, i: F.struct(x["start"].alias("start"), i.alias("ordinal"), x["line"].alias("line")))
+    return F.when(F.contains(text, literal) & (F.length(literal) > 0), found).otherwise(F.array().cast("array<struct<start:int,ordinal:int,line:int>>"))
+
+
 def occurrence_before(text: Column, literal: Column, start: Column) -> Column:
     """How many occurrences of the literal end at or before ``start`` (an ordinal for the one that starts there)."""
     before = F.substring(text, F.lit(1), start)

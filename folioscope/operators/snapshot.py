@@ -25,6 +25,15 @@ def same_files(a: DataFrame, b: DataFrame) -> DataFrame:
     return odd.agg((F.count(F.lit(1)) == 0).alias("same"))
 
 
+def file_hashes(parts: DataFrame, by: str = "file", part: str = "hash") -> DataFrame:
+    """(file, hash): one hash for all parts of a file, from their hexadecimal hashes, whatever order these come in.
+
+    Stretches of the hashes are summed, so a file of any number of parts is folded where it is read.
+    """
+    sums = [F.sum(F.conv(F.substring(part, i, 12), 16, 10).cast("decimal(20,0)")).cast("string") for i in (1, 13, 25, 37, 49)]
+    return parts.groupBy(by).agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *sums), 256).alias(part))
+
+
 def split_by_cache(units: DataFrame, cache: DataFrame, stage: str, key: str = "key") -> tuple[DataFrame, DataFrame]:
     """(known, missing): units whose key the stage has a value for, with it, and those to be computed."""
     own = cache.where(F.col("stage") == stage).select(key, "value")

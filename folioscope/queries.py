@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
-from folioscope.functions.matching import count, line_and_place, occurrence_before, occurrences, texts
+from folioscope.functions.matching import count, matches, numbered, occurrences, texts
 from folioscope.functions.numbers import floor_quantiles, midpoint_median, total_or_null
 from folioscope.operators import evaluate, events, guards, harness, intervals, lexicon, metrics, patterns, rules, segment, snapshot
 from folioscope.sources import markup
@@ -47,11 +47,58 @@ def word_counts(spark, d):
     return metrics.word_counts(t(spark, d, "documents"), letters())
 
 
-@query(rf"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM ({_W})) WHERE word = before AND length(word) >= 2 GROUP BY doc_id")
+def _drafts(rule, docs, settings=None):
+    """doc_id, n, chars: drafts of a rule over whole texts, and the length of their targets."""
+    found = rule(docs.select("doc_id", "text"), rules.Context(lexicon.PACKS["en"], settings or rules.Settings()))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("target")).alias("chars"))
+
+
+@query(rf"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\p{{L}}+')) AS word, unnest(regexp_split_to_array(text, '\p{{L}}+')[2:]) AS gap, generate_subscripts(regexp_extract_all(text, '\p{{L}}+'), 1) AS pos FROM documents),
+     c AS (SELECT *, coalesce(lower(word) <> lag(lower(word)) OVER o OR NOT regexp_full_match(lag(gap) OVER o, '[ \t\r\n]+'), true) AS new FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+     r AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c),
+     k AS (SELECT doc_id, run, min(lower(word)) AS word, count(*) AS n FROM r GROUP BY doc_id, run HAVING count(*) >= 2)
+SELECT doc_id, sum(n // 2)::BIGINT AS n FROM k WHERE length(word) >= 2 AND word NOT IN ('that', 'had', 'chow', 'bye', 'so', 'no', 'yes', 'very') GROUP BY doc_id
+""")
 def doubled_words(spark, d):
-    w = F.col("w")
-    pairs = F.filter(F.arrays_zip(w.alias("a"), F.slice(w, 2, 1_000_000_000).alias("b")), lambda x: (x["a"] == x["b"]) & (F.length(x["a"]) >= 2))
-    return t(spark, d, "documents").select("doc_id", letters().alias("w")).select("doc_id", F.size(pairs).cast("long").alias("n")).where("n > 0")
+    return _drafts(rules.doubled_word, t(spark, d, "documents")).select("doc_id", "n")
+
+
+@query(r"""
+WITH m AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}] {2,}[^\s]') || regexp_extract_all(text, '[^\s][ \t]+\r?(?:\n|$)') AS m,
+                  regexp_extract_all(text, '[\p{L}\p{N}][ \t]+[,.;:!?](?:[^\p{N}]|$)') AS p FROM documents)
+SELECT doc_id, (len(m) + len(p))::BIGINT AS n FROM m WHERE len(m) + len(p) > 0
+""")
+def whitespace_drafts(spark, d):
+    return _drafts(rules.whitespace, t(spark, d, "documents")).select("doc_id", "n")
+
+
+@query(r"""
+WITH m AS (SELECT doc_id, regexp_extract_all(text, '"[^"\r\n]+"|“[^”\r\n]+”') AS m FROM documents),
+     c AS (SELECT doc_id, list_filter(m, lambda x: x[1] = '"' OR regexp_matches(x, '‘[^’]+’')) AS m FROM m)
+SELECT doc_id, len(m)::BIGINT AS n, len(array_to_string(m, ''))::BIGINT AS chars FROM c WHERE len(m) > 0
+""")
+def quote_drafts(spark, d):
+    return _drafts(rules.quotes, t(spark, d, "documents"), rules.Settings(quotes="“”"))
+
+
+@query(r"""
+WITH m AS (SELECT doc_id, regexp_extract_all(text, '"[^"“”\r\n]+”|“[^"“”\r\n]+"') AS m FROM documents)
+SELECT doc_id, len(m)::BIGINT AS n, len(array_to_string(m, ''))::BIGINT AS chars FROM m WHERE len(m) > 0
+""")
+def mixed_quote_drafts(spark, d):
+    return _drafts(rules.mixed_quotes, t(spark, d, "documents"), rules.Settings(quotes="“”"))
+
+
+@query(r"""
+WITH f AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES (-1::BIGINT, 'A - b - c.. d...' || chr(10) || '- Well. e..f'), (-2, '-  yes 1..2'), (-3, '..x... y')) x(doc_id, text)),
+     m AS (SELECT doc_id, len(regexp_extract_all(text, '\p{L} - \p{L}')) AS dash, len(regexp_extract_all(text, '[\p{L}\p{N}]+\.\.(?:[^.…]|$)')) AS stops, len(regexp_extract_all(text, '(?m)^-[ \t]+\p{L}')) AS speech FROM f)
+SELECT doc_id, (dash + stops + speech)::BIGINT AS n FROM m WHERE dash + stops + speech > 0
+""")
+def dash_drafts(spark, d):
+    extra = spark.createDataFrame([(-1, "A - b - c.. d...\n- Well. e..f"), (-2, "-  yes 1..2"), (-3, "..x... y")], "doc_id long, text string")
+    docs = t(spark, d, "documents").select("doc_id", "text").unionByName(extra)
+    return _drafts(rules.dashes_ellipsis, docs, rules.Settings(ellipsis=None)).select("doc_id", "n")
 
 
 @query("""
@@ -123,7 +170,7 @@ PAIRS = (("thon", "then"), ("erest", "reest"), ("ander", "anther"), ("colour", "
 
 
 @query(r"""
-WITH c AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents) GROUP BY word),
+WITH c AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents) WHERE word IN ('thon', 'then', 'erest', 'reest', 'ander', 'anther', 'colour', 'color') GROUP BY word),
      p(a, b) AS (VALUES ('thon', 'then'), ('erest', 'reest'), ('ander', 'anther'), ('colour', 'color')),
      q AS (SELECT a, b, coalesce(x.n, 0) AS na, coalesce(y.n, 0) AS nb FROM p LEFT JOIN c x ON x.word = a LEFT JOIN c y ON y.word = b)
 SELECT CASE WHEN na >= nb THEN b ELSE a END AS loser, CASE WHEN na >= nb THEN a ELSE b END AS winner, least(na, nb) AS hits FROM q WHERE na > 0 AND nb > 0
@@ -182,12 +229,13 @@ def quantiles_by_lang(spark, d):
 
 
 @query(r"""
-WITH c AS (SELECT source, doc_id, len(regexp_extract_all(text, '\p{L}+')) AS words, len(string_split(text, chr(10))) AS lines FROM documents)
-SELECT source, count(*) AS docs, sum(lines)::BIGINT AS lines, sum(words)::BIGINT AS words FROM c GROUP BY source
+WITH w AS (SELECT source, lang, len(regexp_extract_all(text, '[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]+([.,][0-9]+)+|\p{L}+([''’]\p{L}+)*|[0-9]+')) AS words FROM documents WHERE NOT regexp_matches(text, '[0-9]'))
+SELECT source, count(DISTINCT lang) AS chapters, count(*) AS scenes, sum(words)::BIGINT AS words FROM w GROUP BY source
 """)
 def book_totals(spark, d):
-    docs = t(spark, d, "documents").select("source", count(F.col("text"), r"\p{L}+").alias("words"), F.size(F.split("text", "\n")).alias("lines"))
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("lines").alias("lines"), F.sum("words").alias("words"))
+    """Documents without digits: the edges of numbers are no matter for SQL's patterns."""
+    docs = t(spark, d, "documents").where(~F.regexp_like("text", F.lit("[0-9]")))
+    return metrics.totals(docs, ["source"], "lang")
 
 
 @query(r"""
@@ -208,14 +256,15 @@ def evidence_located(spark, d):
     return evaluate.located(docs, quotes, "doc_id", "item_id").select("item_id", "doc_id", "start")
 
 
-@query(r"""
-WITH x(id, s, e) AS (VALUES (1, 0, 10), (2, 5, 20), (3, 12, 15), (4, 30, 31)), q(qs, qe) AS (VALUES (8, 13), (40, 50))
-SELECT id, s AS start, e AS "end" FROM x WHERE NOT EXISTS (SELECT 1 FROM q WHERE s < qe AND e > qs)
+@query("""
+WITH q AS (SELECT doc_id, len(string_split(text, 'tion')) - 1 AS every, len(string_split(array_to_string(regexp_extract_all(text, '"[^"]*"'), '|'), 'tion')) - 1 AS inside FROM documents)
+SELECT doc_id, (every - inside)::BIGINT AS n FROM q WHERE every > inside
 """)
 def hits_not_in_dialogue(spark, d):
-    hits = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 5, 20), (1, 3, 12, 15), (1, 4, 30, 31)], "k int, id int, start int, end int")
-    spoken = spark.createDataFrame([(1, 8, 13), (1, 40, 50)], "k int, start int, end int")
-    return intervals.span_join(hits, spoken, ["k"], "left_anti").select("id", "start", "end")
+    docs, text = t(spark, d, "documents"), F.col("text")
+    hits = docs.select("doc_id", F.explode(occurrences(text, F.lit("tion"))).alias("start")).withColumn("end", F.col("start") + 4)
+    spoken = docs.select("doc_id", F.explode(matches(text, '"[^"]*"')).alias("m")).select("doc_id", "m.start", "m.end")
+    return intervals.span_join(hits, spoken, ["doc_id"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 _H = r"(SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '\p{L}+tion')) AS quote FROM documents)"
@@ -248,25 +297,13 @@ def literal_occurrences(spark, d):
     return docs.select("doc_id", F.size("s").cast("long").alias("n"), F.col("s")[0].alias("first"))
 
 
-@query(r"""
-WITH p AS (SELECT doc_id, text, position('the' IN text) AS p FROM documents WHERE length(text) >= 200)
-SELECT doc_id, (len(string_split(substr(text, 1, 200), 'the')) - 1)::INT AS ordinal, (1 + length(substr(text, 1, 200)) - length(replace(substr(text, 1, 200), chr(10), '')))::INT AS line FROM p WHERE p > 0
-""")
-def occurrence_ordinals(spark, d):
-    text = F.col("text")
-    docs = t(spark, d, "documents").where((F.length(text) >= 200) & F.contains(text, F.lit("the")))
-    return docs.select("doc_id", occurrence_before(text, F.lit("the"), F.lit(200)).alias("ordinal"), line_and_place(text, F.lit(200)).alias("line"))
-
-
 @query("""
 WITH g AS (SELECT doc_id, unnest(string_split(text, 'the')) AS gap, generate_subscripts(string_split(text, 'the'), 1) AS i FROM documents),
      m AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id) AS n, sum(length(gap)) OVER w AS chars, sum(length(gap) - length(replace(gap, chr(10), ''))) OVER w AS breaks FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY i))
 SELECT doc_id, (chars + 3 * (i - 1))::INT AS start, (i - 1)::INT AS ordinal, (1 + breaks)::INT AS line FROM m WHERE i < n
 """)
-def occurrence_ordinals_all(spark, d):
-    text, the = F.col("text"), F.lit("the")
-    place = lambda s: F.struct(s.alias("start"), occurrence_before(text, the, s).alias("ordinal"), line_and_place(text, s).alias("line"))
-    return t(spark, d, "documents").select("doc_id", F.explode(F.transform(occurrences(text, the), place)).alias("m")).select("doc_id", "m.*")
+def occurrence_ordinals(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.explode(numbered(F.col("text"), F.lit("the"))).alias("m")).select("doc_id", "m.*")
 
 
 _I = "(SELECT user_id, event_id, epoch_us(ts) AS s, epoch_us(ts) + 21600000000 AS e FROM events)"
@@ -392,21 +429,9 @@ def unanimity(spark, d):
     return evaluate.unanimity(votes, ["user_id"], "event_id", "yes")
 
 
-@query("""
-WITH c AS (SELECT user_id, event_type, sum(value) AS cost, bool_or(value IS NULL) AS open, count(*) AS n FROM events WHERE user_id % 10 = 3 GROUP BY user_id, event_type)
-SELECT event_type, CASE WHEN bool_or(open) THEN NULL ELSE round(sum(cost), 4) END AS cost, sum(n)::BIGINT AS calls FROM c GROUP BY event_type
-""")
-def ledger_totals(spark, d):
-    return _totals(t(spark, d, "events").where("user_id % 10 = 3"))
-
-
 @query("SELECT event_type, CASE WHEN bool_or(value IS NULL) THEN NULL ELSE round(sum(value), 4) END AS cost, count(*) AS calls FROM events GROUP BY event_type")
-def ledger_totals_all(spark, d):
-    return _totals(t(spark, d, "events"))
-
-
-def _totals(calls):
-    return calls.groupBy("event_type").agg(F.round(total_or_null(F.col("value"), F.lit(True)), 4).alias("cost"), F.count(F.lit(1)).alias("calls"))
+def ledger_totals(spark, d):
+    return t(spark, d, "events").groupBy("event_type").agg(F.round(total_or_null(F.col("value"), F.lit(True)), 4).alias("cost"), F.count(F.lit(1)).alias("calls"))
 
 
 @query("""
@@ -421,21 +446,124 @@ def call_passes(spark, d):
     return events.passes(calls, "user_id", "event_id").select("user_id", "pass", "verdict", "attempts")
 
 
-@query("SELECT doc_id FROM documents WHERE lang = 'en' EXCEPT SELECT doc_id FROM labels")
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def cache_misses(spark, d):
-    units = t(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("key"))
+    units = t(spark, d, "documents").select(F.col("doc_id").alias("key"))
     cache = t(spark, d, "labels").select(F.col("doc_id").alias("key"), F.lit("rules").alias("stage"), F.col("quality").alias("value")).distinct()
     return snapshot.split_by_cache(units, cache, "rules")[1].select(F.col("key").alias("doc_id")).distinct()
 
 
 @query("""
-WITH a AS (SELECT source AS file, sha256(string_agg(text, '' ORDER BY doc_id)) AS hash FROM documents GROUP BY source) SELECT NOT EXISTS (SELECT * FROM (SELECT file, hash FROM a EXCEPT SELECT file, hash FROM a WHERE file <> 'src3')) AS same
+WITH a AS (SELECT source AS file, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS hash FROM documents GROUP BY source) SELECT NOT EXISTS (SELECT * FROM (SELECT file, hash FROM a EXCEPT SELECT file, hash FROM a WHERE file <> 'src3')) AS same
 """)
 def file_sets_agree(spark, d):
-    docs = t(spark, d, "documents").groupBy(F.col("source").alias("file")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), ""), 256).alias("hash"))
+    docs = snapshot.file_hashes(t(spark, d, "documents").select(F.col("source").alias("file"), F.sha2("text", 256).alias("hash")))
     return snapshot.same_files(docs, docs.where("file <> 'src3'"))
 
 
+@query("SELECT source AS file, count(*) AS n FROM documents GROUP BY source")
+def outputs_changed(spark, d):
+    """Of each source's documents, those whose edited text isn't what is there: all, as each text gets an end."""
+    docs = t(spark, d, "documents").select("doc_id", "source", "text")
+    there = docs.select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    now = docs.withColumn("text", F.concat("text", F.lit(".")))
+    return snapshot.changed_only(now, there, "doc_id").groupBy(F.col("source").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality = 1")
+def orphan_outputs(spark, d):
+    expected = t(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
+    return snapshot.orphans(t(spark, d, "documents").select("doc_id"), expected, "doc_id").distinct()
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS id, o_custkey % 97 + 5 AS old, o_custkey % 89 + 5 AS new, o_orderkey % 50 AS job, row_number() OVER (PARTITION BY o_orderkey % 50 ORDER BY o_orderkey) * 200 AS start FROM orders)
+SELECT id, (start + coalesce(sum(new - old) OVER (PARTITION BY job ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "at" FROM o
+""")
+def shifted_edits(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 97 + 5).alias("old"), (F.col("o_custkey") % 89 + 5).alias("new"), (F.col("o_orderkey") % 50).alias("job"))
+    o = o.withColumn("start", F.row_number().over(Window.partitionBy("job").orderBy("id")).cast("long") * 200)
+    o = o.select("id", "job", "start", (F.col("start") + F.col("old")).alias("end"), F.expr("repeat('x', cast(new as int))").alias("replacement"))
+    return intervals.shifted(o, ["job"]).select("id", "at")
+
+
+_T = "(SELECT conv_id, turn, text AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)"
+
+
+def _texts(spark, d):
+    c = t(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("a"))
+    return c.withColumn("b", F.lag("a").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b is not null")
+
+
+@query(rf"SELECT conv_id, turn, regexp_replace(a, '[\p{{L}}\p{{N}}\s]', '', 'g') AS marks FROM {_T} WHERE b IS NOT NULL")
+def mark_profiles(spark, d):
+    return _texts(spark, d).select("conv_id", "turn", X.mark_profile(F.col("a")).alias("marks"))
+
+
+@query(rf"""SELECT conv_id, turn, trim(regexp_replace(trim('“' || a || '»'), '^[«“"''‘„]+|[»”"''’“]+$', '', 'g')) AS bare FROM {_T} WHERE b IS NOT NULL""")
+def stripped_quotes(spark, d):
+    return _texts(spark, d).select("conv_id", "turn", X.strip_quotes(F.concat(F.lit("“"), F.col("a"), F.lit("»"))).alias("bare"))
+
+
+@query(rf"SELECT conv_id, turn, regexp_replace(replace(lower(a), '’', ''''), '\s+', ' ', 'g') AS key FROM {_T} WHERE b IS NOT NULL")
+def dictionary_keys(spark, d):
+    return _texts(spark, d).select("conv_id", "turn", X.dictionary_key(F.col("a")).alias("key"))
+
+
+@query(rf"""
+WITH h AS (SELECT conv_id, turn, sha256(a) AS h FROM {_T} WHERE b IS NOT NULL)
+SELECT conv_id, turn, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS uuid FROM h
+""")
+def digest_ids(spark, d):
+    return _texts(spark, d).select("conv_id", "turn", X.uuid_of(F.col("a")).alias("uuid"))
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '(\r?\n){2,}')) AS p FROM documents) SELECT doc_id, count(*) AS n, sum(length(p))::BIGINT AS chars FROM p WHERE trim(regexp_replace(p, '\s+', ' ', 'g')) <> '' GROUP BY doc_id
+""")
+def paragraph_counts(spark, d):
+    rows = segment.paragraphs_table(t(spark, d, "documents"), ["doc_id"])
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).cast("long").alias("chars"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+([''’-][\p{L}\p{N}]+)*'))::BIGINT AS n FROM documents WHERE len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+([''’-][\p{L}\p{N}]+)*')) > 0")
+def content_token_counts(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", F.size(segment.content_tokens(F.col("text"))).cast("long").alias("n"))
+    return docs.where("n > 0")
+
+
+@query("""
+WITH h AS (SELECT user_id, event_type, epoch_us(ts) AS s, epoch_us(ts) + 3600000000 AS e, event_id FROM events), k AS (SELECT user_id, s, e, event_id FROM h WHERE event_type = 'purchase'), w AS (SELECT user_id, s - 7200000000 AS s, e + 7200000000 AS e, event_id AS w FROM h WHERE event_type = 'signup')
+SELECT DISTINCT k.event_id FROM k JOIN w ON k.user_id = w.user_id AND k.s >= w.s AND k.e <= w.e
+""")
+def spans_within(spark, d):
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = t(spark, d, "events").select("user_id", "event_id", "event_type", at.alias("start"), (at + 3_600_000_000).alias("end"))
+    inner = e.where("event_type = 'purchase'").drop("event_type")
+    wide = e.where("event_type = 'signup'").select("user_id", (F.col("start") - 7_200_000_000).alias("start"), (F.col("end") + 7_200_000_000).alias("end"))
+    return intervals.span_join(inner, wide, ["user_id"], "left_semi", test="within").select("event_id").distinct()
+
+
+@query("""
+WITH v AS (SELECT user_id AS id, count(*) FILTER (event_type <> 'error') AS yes, count(*) AS n FROM events GROUP BY user_id) SELECT id FROM v WHERE yes >= n // 2 + 1
+""")
+def confirmed_candidates(spark, d):
+    from folioscope.plans import review
+
+    e = t(spark, d, "events")
+    return review.confirmed(e.select(F.col("user_id").alias("id")).distinct(), e.select(F.col("user_id").alias("id"), (F.col("event_type") != "error").alias("yes")))
+
+
+@query("SELECT event_type AS model, round(sum(event_id % 100 * 3 + user_id % 50 * 7) / 1000000.0, 6) AS cost, count(*) AS calls FROM events WHERE event_type <> 'view' GROUP BY 1 UNION ALL SELECT 'view', NULL, count(*) FROM events WHERE event_type = 'view' HAVING count(*) > 0")
+def priced_calls(spark, d):
+    from folioscope.plans import review
+
+    calls = t(spark, d, "events").select(F.col("event_type").alias("model"), (F.col("event_id") % 100).alias("tokens_in"), (F.col("user_id") % 50).alias("tokens_out"))
+    prices = calls.select("model").distinct().where("model <> 'view'").select("model", F.lit(3.0).alias("price_in"), F.lit(7.0).alias("price_out"))
+    out = review.ledger(calls, prices).groupBy("model").agg(F.round(F.sum("cost"), 6).alias("cost"), F.count(F.lit(1)).alias("calls"))
+    return out
+
+
 # --- evaluation -------------------------------------------------------------------------------------------------
 
 @query("""
@@ -524,20 +652,13 @@ def slugs(spark, d):
     return t(spark, d, "part").select("p_partkey", X.slug(F.col("p_name")).alias("slug"))
 
 
-@query("SELECT doc_id, (length(text) - length(replace(text, 'e', 'ee')))::INT AS delta, replace(text, 'ed ', 'ing ') AS text FROM documents WHERE doc_id < 200")
+@query("SELECT doc_id, replace(text, 'ed ', 'ing ') AS text, (len(string_split(text, 'ed ')) - 1)::INT AS edits FROM documents")
 def edit_plan_splice(spark, d):
-    return _spliced(t(spark, d, "documents").where("doc_id < 200"))
-
-
-@query("SELECT doc_id, (length(text) - length(replace(text, 'e', 'ee')))::INT AS delta, replace(text, 'ed ', 'ing ') AS text FROM documents")
-def edit_plan_splice_all(spark, d):
-    return _spliced(t(spark, d, "documents"))
-
-
-def _spliced(docs):
-    text = F.col("text")
+    """Every ``ed `` is put right by an edit; edits are located, ordered and spliced."""
+    text = F.col("before")
     edits = F.transform(occurrences(text, F.lit("ed ")), lambda s: F.struct(s.alias("start"), (s + 3).alias("end"), F.lit("ing ").alias("replacement")))
-    return docs.select("doc_id", (F.length(text) - F.length(F.replace(text, F.lit("e"), F.lit("ee")))).alias("delta"), X.splice(text, edits).alias("text"))
+    docs = t(spark, d, "documents").select("doc_id", F.col("text").alias("before"))
+    return docs.select("doc_id", X.splice(text, edits).alias("text"), F.size(edits).alias("edits"))
 
 
 @query("SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '^\\p{Lu}') THEN upper(p_name[1]) || p_name[2:] ELSE p_name END AS name FROM part".replace("\\\\", "\\"))
@@ -561,7 +682,9 @@ def line_scenes(spark, d):
 SELECT event_type, props->>'$.k' AS k, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY ALL
 """)
 def parsed_json(spark, d):
-    return t(spark, d, "events").where("props is not null").select("event_type", F.get_json_object("props", "$.k").alias("k")).groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"))
+    fence = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).otherwise(F.col("props"))
+    rows = t(spark, d, "events").where("props is not null").select("event_type", F.get_json_object(X.fenced(fence), "$.k").alias("k"))
+    return rows.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -653,29 +776,15 @@ def escalation(spark, d):
     return out.agg(F.count(F.lit(1)).alias("cases"), F.count_if("escalate").alias("escalated"), F.count_if(F.col("final") == "ACCEPT").alias("accepted"), F.round(F.sum("spent"), 6).alias("spent"))
 
 
-@query("""
-WITH a AS (SELECT user_id AS id, arg_min(event_type, event_id) AS payload FROM events GROUP BY user_id), w AS (SELECT event_id, user_id AS id, event_type AS payload, value IS NULL AS unverified FROM events WHERE event_id % 50 = 0),
-     k AS (SELECT *, count(*) OVER (PARTITION BY id) > 1 AS twice FROM w)
-SELECT DISTINCT id, CASE WHEN twice THEN 'duplicate' WHEN unverified THEN 'unverified' WHEN a.payload <> k.payload THEN 'conflicting' END AS why FROM k LEFT JOIN a USING (id) WHERE twice OR unverified OR a.payload <> k.payload
-""")
-def acceptance_checks(spark, d):
-    e = t(spark, d, "events")
-    return _refused(e, e.where("event_id % 50 = 0"))
-
-
 @query("""
 WITH a AS (SELECT user_id AS id, arg_min(event_type, event_id) AS payload FROM events GROUP BY user_id), w AS (SELECT event_id, user_id AS id, event_type AS payload, value IS NULL AS unverified FROM events),
      k AS (SELECT *, count(*) OVER (PARTITION BY id) > 1 AS twice FROM w)
 SELECT DISTINCT id, CASE WHEN twice THEN 'duplicate' WHEN unverified THEN 'unverified' WHEN a.payload <> k.payload THEN 'conflicting' END AS why FROM k LEFT JOIN a USING (id) WHERE twice OR unverified OR a.payload <> k.payload
 """)
-def acceptance_checks_all(spark, d):
+def acceptance_checks(spark, d):
     e = t(spark, d, "events")
-    return _refused(e, e)
-
-
-def _refused(e, asked):
     active = e.groupBy(F.col("user_id").alias("id")).agg(F.min_by("event_type", "event_id").alias("payload"))
-    wanted = asked.select(F.col("user_id").alias("id"), F.col("event_type").alias("payload"), F.col("value").isNull().alias("unverified"))
+    wanted = e.select(F.col("user_id").alias("id"), F.col("event_type").alias("payload"), F.col("value").isNull().alias("unverified"))
     return harness.acceptance_refusals(wanted, active, unverified_ok=False)
 
 
@@ -708,26 +817,14 @@ def dialogue_counts(spark, d):
     return docs.select("doc_id", F.size(marked).alias("n"))
 
 
-@query(r"""
-SELECT p_partkey, (lower(a) = lower(b) OR (length(a) = length(b) AND length(a) > 1 AND lower(a)[:-2] = lower(b)[:-2]) OR (length(a) >= 6 AND length(b) >= 6 AND lower(a)[1:6] = lower(b)[1:6])) AS same
-FROM (SELECT p_partkey, p_type AS a, lead(p_type) OVER (ORDER BY p_partkey) AS b FROM part WHERE p_partkey <= 500) WHERE b IS NOT NULL
-""")
-def stem_pairs(spark, d):
-    return _neighbours(t(spark, d, "part").where("p_partkey <= 500"))
-
-
 @query("""
 SELECT p_partkey, (lower(a) = lower(b) OR (length(a) = length(b) AND length(a) > 1 AND lower(a)[:-2] = lower(b)[:-2]) OR (length(a) >= 6 AND length(b) >= 6 AND lower(a)[1:6] = lower(b)[1:6])) AS same
 FROM (SELECT x.p_partkey, x.p_type AS a, y.p_type AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1)
 """)
-def stem_pairs_all(spark, d):
-    return _neighbours(t(spark, d, "part"))
-
-
-def _neighbours(part):
-    p = part.select("p_partkey", F.col("p_type").alias("a"))
-    nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b"))
-    return p.join(nxt, "p_partkey").select("p_partkey", X.same_stem(F.col("a"), F.col("b")).alias("same"))
+def stem_pairs(spark, d):
+    p = t(spark, d, "part").select("p_partkey", F.col("p_type").alias("a"))
+    following = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b"))
+    return p.join(following, "p_partkey").select("p_partkey", X.same_stem(F.col("a"), F.col("b")).alias("same"))
 
 
 @query("""

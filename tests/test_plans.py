@@ -225,3 +225,42 @@ def test_review_view(spark):
     places = spark.createDataFrame([("1", True), ("3", True)], "id string, found boolean")
     view = harness.review_view(latest, history, results, spark.createDataFrame([("3",)], "id string"), places)
     assert {(r.id, r.target, r.status) for r in view.collect()} == {("1", "a", "pending"), ("2", "old", "accepted"), ("3", "c", "rejected"), ("4", "d", "conflict")}
+
+
+def test_habits_are_thinned_in_order(spark):
+    rows = [("h", 0, "", 9), ("h", 1, "", 9), ("h", 2, "set straight", 9), ("g", 3, "set straight", 3), ("g", 4, "made flush", 3), ("g", 5, "cut", 3), ("g", 6, "other", 3), ("h", 7, "fremd", 9), ("h", 8, "made flush", 9), ("h", 9, None, 9), ("f", 10, "used", 9)]
+    uses = spark.createDataFrame([(*r, r[2] == "fremd") for r in rows], "habit string, ord int, inserted string, total int, wrong_language boolean")
+    kept = review.thin_habits(uses, reused=("used",)).collect()
+    # deletions don't count as wording; a wording holds for all habits; two of three uses of g are the most
+    assert sorted(r.ord for r in kept) == [0, 1, 2, 4, 5, 9]
+    assert review.thin_habits(uses.where("false")).count() == 0
+
+
+def test_frames_worth_a_habit(spark):
+    kind, many = "repetition.sentence-frame", ["a", "b", "c"]
+    rows = [
+        ("x", "1", kind, "medium", "… and did not …", 9.0, many), ("x", "2", kind, "medium", "and did", 8.0, many), ("x", "3", kind, "high", "so was", 20.0, many),
+        ("x", "4", "repetition.tic", "medium", "chair", 20.0, many), ("x", "5", kind, "medium", "the … was", 20.0, many), ("x", "6", kind, "medium", "which was", 7.0, ["a", "b", "a", None]),
+        ("x", "7", kind, "medium", "Which was how", 6.0, many), ("x", "8", kind, "medium", "or else", 5.0, many), ("x", "9", kind, "medium", "if not", 4.0, many), ("x", "10", kind, "medium", "as for", 3.0, many), ("x", "11", kind, "medium", "but then", 2.0, many),
+    ]
+    findings = spark.createDataFrame(rows, "book_id string, id string, category string, severity string, key string, metric double, chapters array<string>")
+    assert sorted(r.frame for r in review.frames(findings).collect()) == ["and did not", "if not", "or else", "which was how"]
+    named = spark.createDataFrame([("x", "Which was"), ("y", "or else")], "book_id string, phrase string")
+    assert sorted(r.frame for r in review.frames(findings, named).collect()) == ["and did not", "as for", "if not", "or else"]
+
+
+def test_long_words_and_clauses(spark):
+    from pyspark.sql import functions as F
+
+    from folioscope.functions.matching import run_before
+    from folioscope.operators.habits import inside
+    from folioscope.operators.rules import widen
+
+    word = "é" * 65 + "x" * 200
+    row = spark.createDataFrame([(f"a {word} b",)], "text string").select(widen(F.col("text"), F.lit(260), F.lit(262), F.lit("yy")).alias("w"), run_before(F.col("text"), F.lit(1), "a").alias("r")).first()
+    assert (row.w.start, row.w.end, row.w.target) == (2, 267, word) and row.r == "a"
+    tail = "word " * 90 + "end"
+    made = spark.createDataFrame([(f"He squared his papers {tail}", f"He squared his papers {tail}".replace("end", "over"))], "a string, b string")
+    assert made.select(inside(F.col("a"), F.col("b"), F.array(F.lit("squared"))).alias("x")).first().x
+    stop = spark.createDataFrame([("He squared, and went", "He squared, and ran")], "a string, b string")
+    assert not stop.select(inside(F.col("a"), F.col("b"), F.array(F.lit("squared"))).alias("x")).first().x
