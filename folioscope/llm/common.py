@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from folioscope.cluster import ship
 
-__all__ = ["components", "gathered", "hidden", "lower_ascii", "materialize", "quoted", "release", "scratch_dir", "ship", "small", "split_words", "table", "trim", "values"]
+__all__ = ["components", "discard", "gathered", "hidden", "lower_ascii", "materialize", "quoted", "release", "scratch_dir", "ship", "small", "split_words", "table", "trim", "values"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space, as the contracts name it.
@@ -55,7 +55,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         _released.add(app)
         atexit.register(_release_at_end, spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that everything made from them is past, and has the engine look for shuffles that are no
+    longer part of a plan, which it removes as well."""
+    for df in tables:
+        _delete(df.sparkSession, df.scratch)
+    for df in tables[:1]:
+        df.sparkSession._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
@@ -65,8 +81,7 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Removes this application's scratch tables. Results not yet computed from them are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/folioscope/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{scratch_dir(spark)}/folioscope/{spark.sparkContext.applicationId}")
 
 
 def _release_at_end(spark: SparkSession) -> None:

@@ -501,7 +501,7 @@ def test_pairs_are_met_once(spark):
             over = [w for w in want if sets.get(w[0], w[0]) != sets.get(w[2], w[2])]
             assert said(substring_dedup.cross_pairs(found, roots, 46, block)) == over
     stars = {(x.a, x.b) for x in substring_dedup.star_pairs(found, 46).collect()}
-    assert {n for p in stars for n in p} == set(range(7)) and len(stars) <= 12
+    assert {n for p in stars for n in p} == set(range(7)) and len(stars) <= 7
 
 
 def test_passage_with_a_phrase_that_comes_again():
