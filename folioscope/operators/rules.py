@@ -78,6 +78,17 @@ def _each(scenes: DataFrame, drafts: Column) -> DataFrame:
     return scenes.withColumn("d", F.explode(drafts.cast(DRAFT))).drop("text").select("*", "d.*").drop("d")
 
 
+def local(drafts: Callable[[Column, Context], Column]) -> Callable[[DataFrame, Context], DataFrame]:
+    """A rule that looks at one text alone: its drafts are an array in the row, so all such rules share one pass."""
+
+    def detect(scenes: DataFrame, ctx: Context) -> DataFrame:
+        return _each(scenes, drafts(F.col("text"), ctx))
+
+    detect.drafts = drafts
+    detect.__doc__ = drafts.__doc__
+    return detect
+
+
 def _simple(text: Column, pattern: str, groups: int, replacement: Callable[[Column], Column], reason: str, authority: str = "", keep: Callable[[Column], Column] | None = None) -> Column:
     found = matches(text, pattern, groups)
     if keep is not None:
@@ -89,27 +100,24 @@ def _simple(text: Column, pattern: str, groups: int, replacement: Callable[[Colu
 DOUBLED_ON_PURPOSE = ("that", "had", "chow", "bye", "so", "no", "yes", "very")
 
 
-def doubled_word(scenes: DataFrame, ctx: Context) -> DataFrame:
-    text = F.col("text")
+@local
+def doubled_word(text: Column, ctx: Context) -> Column:
     found = matches(text, r"(?iu)(?<!\p{L})(\p{L}{2,})([ \t\r\n]+)\1(?!\p{L})", 2)
     if ctx.pack.language == "en":
         found = F.filter(found, lambda m: ~F.lower(m["groups"][0]).isin(*DOUBLED_ON_PURPOSE))
     if "intentional-repetition" in ctx.settings.preserve:
         spoken = dialogue(text, ctx.pack)
         found = F.filter(found, lambda m: ~any_span(spoken, lambda s: within(m, s)))
-    return _each(scenes, F.transform(found, lambda m: _draft(m, m["groups"][0], "The same word appears twice in succession.")))
+    return F.transform(found, lambda m: _draft(m, m["groups"][0], "The same word appears twice in succession."))
 
 
-def whitespace(scenes: DataFrame, ctx: Context) -> DataFrame:
-    text = F.col("text")
+@local
+def whitespace(text: Column, ctx: Context) -> Column:
     pair = lambda m: F.concat(m["groups"][0], m["groups"][1])
-    return _each(
-        scenes,
-        F.concat(
-            _simple(text, r"([\p{L}\p{N}]) {2,}([^\s])", 2, lambda m: F.concat_ws(" ", m["groups"][0], m["groups"][1]), "Collapse repeated spaces."),
-            _simple(text, r"([\p{L}\p{N}])[ \t]+([,.;:!?])(?!\p{N})", 2, pair, "Remove space before punctuation."),
-            _simple(text, r"([^\s])[ \t]+(?=\r?(?:\n|\z))", 1, lambda m: m["groups"][0], "Remove trailing spaces."),
-        ),
+    return F.concat(
+        _simple(text, r"([\p{L}\p{N}]) {2,}([^\s])", 2, lambda m: F.concat_ws(" ", m["groups"][0], m["groups"][1]), "Collapse repeated spaces."),
+        _simple(text, r"([\p{L}\p{N}])[ \t]+([,.;:!?])(?!\p{N})", 2, pair, "Remove space before punctuation."),
+        _simple(text, r"([^\s])[ \t]+(?=\r?(?:\n|\z))", 1, lambda m: m["groups"][0], "Remove trailing spaces."),
     )
 
 
@@ -120,8 +128,9 @@ def _surplus(text: Column, a: str, b: str) -> Column:
     return F.length(F.replace(text, F.lit(b), F.lit(""))) - F.length(F.replace(text, F.lit(a), F.lit("")))
 
 
-def balance(scenes: DataFrame, ctx: Context) -> DataFrame:
-    pars = paragraphs(F.col("text"))
+@local
+def balance(text: Column, ctx: Context) -> Column:
+    pars = paragraphs(text)
     drafts = []
     for a, b in BRACKETS:
         tail = lambda p: F.regexp_extract(p["text"], r"[\p{L}\p{N}]+[.!?]?\z", 0)
@@ -132,7 +141,7 @@ def balance(scenes: DataFrame, ctx: Context) -> DataFrame:
             return F.when(F.regexp_like(t, F.lit(r"[.!?]$")), F.concat(F.substring(t, F.lit(1), F.length(t) - 1), F.lit(b), F.right(t, F.lit(1)))).otherwise(F.concat(t, F.lit(b)))
 
         drafts.append(_mapped(hit, lambda p: _draft(p, close(p), f"Close the unmatched {a}.", target=tail(p), start=p["end"] - F.length(tail(p)))))  # noqa: B023
-    return _each(scenes, F.concat(*drafts))
+    return F.concat(*drafts)
 
 
 def _mapped(spans: Column, f: Callable[[Column], Column]) -> Column:
@@ -147,17 +156,17 @@ def balance_warnings(docs: DataFrame, keys: list[str], text_col: str = "text") -
     return rows.select(*keys, "start", F.explode(F.array_compact(F.array(*kinds, quotes))).alias("kind"))
 
 
-def quotes(scenes: DataFrame, ctx: Context) -> DataFrame:
+@local
+def quotes(text: Column, ctx: Context) -> Column:
     want = ctx.settings.quotes
-    text = F.col("text")
     if not want or want in ("keep", '""') or len(want) != 2:
-        return _each(scenes, F.array().cast(DRAFT))
+        return F.array().cast(DRAFT)
     inner_pair = ctx.pack.quote_pairs[1] if len(ctx.pack.quote_pairs) > 1 else tuple(want)
     found = matches(text, r'"([^"\r\n]+)"|“([^”\r\n]+)”', 2)
     inner = lambda m: F.regexp_replace(F.concat(m["groups"][0], m["groups"][1]), "‘([^’]+)’", f"{inner_pair[0]}$1{inner_pair[1]}")
     new = lambda m: F.concat(F.lit(want[0]), inner(m), F.lit(want[1]))
     found = F.filter(found, lambda m: new(m) != m["text"])
-    return _each(scenes, F.transform(found, lambda m: _draft(m, new(m), "Use the configured outer and nested quotation marks.")))
+    return F.transform(found, lambda m: _draft(m, new(m), "Use the configured outer and nested quotation marks."))
 
 
 def dominant_quote_style(scenes: DataFrame) -> str | None:
@@ -169,18 +178,19 @@ def dominant_quote_style(scenes: DataFrame) -> str | None:
     return "straight" if straight >= 10 and curly * 9 <= straight else None
 
 
-def mixed_quotes(scenes: DataFrame, ctx: Context) -> DataFrame:
+@local
+def mixed_quotes(text: Column, ctx: Context) -> Column:
     want = ctx.settings.quotes
     style = {"“”": "curly", '""': "straight"}.get(want or "", ctx.quote_style if want in (None, "", "keep") else None)
     if not style:
-        return _each(scenes, F.array().cast(DRAFT))
+        return F.array().cast(DRAFT)
     a, b = "“”" if style == "curly" else '""'
     new = lambda m: F.concat(F.lit(a), m["groups"][0], m["groups"][1], F.lit(b))
-    return _each(scenes, _simple(F.col("text"), r'"([^"“”\r\n]+)”|“([^"“”\r\n]+)"', 2, new, "Make the opening and closing quotation marks of one quotation match."))
+    return _simple(text, r'"([^"“”\r\n]+)”|“([^"“”\r\n]+)"', 2, new, "Make the opening and closing quotation marks of one quotation match.")
 
 
-def dashes_ellipsis(scenes: DataFrame, ctx: Context) -> DataFrame:
-    text = F.col("text")
+@local
+def dashes_ellipsis(text: Column, ctx: Context) -> Column:
     dash = ctx.settings.dashes or ctx.pack.word_dash
     parts = [_simple(text, r"\.\.\.", 0, lambda m: F.lit("…"), "Use the configured ellipsis.")] if ctx.settings.ellipsis else []
     parts += [
@@ -188,13 +198,13 @@ def dashes_ellipsis(scenes: DataFrame, ctx: Context) -> DataFrame:
         _simple(text, r"(?<![\p{L}\p{N}])([\p{L}\p{N}]+)\.\.(?![.…])", 1, lambda m: F.concat(m["groups"][0], F.lit(".")), "Two full stops are not an ellipsis; keep one.", "contextual"),
         _simple(text, r"(?m)^-[ \t]+(\p{L})", 1, lambda m: F.concat(F.lit(f"{ctx.pack.speech_dash} "), m["groups"][0]), "Use the language dialogue dash.", "contextual"),
     ]
-    return _each(scenes, F.concat(*parts))
+    return F.concat(*parts)
 
 
-def sentence_start(scenes: DataFrame, ctx: Context) -> DataFrame:
+@local
+def sentence_start(text: Column, ctx: Context) -> Column:
     """Lower-case words after a sentence's end, but for an ellipsis, an abbreviation, an initial, a unit after a
     number, and lines that are lower-case on purpose."""
-    text = F.col("text")
     short = [a.lower() for a in ctx.pack.abbreviations]
 
     def wanted(m: Column) -> Column:
@@ -214,22 +224,27 @@ def sentence_start(scenes: DataFrame, ctx: Context) -> DataFrame:
         )
 
     new = lambda m: F.concat(m["groups"][0], m["groups"][1], F.upper(F.substring(m["groups"][2], 1, 1)), F.substring(m["groups"][2], F.lit(2), F.length(m["groups"][2])))
-    return _each(scenes, _simple(text, r"([.!?])([ \t\r\n]+)(\p{Ll}\p{L}*)", 3, new, "Capitalize the sentence opening.", keep=wanted))
+    return _simple(text, r"([.!?])([ \t\r\n]+)(\p{Ll}\p{L}*)", 3, new, "Capitalize the sentence opening.", keep=wanted)
 
 
-def stray_markers(scenes: DataFrame, ctx: Context) -> DataFrame:
-    rows = scenes.withColumn("p", F.explode(paragraphs(F.col("text")))).drop("text").select("*", F.col("p.start").alias("p_start"), F.col("p.text").alias("text")).drop("p")
-    text = F.col("text")
-    one = lambda pattern: count(text, pattern) == 1
+@local
+def stray_markers(text: Column, ctx: Context) -> Column:
     none = F.array().cast(DRAFT)
-    drafts = F.concat(
-        _simple(text, r"([^\s])\s+(#{2,})\s+(\p{L})", 3, lambda m: F.concat_ws(" ", m["groups"][0], m["groups"][2]), "Remove heading markers inside a paragraph."),
-        F.when(one(r"\*\*"), _simple(text, r"(\p{L})\*\*(\p{L})", 2, lambda m: F.concat(m["groups"][0], m["groups"][1]), "Remove a stray bold marker.")).otherwise(none),
-        F.when(one("_"), _simple(text, r"(\p{L})_(?=[ \t]|\z)", 1, lambda m: m["groups"][0], "Remove a stray emphasis marker.")).otherwise(none),
-        _simple(text, r"(\p{L})\\([!?])", 2, lambda m: F.concat(m["groups"][0], m["groups"][1]), "Remove an unnecessary Markdown escape."),
-    )
-    out = _each(rows, drafts)
-    return out.withColumn("start", F.col("start") + F.col("p_start")).drop("p_start")
+
+    def inside(t: Column) -> Column:
+        one = lambda pattern: count(t, pattern) == 1
+        return F.concat(
+            _simple(t, r"([^\s])\s+(#{2,})\s+(\p{L})", 3, lambda m: F.concat_ws(" ", m["groups"][0], m["groups"][2]), "Remove heading markers inside a paragraph."),
+            F.when(one(r"\*\*"), _simple(t, r"(\p{L})\*\*(\p{L})", 2, lambda m: F.concat(m["groups"][0], m["groups"][1]), "Remove a stray bold marker.")).otherwise(none),
+            F.when(one("_"), _simple(t, r"(\p{L})_(?=[ \t]|\z)", 1, lambda m: m["groups"][0], "Remove a stray emphasis marker.")).otherwise(none),
+            _simple(t, r"(\p{L})\\([!?])", 2, lambda m: F.concat(m["groups"][0], m["groups"][1]), "Remove an unnecessary Markdown escape."),
+        )
+
+    fields = ("target", "replacement", "reason", "authority", "evidence")
+    placed = lambda p: F.transform(inside(p["text"]), lambda m: F.struct((m["start"] + p["start"]).alias("start"), *(m[c].alias(c) for c in fields)))
+    # few paragraphs have a mark at all
+    marked = F.filter(paragraphs(text), lambda p: F.regexp_like(p["text"], F.lit(r"[#*_\\]")))
+    return F.when(F.regexp_like(text, F.lit(r"[#*_\\]")), F.flatten(F.transform(marked, placed))).otherwise(none)
 
 
 def spelling_preferences(counts: DataFrame, pairs: tuple[tuple[str, str], ...], forced: str | None) -> DataFrame:
@@ -362,26 +377,26 @@ def _lookup(table: dict[str, str], word: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), F.lower(word))
 
 
-def ru_numeral(scenes: DataFrame, ctx: Context) -> DataFrame:
-    text = F.col("text")
+@local
+def ru_numeral(text: Column, ctx: Context) -> Column:
     spoken = dialogue(text, ctx.pack)
     before = lambda m: F.substring(text, F.greatest(m["start"] - 24, F.lit(0)) + 1, F.least(m["start"], F.lit(24)))
     found = matches(text, r"(?iu)(?<![\p{L}\p{N}])(два|две|три|четыре)((?:\s+[\p{L}-]+(?:ых|их)){0,3})\s+суток(?!\p{L})", 2)
     found = F.filter(found, lambda m: ~any_span(spoken, lambda s: within(m, s)) & ~F.regexp_like(before(m), F.lit(COMPOUND)))
     number = lambda m: m["groups"][0]
     new = lambda m: F.concat(like_case(number(m), _lookup(COLLECTIVE, number(m))), F.substring(m["text"], F.length(number(m)) + 1, F.length(m["text"])))
-    return _each(scenes, F.transform(found, lambda m: _draft(m, new(m), "С существительным «сутки» в этой форме употребляется собирательное числительное.")))
+    return F.transform(found, lambda m: _draft(m, new(m), "С существительным «сутки» в этой форме употребляется собирательное числительное."))
 
 
-def ru_pronoun(scenes: DataFrame, ctx: Context) -> DataFrame:
-    text = F.col("text")
+@local
+def ru_pronoun(text: Column, ctx: Context) -> Column:
     spoken = dialogue(text, ctx.pack)
     found = matches(text, r"(?iu)(?<!\p{L})(он|она|оно|они)([ \t]+)(был|была|было|были)(?!\p{L})", 3)
     right = lambda m: _lookup(AGREES, m["groups"][0])
     verb = lambda m: F.lower(m["groups"][2])
     found = F.filter(found, lambda m: ~any_span(spoken, lambda s: within(m, s)) & (verb(m) != right(m)) & (verb(m) != "было"))
     new = lambda m: F.concat(m["groups"][0], m["groups"][1], right(m))
-    return _each(scenes, F.transform(found, lambda m: _draft(m, new(m), "Форма прошедшего времени «быть» должна согласоваться с местоимением.")))
+    return F.transform(found, lambda m: _draft(m, new(m), "Форма прошедшего времени «быть» должна согласоваться с местоимением."))
 
 
 BOTH = ("en", "ru")
@@ -407,17 +422,32 @@ def enabled(settings: Settings, pack: Pack, titles: bool = False) -> list[Rule]:
     return [r for r in RULES if pack.language in r.languages and r.id not in settings.off and (not titles or r.id in TITLE_RULES)]
 
 
-def detect(scenes: DataFrame, ctx: Context, titles: bool = False) -> DataFrame:
+def detect(scenes: DataFrame, ctx: Context, titles: bool = False, with_text: bool = False) -> DataFrame:
     """Drafts of all rules that are on: the scenes' columns but the text, rule_ord, rule, version, category, impact,
-    authority, start, target, replacement, reason, evidence."""
-    out: DataFrame | None = None
-    for i, rule in enumerate(enabled(ctx.settings, ctx.pack, titles)):
-        found = rule.detect(scenes, ctx).withColumn("authority", F.coalesce("authority", F.lit(rule.authority)))
-        found = found.withColumns({"rule_ord": F.lit(i), "rule": F.lit(rule.id), "version": F.lit(rule.version), "category": F.lit(rule.category), "impact": F.when(F.col("authority") == "mechanical", F.lit(rule.impact)).otherwise("prose")})
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    authority, start, target, replacement, reason, evidence; and the text with ``with_text``.
+
+    Rules that look at one text alone share one pass over the scenes. Those that need the book's words go by its tokens.
+    """
+    on = list(enumerate(enabled(ctx.settings, ctx.pack, titles)))
+    if not on:
         raise ValueError("no rule is on")
-    return out
+    keys = [c for c in scenes.columns if c != "text"]
+    fields = ("start", "target", "replacement", "reason", "authority", "evidence")
+    shape = [*keys, *(["text"] if with_text else []), "rule_ord", *fields]
+    numbered = lambda i: lambda m: F.struct(F.lit(i).alias("rule_ord"), *(m[c].alias(c) for c in fields))
+    inner = [F.transform(r.detect.drafts(F.col("text"), ctx).cast(DRAFT), numbered(i)) for i, r in on if hasattr(r.detect, "drafts")]
+    found = [scenes.select(*keys, "text", F.explode(F.concat(*inner)).alias("d")).select(*shape[: -len(fields) - 1], "d.*").select(*shape)] if inner else []
+    for i, rule in on:
+        if not hasattr(rule.detect, "drafts"):
+            own = rule.detect(scenes, ctx).withColumn("rule_ord", F.lit(i))
+            found.append((own.join(scenes.select(*keys, "text"), keys) if with_text else own).select(*shape))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    said = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("rule_ord") + 1)
+    rules = [r for _, r in on]
+    out = out.withColumns({"authority": F.coalesce("authority", said([r.authority for r in rules])), "rule": said([r.id for r in rules]), "version": said([r.version for r in rules]), "category": said([r.category for r in rules])})
+    return out.withColumn("impact", F.when(F.col("authority") == "mechanical", said([r.impact for r in rules])).otherwise("prose"))
 
 
 def widen(text: Column, start: Column, end: Column, replacement: Column) -> Column:
@@ -446,8 +476,11 @@ def without_protected(drafts: DataFrame, forms: tuple[str, ...]) -> DataFrame:
 
 
 def proposals(drafts: DataFrame, scenes: DataFrame, keys: list[str], forms: tuple[str, ...] = ()) -> DataFrame:
-    """Proposals from drafts: widened, unprotected, with context, occurrence ordinal and stable id; of one id the first."""
-    rows = drafts.join(scenes.select(*keys, "text"), keys)
+    """Proposals from drafts: widened, unprotected, with context, occurrence ordinal and stable id; of one id the first.
+
+    Drafts that carry their scene's text are worked on as they are, others are joined to it.
+    """
+    rows = drafts if "text" in drafts.columns else drafts.join(scenes.select(*keys, "text"), keys)
     wide = widen(F.col("text"), F.col("start"), F.col("start") + F.length("target"), F.col("replacement"))
     rows = rows.withColumn("_w", wide).withColumns({c: F.col(f"_w.{c}") for c in ("start", "end", "target", "replacement")}).drop("_w")
     rows = without_protected(rows, forms)
@@ -463,9 +496,9 @@ def proposals(drafts: DataFrame, scenes: DataFrame, keys: list[str], forms: tupl
     )
     place = [F.col(k).cast("string").alias(k) for k in sorted(keys)]
     identity = F.struct("category", *place, "occurrence", "rule", "target")
-    rows = rows.withColumn("proposal_id", stable_id(identity)).withColumn("evidence_hash", sha256(F.to_json(F.struct("after", "before", "replacement", "target"))))
+    rows = rows.withColumn("proposal_id", stable_id(identity)).withColumn("evidence_hash", sha256(F.to_json(F.struct("after", "before", "replacement", "target")))).drop("text")
     first = Window.partitionBy("proposal_id").orderBy("rule_ord", "start")
-    return rows.withColumn("_k", F.row_number().over(first)).where(F.col("_k") == 1).drop("_k", "text")
+    return rows.withColumn("_k", F.row_number().over(first)).where(F.col("_k") == 1).drop("_k")
 
 
 def rule_set_version() -> str:
