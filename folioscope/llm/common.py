@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from folioscope.cluster import ship
 
-__all__ = ["components", "discard", "gathered", "hidden", "lower_ascii", "materialize", "quoted", "release", "scratch_dir", "ship", "small", "split_words", "table", "trim", "values"]
+__all__ = ["components", "discard", "gathered", "hidden", "lower_ascii", "materialize", "quoted", "release", "scratch_dir", "ship", "small", "split_words", "sweep", "table", "trim", "values"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space, as the contracts name it.
@@ -61,12 +61,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Removes written tables that everything made from them is past, and has the engine look for shuffles that are no
-    longer part of a plan, which it removes as well."""
+    """Removes written tables that everything made from them is past, and shuffles that are no longer part of a plan."""
     for df in tables:
         _delete(df.sparkSession, df.scratch)
-    for df in tables[:1]:
-        df.sparkSession._jvm.System.gc()
+    sweep(tables[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Has the engine look for shuffles that are no longer part of a plan; else they stay until its memory is short."""
+    spark._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, name: str) -> None:
