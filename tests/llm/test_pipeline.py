@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from folioscope.llm import decontaminate, token_store
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +37,12 @@ def test_stages(spark, folder, tmp_path):
     assert sorted(ids["token_output"]) == sorted(ids["mixing"])
     got = docs.orderBy("start").collect()
     assert got[0].start == 0 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
-    assert token_store.Encoder and decontaminate.op1
+    assert len(ids["language_id"]) == 52 and len(ids["simhash_near_dedup"]) == len(set(ids["simhash_near_dedup"]))
+    size = lambda df, s: sum(len(r.text.split()) for r in df.where(f"source = '{s}'").collect())
+    before, mixed = (spark.read.parquet(str(tmp_path / n)) for n in ("benchmark_decontamination", "mixing"))
+    one, two = size(before, "s0"), size(before, "s1")
+    for s, want in (("s0", (one + two) / 3), ("s1", (one + two) * 2 / 3)):
+        assert abs(size(mixed, s) - min(want, 3 * size(before, s))) <= 100
 
 
 def test_run(spark, folder):
