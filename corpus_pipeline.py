@@ -13,27 +13,35 @@ from folioscope.llm.token_store import encode_documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, and those no learned language explains better than chance, go."""
+    """Documents without letters, null texts among them, and those no learned language explains better than chance, go.
+
+    Rows that repeat an id or have none are judged by their own texts; a missing label is no reason to go."""
     return keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the least id."""
+    """One document of each group of near-duplicates stays, the one with the least id; of rows that repeat an id, one.
+
+    Wordless texts are alike. Rows without an id stay."""
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover a twentieth of the words or more go."""
+    """Documents of which benchmark windows cover a twentieth of the words or more go, each row by its own text."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their target weights; a document occurs as often as the mix takes it."""
+    """Sources are brought to their target weights; a document occurs as often as the mix takes it, three times at most.
+
+    Null is a source like any other. A row that repeats is a row of its own."""
     return mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids are written to the shared folder and read back: one row for each document of the mix."""
+    """Token ids are written to the shared folder and read back: one row for each document of the mix.
+
+    A null text is its end alone; null ids come first. An empty table gives, here as in every stage, an empty one."""
     return encode_documents(docs)
 
 
