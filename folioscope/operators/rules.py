@@ -108,16 +108,16 @@ def doubled_word(text: Column, ctx: Context) -> Column:
     if "intentional-repetition" in ctx.settings.preserve:
         spoken = dialogue(text, ctx.pack)
         found = F.filter(found, lambda m: ~any_span(spoken, lambda s: within(m, s)))
-    return F.transform(found, lambda m: _draft(m, m["groups"][0], "The same word appears twice in succession."))
+    return F.transform(found, lambda m: _draft(m, m["groups"][0], "A word is said twice in a row."))
 
 
 @local
 def whitespace(text: Column, ctx: Context) -> Column:
     pair = lambda m: F.concat(m["groups"][0], m["groups"][1])
     return F.concat(
-        _simple(text, r"([\p{L}\p{N}]) {2,}([^\s])", 2, lambda m: F.concat_ws(" ", m["groups"][0], m["groups"][1]), "Collapse repeated spaces."),
-        _simple(text, r"([\p{L}\p{N}])[ \t]+([,.;:!?])(?!\p{N})", 2, pair, "Remove space before punctuation."),
-        _simple(text, r"([^\s])[ \t]+(?=\r?(?:\n|\z))", 1, lambda m: m["groups"][0], "Remove trailing spaces."),
+        _simple(text, r"([\p{L}\p{N}]) {2,}([^\s])", 2, lambda m: F.concat_ws(" ", m["groups"][0], m["groups"][1]), "One space is enough."),
+        _simple(text, r"([\p{L}\p{N}])[ \t]+([,.;:!?])(?!\p{N})", 2, pair, "No space stands before this mark."),
+        _simple(text, r"([^\s])[ \t]+(?=\r?(?:\n|\z))", 1, lambda m: m["groups"][0], "The line ends in spaces."),
     )
 
 
@@ -166,7 +166,7 @@ def quotes(text: Column, ctx: Context) -> Column:
     inner = lambda m: F.regexp_replace(F.concat(m["groups"][0], m["groups"][1]), "‘([^’]+)’", f"{inner_pair[0]}$1{inner_pair[1]}")
     new = lambda m: F.concat(F.lit(want[0]), inner(m), F.lit(want[1]))
     found = F.filter(found, lambda m: new(m) != m["text"])
-    return F.transform(found, lambda m: _draft(m, new(m), "Use the configured outer and nested quotation marks."))
+    return F.transform(found, lambda m: _draft(m, new(m), "Quotation marks as the settings have them."))
 
 
 def dominant_quote_style(scenes: DataFrame) -> str | None:
@@ -186,17 +186,17 @@ def mixed_quotes(text: Column, ctx: Context) -> Column:
         return F.array().cast(DRAFT)
     a, b = "“”" if style == "curly" else '""'
     new = lambda m: F.concat(F.lit(a), m["groups"][0], m["groups"][1], F.lit(b))
-    return _simple(text, r'"([^"“”\r\n]+)”|“([^"“”\r\n]+)"', 2, new, "Make the opening and closing quotation marks of one quotation match.")
+    return _simple(text, r'"([^"“”\r\n]+)”|“([^"“”\r\n]+)"', 2, new, "One quotation opens in one style and closes in another.")
 
 
 @local
 def dashes_ellipsis(text: Column, ctx: Context) -> Column:
     dash = ctx.settings.dashes or ctx.pack.word_dash
-    parts = [_simple(text, r"\.\.\.", 0, lambda m: F.lit("…"), "Use the configured ellipsis.")] if ctx.settings.ellipsis else []
+    parts = [_simple(text, r"\.\.\.", 0, lambda m: F.lit("…"), "An ellipsis as the settings have it.")] if ctx.settings.ellipsis else []
     parts += [
-        _simple(text, r"(\p{L}) - (\p{L})", 2, lambda m: F.concat(m["groups"][0], F.lit(f" {dash} "), m["groups"][1]), "Use the language dash between clauses."),
-        _simple(text, r"(?<![\p{L}\p{N}])([\p{L}\p{N}]+)\.\.(?![.…])", 1, lambda m: F.concat(m["groups"][0], F.lit(".")), "Two full stops are not an ellipsis; keep one.", "contextual"),
-        _simple(text, r"(?m)^-[ \t]+(\p{L})", 1, lambda m: F.concat(F.lit(f"{ctx.pack.speech_dash} "), m["groups"][0]), "Use the language dialogue dash.", "contextual"),
+        _simple(text, r"(\p{L}) - (\p{L})", 2, lambda m: F.concat(m["groups"][0], F.lit(f" {dash} "), m["groups"][1]), "Between clauses this language writes its own dash."),
+        _simple(text, r"(?<![\p{L}\p{N}])([\p{L}\p{N}]+)\.\.(?![.…])", 1, lambda m: F.concat(m["groups"][0], F.lit(".")), "Two full stops in a row: one ends the sentence.", "contextual"),
+        _simple(text, r"(?m)^-[ \t]+(\p{L})", 1, lambda m: F.concat(F.lit(f"{ctx.pack.speech_dash} "), m["groups"][0]), "A line of speech opens with this language's dash.", "contextual"),
     ]
     return F.concat(*parts)
 
@@ -224,7 +224,7 @@ def sentence_start(text: Column, ctx: Context) -> Column:
         )
 
     new = lambda m: F.concat(m["groups"][0], m["groups"][1], F.upper(F.substring(m["groups"][2], 1, 1)), F.substring(m["groups"][2], F.lit(2), F.length(m["groups"][2])))
-    return _simple(text, r"([.!?])([ \t\r\n]+)(\p{Ll}\p{L}*)", 3, new, "Capitalize the sentence opening.", keep=wanted)
+    return _simple(text, r"([.!?])([ \t\r\n]+)(\p{Ll}\p{L}*)", 3, new, "A sentence begins with a capital.", keep=wanted)
 
 
 @local
@@ -234,10 +234,10 @@ def stray_markers(text: Column, ctx: Context) -> Column:
     def inside(t: Column) -> Column:
         one = lambda pattern: count(t, pattern) == 1
         return F.concat(
-            _simple(t, r"([^\s])\s+(#{2,})\s+(\p{L})", 3, lambda m: F.concat_ws(" ", m["groups"][0], m["groups"][2]), "Remove heading markers inside a paragraph."),
-            F.when(one(r"\*\*"), _simple(t, r"(\p{L})\*\*(\p{L})", 2, lambda m: F.concat(m["groups"][0], m["groups"][1]), "Remove a stray bold marker.")).otherwise(none),
-            F.when(one("_"), _simple(t, r"(\p{L})_(?=[ \t]|\z)", 1, lambda m: m["groups"][0], "Remove a stray emphasis marker.")).otherwise(none),
-            _simple(t, r"(\p{L})\\([!?])", 2, lambda m: F.concat(m["groups"][0], m["groups"][1]), "Remove an unnecessary Markdown escape."),
+            _simple(t, r"([^\s])\s+(#{2,})\s+(\p{L})", 3, lambda m: F.concat_ws(" ", m["groups"][0], m["groups"][2]), "Signs of a heading stand inside a paragraph."),
+            F.when(one(r"\*\*"), _simple(t, r"(\p{L})\*\*(\p{L})", 2, lambda m: F.concat(m["groups"][0], m["groups"][1]), "A bold sign without its partner.")).otherwise(none),
+            F.when(one("_"), _simple(t, r"(\p{L})_(?=[ \t]|\z)", 1, lambda m: m["groups"][0], "An emphasis sign without its partner.")).otherwise(none),
+            _simple(t, r"(\p{L})\\([!?])", 2, lambda m: F.concat(m["groups"][0], m["groups"][1]), "This sign needs no escape."),
         )
 
     fields = ("target", "replacement", "reason", "authority", "evidence")
@@ -275,11 +275,11 @@ def spelling_variant(scenes: DataFrame, ctx: Context) -> DataFrame:
     if ctx.pack.spelling_variants:
         wanted = spelling_preferences(ctx.counts if ctx.counts is not None else empty, ctx.pack.spelling_variants, forced)
         hit = tokens.join(F.broadcast(wanted), tokens["lower"] == wanted["loser"])
-        out.append(hit.withColumn("replacement", like_case(F.col("text"), F.col("winner"))).withColumn("reason", F.lit("Use the book or configured spelling variant.")).withColumn("authority", F.lit("mechanical" if ctx.settings.spelling else "contextual")).withColumn("evidence", none).select(*shape))
+        out.append(hit.withColumn("replacement", like_case(F.col("text"), F.col("winner"))).withColumn("reason", F.lit("The book, or its settings, spell this word otherwise.")).withColumn("authority", F.lit("mechanical" if ctx.settings.spelling else "contextual")).withColumn("evidence", none).select(*shape))
     if ctx.pack.language == "ru" and ctx.settings.yo != "keep":
         to_e = ctx.settings.yo == "e"
         changed = F.translate("text", "ёЁ", "еЕ") if to_e else F.translate("text", "еЕ", "ёЁ")
-        hit = tokens.withColumn("replacement", changed).where(F.col("replacement") != F.col("text")).withColumn("reason", F.lit("Use the configured ё/е spelling."))
+        hit = tokens.withColumn("replacement", changed).where(F.col("replacement") != F.col("text")).withColumn("reason", F.lit("The letters ё and е as the settings have them."))
         if to_e:
             hit = hit.withColumn("authority", F.lit("mechanical")).withColumn("evidence", none)
         else:
@@ -362,7 +362,7 @@ def name_variant(scenes: DataFrame, ctx: Context) -> DataFrame:
     found = tokens.where(~F.col("text").isin(*settled)) if settled else tokens
     found = found.join(similar, found["text"] == similar["name"])
     found = found.withColumn("replacement", F.col("candidate")).withColumn("authority", F.lit("semantic"))
-    found = found.withColumn("reason", F.concat(F.lit('Review: "'), F.col("text"), F.lit('" differs by one letter from the more frequent name "'), F.col("candidate"), F.lit('". They may be two different people; the text is not changed unless you decide so.')))
+    found = found.withColumn("reason", F.concat(F.lit('One letter sets "'), F.col("text"), F.lit('" apart from "'), F.col("candidate"), F.lit('", which is more frequent; only the author can tell whether it is the same name.')))
     found = found.withColumn("evidence", F.create_map(F.lit("basis"), F.lit("one-letter difference and book frequency"), F.lit("spelling"), F.col("text"), F.lit("spelling_count"), F.col("n").cast("string"), F.lit("candidate"), F.col("candidate"), F.lit("candidate_count"), F.col("candidate_n").cast("string")))
     return out.unionByName(found.select(*shape))
 
@@ -385,7 +385,7 @@ def ru_numeral(text: Column, ctx: Context) -> Column:
     found = F.filter(found, lambda m: ~any_span(spoken, lambda s: within(m, s)) & ~F.regexp_like(before(m), F.lit(COMPOUND)))
     number = lambda m: m["groups"][0]
     new = lambda m: F.concat(like_case(number(m), _lookup(COLLECTIVE, number(m))), F.substring(m["text"], F.length(number(m)) + 1, F.length(m["text"])))
-    return F.transform(found, lambda m: _draft(m, new(m), "С существительным «сутки» в этой форме употребляется собирательное числительное."))
+    return F.transform(found, lambda m: _draft(m, new(m), "Перед «суток» ставится собирательное числительное."))
 
 
 @local
@@ -396,7 +396,7 @@ def ru_pronoun(text: Column, ctx: Context) -> Column:
     verb = lambda m: F.lower(m["groups"][2])
     found = F.filter(found, lambda m: ~any_span(spoken, lambda s: within(m, s)) & (verb(m) != right(m)) & (verb(m) != "было"))
     new = lambda m: F.concat(m["groups"][0], m["groups"][1], right(m))
-    return F.transform(found, lambda m: _draft(m, new(m), "Форма прошедшего времени «быть» должна согласоваться с местоимением."))
+    return F.transform(found, lambda m: _draft(m, new(m), "Глагол «быть» не согласован с местоимением."))
 
 
 BOTH = ("en", "ru")

@@ -38,9 +38,9 @@ def test_doubled_word_kept_in_dialogue(spark):
 
 def test_whitespace(spark):
     rule = "typography.whitespace"
-    assert [t for _, t, _ in hits(spark, rule, "It was open . Then shut , and gone .")] == ["n .", "t ,", "e ."]
-    assert hits(spark, rule, "A .38 was in the drawer, and the .45 too.") == []
-    assert hits(spark, rule, "She paid .5 percent.") == []
+    assert [t for _, t, _ in hits(spark, rule, "Rain came . We left , too late ;")] == ["e .", "t ,", "e ;"]
+    assert hits(spark, rule, "Set the dial to .7, not .75 of it.") == []
+    assert hits(spark, rule, "About .2 of a turn.") == []
     assert hits(spark, rule, "one  two  \nthree\t") == [(2, "e  t", "e t"), (7, "o  ", "o"), (15, "e\t", "e")]
 
 
@@ -67,7 +67,7 @@ def test_dashes(spark):
 
 @pytest.mark.parametrize(
     ("text", "n"),
-    [("Stop. next time.", 1), ("Wait... next", 0), ("Mr. smith", 0), ("by T. vulgaris here", 0), ("Add 3 oz. flour", 0), ("got it. free till 2", 0), ("Really! yes", 0), ("Really!\nyes", 1)],
+    [("Stop. next time.", 1), ("Wait... next", 0), ("Mr. smith", 0), ("like B. alba there", 0), ("Take 2 lb. sugar", 0), ("we sat. idle all day", 0), ("Really! yes", 0), ("Really!\nyes", 1)],
 )
 def test_sentence_start(spark, text, n):
     assert len(hits(spark, "capitalization.sentence-start", text)) == n
@@ -75,7 +75,7 @@ def test_sentence_start(spark, text, n):
 
 def test_markdown(spark):
     rule = "markdown.stray-marker"
-    assert hits(spark, rule, "This ## heading appears.") == [(3, "s ## h", "s h")]
+    assert hits(spark, rule, "An odd ## sign here.") == [(5, "d ## s", "d s")]
     assert hits(spark, rule, "Fine.\n\nbo**ld and it\\! on_ x") == [(8, "o**l", "ol"), (19, "t\\!", "t!"), (24, "n_", "n")]
 
 
@@ -108,12 +108,12 @@ def test_names(spark):
 
 def test_russian(spark):
     n = "grammar.ru-sutki-numeral"
-    assert hits(spark, n, "Прошли три утраченных суток.", "ru") == [(7, "три утраченных суток", "трое утраченных суток")]
-    assert hits(spark, n, "Прошло трое суток. Не было трёх суток. Пропали три дня. «Три суток», — повторил он.", "ru") == []
-    assert hits(spark, n, "Прошло двадцать два суток.", "ru") == []
+    assert hits(spark, n, "Шли четыре холодных суток.", "ru") == [(4, "четыре холодных суток", "четверо холодных суток")]
+    assert hits(spark, n, "Ждали двое суток. Хватило двух суток. Ушли два дня. «Две суток», — сказал сосед.", "ru") == []
+    assert hits(spark, n, "Ждали сорок два суток.", "ru") == []
     p = "grammar.ru-pronoun-byl"
-    assert hits(spark, p, "Она был дома.", "ru") == [(0, "Она был", "Она была")]
-    assert hits(spark, p, "Она была дома. Он был рядом. «Она был дома», — передразнил он.", "ru") == []
+    assert hits(spark, p, "Оно были тут.", "ru") == [(0, "Оно были", "Оно было")]
+    assert hits(spark, p, "Оно было тут. Они были там. «Оно были тут», — смеялся сосед.", "ru") == []
 
 
 def test_detect_and_propose(spark):
