@@ -495,11 +495,12 @@ def test_pairs_are_met_once(spark):
     said = lambda df: sorted((x.a, x.ca, x.b, x.cb) for x in df.collect())
     want = sorted((x[1], x[4], y[1], y[4]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1])
     assert said(substring_dedup.all_pairs(found, 46)) == want and substring_dedup.all_pairs(found, 500).isEmpty()
+    rooted = lambda sets: spark.createDataFrame([(x[0], x[1], sets.get(x[1], x[1]), x[4]) for x in rows], "key long, uid long, root long, w int")
     for block in (1, 3, 100):
         for sets in ({}, {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}, dict.fromkeys(range(7), 0)):
-            roots = spark.createDataFrame(list(sets.items()), "node long, root long")
             over = [w for w in want if sets.get(w[0], w[0]) != sets.get(w[2], w[2])]
-            assert said(substring_dedup.cross_pairs(found, roots, 46, block)) == over
+            met = substring_dedup.across(rooted(sets), block).collect()
+            assert sorted((x.x.uid, x.x.w, x.y.uid, x.y.w) if x.x.uid < x.y.uid else (x.y.uid, x.y.w, x.x.uid, x.x.w) for x in met) == over
     stars = {(x.a, x.b) for x in substring_dedup.star_pairs(found, 46).collect()}
     assert {n for p in stars for n in p} == set(range(7)) and len(stars) <= 7
 
@@ -546,6 +547,15 @@ def test_shingles():
     assert substring_dedup.range_minima(np.array([3, 1, 2, 5, 4]), 3).tolist() == [1, 1, 2]
 
 
+def test_windows_of_two_functions_cross(spark):
+    """Texts share a crowded key of one function and a small key of another: neither posting alone shows both votes."""
+    rows = [(1, i, 0, 0, 20, 60, 30) for i in range(30)] + [(10 + i // 2, i, 1, 0, 30, 60, 2) for i in range(6)] + [(50, i, 1, 300, 330, 360, 2) for i in (8, 9)]
+    found = spark.createDataFrame(rows, "key long, uid long, f int, l int, c int, r int, count long")
+    roots = spark.createDataFrame([(0, 0), (1, 0)], "node long, root long")
+    got = sorted((x.a, x.b, x.f) for x in substring_dedup.cross_pairs(found, roots, 46, 24, 4).collect())
+    assert got == [(2, 3, 0), (2, 3, 1), (4, 5, 0), (4, 5, 1)]
+
+
 # --- languages ---------------------------------------------------------------------------------------------------
 
 
