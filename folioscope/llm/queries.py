@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, exact_dedup, language_id, lm_score, mixing, secrets, simhash, substring_dedup, token_store, url_filter
+from folioscope.llm import collocations, decontaminate, exact_dedup, language_id, lm_score, mixing, multi_index, secrets, simhash, substring_dedup, token_store, url_filter, vector_codes
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8,
     "op9_language_id": language_id.op9,
     "op10_secret_scan": secrets.op10,
+    "op11_multi_index": multi_index.op11,
+    "op12_vector_codes": vector_codes.op12,
+    "op13_collocations": collocations.op13,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,7 @@ ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op11_multi_index": multi_index.OP11_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
