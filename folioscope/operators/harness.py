@@ -1,79 +1,16 @@
-"""The evaluation suite around proposals: injected defects, policies, scores of guides and passes, the review table."""
+"""The evaluation suite around proposals: policies, scores of guides and passes, the review table."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.matching import matches
-from folioscope.functions.text import fnv1a
 from folioscope.operators.evaluate import outcome, rank_of
-from folioscope.operators.intervals import shifted
-
-_A = r"(?<![A-Za-z0-9_])"
-_Z = r"(?![A-Za-z0-9_])"
-_R = r"(?<![А-Яа-яЁё])"
-_Q = r"(?![А-Яа-яЁё])"
-# Where each kind of defect can be injected.
-PLACES = {
-    "en": {"typo": rf"{_A}[a-z]{{6,}}{_Z}", "doubled-word": rf"{_A}[A-Za-z]{{4,}}{_Z}", "punctuation": r",(?=\s+\p{L})", "agreement": rf"{_A}(?:was|were|has|have|is|are){_Z}", "redundancy": rf"{_A}(?:said|was|were|became|looked){_Z}", "qualifier": rf"(?i){_A}(?:seemed|perhaps|possibly){_Z}", "dialogue-format": "[“”]", "sentence-frame": rf"(?iu){_A}(?:he|she)\s+\p{{L}}{{4,}}", "formulaic": r"(?m)(?<=[.!?]\s|^)[A-Z][a-z]{3,}\s+[a-z]{3,}"},
-    "ru": {"typo": rf"{_R}[а-яё]{{6,}}{_Q}", "doubled-word": rf"{_R}[А-Яа-яЁё]{{4,}}{_Q}", "punctuation": r",(?=\s+\p{L})", "agreement": rf"(?iu){_R}(?:была|стояла|сказала|думала|пошла|видела){_Q}", "redundancy": rf"(?iu){_R}(?:сказал|сказала|был|была|стал){_Q}", "qualifier": rf"(?iu){_R}(?:казалось|возможно|наверное){_Q}", "dialogue-format": r"(?<=\n)[ \t]{0,9}—(?=[ \t]*\p{L})", "sentence-frame": rf"(?iu){_R}(?:она|он)\s+\p{{L}}{{4,}}", "formulaic": r"(?m)(?<=[.!?]\s|^)[А-ЯЁ][а-яё]{3,}\s+[а-яё]{3,}"},
-}
-AGREEMENT = {"was": "were", "were": "was", "has": "have", "have": "has", "is": "are", "are": "is", "была": "был", "стояла": "стоял", "сказала": "сказал", "думала": "думал", "пошла": "пошёл", "видела": "видел"}
-WORDS = {"en": ("again", "somewhat", "At the end of the day, "), "ru": ("снова", "в некоторой степени", "В современном мире ")}
+
 #: What a model may repair in each mode.
 ALLOWED = {"copy": ("typo", "doubled-word", "agreement", "redundancy", "qualifier", "sentence-frame", "formulaic"), "proofread": ("typo", "doubled-word", "agreement"), "mechanical": ("typo", "agreement")}
 
 
-def defect(kind: str, word: Column, lang: str) -> Column:
-    """The word with a defect of a kind."""
-    again, somewhat, frame = WORDS[lang]
-    at = lambda i, n=1: F.substring(word, i, n)
-    return {
-        "typo": F.concat(at(1, 2), at(4), at(3), F.substring(word, F.lit(5), F.length(word))),
-        "doubled-word": F.concat_ws(" ", word, word),
-        "punctuation": F.lit(""),
-        "agreement": F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in AGREEMENT.items() for x in p)), F.lower(word)), word),
-        "redundancy": F.concat(word, F.lit(f" {again} {again}")),
-        "qualifier": F.concat(F.lit(f"{somewhat} "), word),
-        "dialogue-format": F.lit('"' if lang == "en" else "-"),
-        "sentence-frame": F.concat(word, F.lit(". "), word),
-        "formulaic": F.concat(F.lit(frame), word),
-    }[kind]
-
-
-def mutate(scenes: DataFrame, keys: list[str], lang: str, kinds: list[str], seed: str, work: str, blocked: DataFrame | None = None) -> DataFrame:
-    """keys, kind, start, end, original, mutated, at: one defect of each kind, picked by a hash of seed, work and kind.
-
-    Candidates are in order of keys and place; the pick is the hash modulo their number. A later kind never overlaps an
-    earlier one's pick, so kinds are taken one after the other. ``blocked`` has spans (keys, start, end) to leave alone.
-    ``at`` is where the defect stands in the text with all of them.
-    """
-    picks: DataFrame | None = None
-    for kind in kinds:
-        m = F.col("m")
-        rows = scenes.select(*keys, F.explode(matches(F.col("text"), PLACES[lang][kind])).alias("m")).select(*keys, m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("original"), defect(kind, m["text"], lang).alias("mutated"))
-        rows = rows.where((F.col("original") != F.col("mutated")) & ~F.contains("original", F.lit("\n")))
-        for taken in (blocked, picks):
-            if taken is not None:
-                t = taken.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"))
-                same = [rows[k] == t[k] for k in keys]
-                cond = (rows["start"] < t["_e"]) & (rows["end"] > t["_s"])
-                for c in same:
-                    cond = cond & c
-                rows = rows.join(t, cond, "left_anti")
-        n = rows.count()
-        if not n:
-            raise ValueError(f"no place for {kind} in {work}")
-        k = scenes.sparkSession.range(1).select(F.pmod(fnv1a(F.lit(f"{seed}:{work}:{kind}")), F.lit(n))).first()[0]
-        # the k-th in order, without sorting all of them in one task: the first k + 1
-        one = rows.orderBy(*keys, "start").offset(int(k)).limit(1).withColumn("kind", F.lit(kind))
-        one = scenes.sparkSession.createDataFrame(one.collect(), one.schema)  # one row
-        picks = one if picks is None else picks.unionByName(one)
-    out = shifted(picks.withColumn("replacement", F.col("mutated")), keys).drop("replacement")
-    return out.select(*keys, "kind", "start", "end", "original", "mutated", "at")
-
-
 def policy(kind: Column, mode: str, spoken: Column) -> Column:
     """What may repair a defect: model-fixable, proofread-only, or nothing."""
     none = F.array().cast("array<string>")

@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import habits, harness, patterns
+from folioscope.operators import defects, habits, harness, patterns
 from folioscope.operators.lexicon import PACKS
 from folioscope.operators.rules import Settings
 from folioscope.plans import review
@@ -198,7 +198,7 @@ def test_habit_details(spark):
 
 def test_mutations(spark):
     s = scenes(spark, "The window looked bright and people were talking, slowly. " * 3)
-    got = harness.mutate(s, ["book", "scene"], "en", ["typo", "doubled-word", "punctuation"], "seed", "work").collect()
+    got = defects.inject(s, "book", ["book", "scene"], PACKS["en"], ("typo", "doubled-word", "punctuation"), "seed").collect()
     text = s.first().text
     assert {m.kind for m in got} == {"typo", "doubled-word", "punctuation"}
     out = text
@@ -207,7 +207,7 @@ def test_mutations(spark):
         out = out[: m.start] + m.mutated + out[m.end :]
     for m in got:
         assert out[m.at : m.at + len(m.mutated)] == m.mutated
-    assert sorted(map(tuple, got)) == sorted(map(tuple, harness.mutate(s, ["book", "scene"], "en", ["typo", "doubled-word", "punctuation"], "seed", "work").collect()))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, defects.inject(s, "book", ["book", "scene"], PACKS["en"], ("typo", "doubled-word", "punctuation"), "seed").collect()))
 
 
 def test_guide_score(spark):
