@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,16 +16,55 @@ from folioscope.functions.text import is_subsequence
 OUTCOMES = ("harmful", "incorrect", "partial", "alternative", "exact")
 
 
-def located(docs: DataFrame, quotes: DataFrame, doc: str, item: str, broadcast_rows: int = 100_000) -> DataFrame:
-    """doc, item, start: first place of each quote that a document contains verbatim.
+_INNER = r"[\p{L}\p{N}]+"
+
+
+def _grams(words: Column, n: int) -> Column:
+    """Hashes of the runs of ``n`` words."""
+    rows = F.arrays_zip(*(F.slice(words, i + 1, 1_000_000_000).alias(f"t{i}") for i in range(n)))
+    whole = F.filter(rows, lambda r: r[f"t{n - 1}"].isNotNull())
+    return F.transform(whole, lambda r: F.xxhash64(*(r[f"t{i}"] for i in range(n))))
+
+
+def located(docs: DataFrame, quotes: DataFrame, doc: str, item: str, within: tuple[str, ...] = (), portion: int = 10_000) -> DataFrame:
+    """doc, item, start: first place of each quote in every document that contains it verbatim.
 
-    Quotes are a stated set against all rows; they are broadcast, and it is an error to pass more than
-    ``broadcast_rows`` of them.
+    A quote's inner words stand as whole words in any text that contains it. So its runs of three of them (or fewer) are
+    looked up among the documents' runs, the one that the fewest documents have is its anchor, and only documents with the
+    anchor are searched. Quotes without an inner word, single words mostly, are searched for in all documents, ``portion`` of
+    them at a time. Columns ``within`` have to agree on both sides. Null and repeated texts are allowed, ids tell rows apart.
     """
-    if quotes.count() > broadcast_rows:
-        raise ValueError("too many quotes for a search by containment")
-    met = docs.join(F.broadcast(quotes), F.contains("text", F.col("quote")))
-    return met.select(doc, item, (F.expr("locate(quote, text)") - 1).cast("int").alias("start"))
+    inner = F.regexp_replace(F.regexp_replace("quote", rf"\A{_INNER}", ""), rf"{_INNER}\z", "")
+    asked = quotes.where(F.col("quote").isNotNull()).withColumn("_w", texts(inner, _INNER)).withColumn("_n", F.least(F.size("_w"), F.lit(3)))
+    sizes = {r["_n"]: r["count"] for r in asked.groupBy("_n").count().collect()}  # four numbers
+    kept = [doc, item, *within]
+    found = []
+    if longest := [n for n in (1, 2, 3) if sizes.get(n)]:
+        pick = F.when(F.lit(False), F.array().cast("array<long>"))
+        for n in longest:
+            pick = pick.when(F.col("_n") == n, _grams(F.col("_w"), n))
+        own = asked.where("_n > 0").select(item, *within, F.explode(F.array_distinct(pick)).alias("gram"))
+        listed = docs.withColumn("_w", texts(F.col("text"), _INNER)).select(doc, *within, F.explode(F.array_distinct(F.concat(*(_grams(F.col("_w"), n) for n in longest)))).alias("gram"))
+        listed = listed.join(own.select("gram", *within).distinct(), ["gram", *within], "left_semi")
+        often = listed.groupBy("gram", *within).agg(F.count(F.lit(1)).alias("n"))
+        anchors = own.join(often, ["gram", *within], "left").groupBy(item, *within).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a")).where("a.n > 0")
+        pairs = anchors.select(item, *within, F.col("a.gram").alias("gram")).join(listed, ["gram", *within]).select(*kept)
+        met = pairs.join(quotes.select(item, *within, "quote"), [item, *within]).join(docs.select(doc, *within, "text"), [doc, *within])
+        found.append(met.where(F.contains("text", F.col("quote"))))
+    parts = -(-sizes.get(0, 0) // portion)
+    for i in range(parts):
+        some = asked.where("_n = 0").where(F.pmod(F.xxhash64(item), F.lit(parts)) == i).select(item, *within, "quote")
+        test = F.contains(docs["text"], some["quote"])
+        for c in within:
+            test = test & docs[c].eqNullSafe(some[c])
+        found.append(docs.join(F.broadcast(some), test).select(doc, item, *(docs[c] for c in within), "quote", "text"))
+    if not found:
+        kind = quotes.schema[item].dataType
+        found = [docs.select(doc, *within, "text").where("false").withColumns({item: F.lit(None).cast(kind), "quote": F.lit(None).cast("string")})]
+    out = found[0].select(*kept, "quote", "text")
+    for more in found[1:]:
+        out = out.unionByName(more.select(*kept, "quote", "text"))
+    return out.select(*kept, (F.expr("locate(quote, text)") - 1).cast("int").alias("start"))
 
 
 def majority(votes: DataFrame, keys: list[str], yes: str) -> DataFrame:
@@ -67,32 +110,57 @@ def spread(rows: DataFrame, by: list[str], value: str, least: int = 1) -> DataFr
     return out.where(F.col("_n") >= least).drop("_n")
 
 
+def _best(cols: list[np.ndarray], signs: list[int]) -> np.ndarray:
+    """Places of the points that no other point dominates; the larger is better where the sign is -1.
+
+    In order of all measures no point is dominated by a later one, so each is held against what is kept before it.
+    """
+    codes = np.stack([np.unique(c, return_inverse=True)[1] * s for c, s in zip(cols, signs, strict=True)], 1)
+    order = np.lexsort(codes.T[::-1])
+    kept, n = np.empty((64, codes.shape[1]), codes.dtype), 0
+    places = []
+    for i in order:
+        if n and (kept[:n] <= codes[i]).all(1).any() and not (kept[:n] == codes[i]).all(1).any():
+            continue
+        if n == len(kept):
+            kept = np.concatenate([kept, np.empty_like(kept)])
+        kept[n], n = codes[i], n + 1
+        places.append(i)
+    return np.sort(np.array(places, np.int64))
+
+
 def pareto(rows: DataFrame, more: list[str], less: list[str]) -> DataFrame:
     """Rows that no other row dominates: as good everywhere and better somewhere.
 
-    First those that are best in nothing against a sorted prefix go: a row is compared only with rows at least as good
-    in the first measure, which the join's range on it says. Rows are few (variants of a run); a table of any size is
-    reduced to the best of each value of the first measure first.
+    Distinct points are filtered where they are read, then in a few tasks, then in one that sees only what is left, and
+    the rows of the points that remain are returned. A row with a null measure is beaten by none and beats none.
     """
-    key = more[0] if more else less[0]
-    rest_more, rest_less = more[1:] if more else more, less if more else less[1:]
-    best = [F.max(c).alias(f"_{c}") for c in rest_more] + [F.min(c).alias(f"_{c}") for c in rest_less]
-    tops = rows.groupBy(F.col(key).alias("_key")).agg(*best)
-    w = Window.orderBy(F.desc("_key") if more else F.asc("_key")).rowsBetween(Window.unboundedPreceding, -1)
-    if len(rest_more) + len(rest_less) == 1:  # one measure left: a running best decides
-        c = (rest_more or rest_less)[0]
-        run = (F.max if rest_more else F.min)(f"_{c}").over(w)
-        tops = tops.withColumn("_run", run)
-        beaten = F.col("_run").isNotNull() & ((F.col("_run") >= F.col(f"_{c}")) if rest_more else (F.col("_run") <= F.col(f"_{c}")))
-        good = tops.where(~beaten)
-        return rows.join(good, (rows[key] == good["_key"]) & (rows[c] == good[f"_{c}"]), "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
-    as_good, better = F.lit(True), F.lit(False)
-    for c in more:
-        as_good, better = as_good & (F.col(f"b.{c}") >= F.col(f"a.{c}")), better | (F.col(f"b.{c}") > F.col(f"a.{c}"))
-    for c in less:
-        as_good, better = as_good & (F.col(f"b.{c}") <= F.col(f"a.{c}")), better | (F.col(f"b.{c}") < F.col(f"a.{c}"))
-    return a.join(b, as_good & better, "left_anti")
+    names, signs = [*more, *less], [-1] * len(more) + [1] * len(less)
+    points = rows.select(*(F.col(c).alias(f"_m{i}") for i, c in enumerate(names))).distinct()
+    some = F.lit(True)
+    for i in range(len(names)):
+        some = some & F.col(f"_m{i}").isNotNull()
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            now = pa.Table.from_batches([b])
+            held = now if held is None else pa.concat_tables([held, now])
+            if held.num_rows:
+                held = held.take(_best([c.to_numpy() for c in held.columns], signs))
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    left = points.where(some)
+    for parts in (None, 8, 1):
+        left = (left if parts is None else left.repartition(parts)).mapInArrow(best, left.schema)
+    same = F.lit(False)
+    for c in names:
+        same = same | rows[c].isNull()
+    on = F.lit(True)
+    for i, c in enumerate(names):
+        on = on & (rows[c] == left[f"_m{i}"])
+    return rows.join(left, on, "left_semi").unionByName(rows.where(same))
 
 
 def best_match(pairs: DataFrame, key: str, rank: Column, order: str) -> DataFrame:

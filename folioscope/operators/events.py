@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.ranks import before, placed
+
 
 def last_wins(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key. An aggregate: partial maxima are made before rows move."""
@@ -68,20 +70,13 @@ def delegation_refusal(d: Column, workspace: Column, capability: Column, now: Co
 def passes(calls: DataFrame, job: str, order: str, most: int = 3) -> DataFrame:
     """job, pass, verdict, cost, ms, attempts: calls up to a complete verdict, or to the third attempt.
 
-    Attempts are counted from the call after the last verdict; every third without one closes a pass as well, so the
-    number of a pass is that of the verdicts before it plus the full threes in each gap.
+    Attempts are counted from the call after the last verdict; every third without one closes a pass as well. So a call's
+    stretch is the number of verdicts before it, its group in the stretch goes by its place there, and the number of a
+    pass is that of the closed groups before it: three running sums, whatever number of calls a job has.
     """
-    rows = calls.groupBy(job).agg(F.array_sort(F.collect_list(F.struct(order, "verdict", "cost", "ms"))).alias("c"))
-    kind = "array<struct<verdict:string,cost:double,ms:double,attempts:int>>"
-    nothing = F.struct(F.lit(0.0).alias("cost"), F.lit(0.0).alias("ms"), F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        cost, ms, n = s["cost"] + F.coalesce(x["cost"], F.lit(0.0)), s["ms"] + F.coalesce(x["ms"], F.lit(0.0)), s["n"] + 1
-        goes_on = x["verdict"].isNull() & (n < most)
-        row = F.struct(F.coalesce(x["verdict"], F.lit("failed")).alias("verdict"), cost.alias("cost"), ms.alias("ms"), n.alias("attempts"))
-        return F.when(goes_on, F.struct(cost.alias("cost"), ms.alias("ms"), n.alias("n"), s["out"].alias("out"))).otherwise(
-            F.struct(F.lit(0.0).alias("cost"), F.lit(0.0).alias("ms"), F.lit(0).alias("n"), F.concat(s["out"], F.array(row)).alias("out"))
-        )
-
-    out = F.aggregate("c", nothing, step, lambda s: s["out"])
-    return rows.select(job, F.posexplode(out).alias("pass", "p")).select(job, "pass", "p.*")
+    rows = before(calls, [job], [order], {"_gap": F.col("verdict").isNotNull().cast("long")})
+    rows = placed(rows, [job, "_gap"], [order], "_i").withColumn("_g", F.floor(F.col("_i") / most))
+    each = rows.groupBy(job, "_gap", "_g").agg(F.array_sort(F.collect_list(F.struct(order, F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce("ms", F.lit(0.0)).alias("ms")))).alias("c"), F.max("verdict").alias("v"))
+    total = lambda f: F.aggregate("c", F.lit(0.0), lambda s, x: s + x[f])
+    closed = each.where(F.col("v").isNotNull() | (F.size("c") == most)).select(job, "_gap", "_g", F.coalesce("v", F.lit("failed")).alias("verdict"), total("cost").alias("cost"), total("ms").alias("ms"), F.size("c").alias("attempts"))
+    return placed(closed, [job], ["_gap", "_g"], "pass").select(job, F.col("pass").cast("int").alias("pass"), "verdict", "cost", "ms", "attempts")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.operators.evaluate import outcome, rank_of
+from folioscope.operators.intervals import covered
 
 #: What a model may repair in each mode.
 ALLOWED = {"copy": ("typo", "doubled-word", "agreement", "redundancy", "qualifier", "sentence-frame", "formulaic"), "proofread": ("typo", "doubled-word", "agreement"), "mechanical": ("typo", "agreement")}
@@ -97,3 +98,16 @@ def review_view(latest: DataFrame, history: DataFrame, results: DataFrame, rejec
     rows = rows.join(past, "id", "left").join(results.select("id", F.col("status").alias("_r")), "id", "left").join(rejected.select("id").distinct().withColumn("_no", F.lit(True)), "id", "left").join(places.select("id", F.col("found").alias("_f")), "id", "left")
     status = F.when(F.col("accepted"), F.when(F.col("_r") == "applied", "accepted").otherwise(F.coalesce("_r", F.lit("stale")))).when(F.col("_no"), "rejected").when(F.col("_f"), "pending").otherwise("stale")
     return rows.withColumn("status", status).drop("accepted", "_r", "_no", "_f")
+
+
+def unnecessary(edits: DataFrame, contributing: DataFrame, preserve: DataFrame, keys: list[str], control: Column, words: int) -> DataFrame:
+    """One row: count, control_proposals, preserve_proposals, scanned_words, rate of edits that nothing asked for.
+
+    ``edits`` has (id, keys, start, end; start is null where the target isn't found any more). An edit is unnecessary in a
+    control chapter, on a span to be preserved, or where it isn't among those that ``contributing`` (id) names.
+    """
+    over = covered(edits.where("start is not null"), {"kept": preserve}, keys, "id")
+    met = edits.withColumn("_c", F.coalesce(control, F.lit(False))).join(over, "id", "left").join(contributing.select("id", F.lit(True).alias("_good")).distinct(), "id", "left")
+    kept, good = F.coalesce("kept", F.lit(False)), F.coalesce("_good", F.lit(False))
+    n = F.count_if(F.col("_c") | kept | ~good)
+    return met.agg(n.alias("count"), F.count_if("_c").alias("control_proposals"), F.count_if(kept).alias("preserve_proposals"), F.lit(words).cast("long").alias("scanned_words"), (n / F.lit(words) if words else F.lit(0.0)).alias("rate"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.matching import overlaps, touches, within
+from folioscope.operators.ranks import before, cell_of, walked
 
 TESTS: dict[str, Callable[[Column, Column], Column]] = {"overlap": overlaps, "touch": touches, "within": within}
 
@@ -46,8 +48,8 @@ def span_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner", t
 
 def collapsed_count(spans: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n: matches that start at or after the furthest end of all before them, whether those counted or not."""
-    before = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    new = F.col("start") >= F.coalesce(F.max("end").over(before), F.lit(-(2**62)))
+    earlier = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.col("start") >= F.coalesce(F.max("end").over(earlier), F.lit(-(2**62)))
     return spans.withColumn("_new", new).groupBy(*keys).agg(F.count_if("_new").alias("n"))
 
 
@@ -67,23 +69,55 @@ def greedy(spans: Column) -> Column:
     )
 
 
+def islands(spans: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """Adds ``island``: the number of those before it within its keys. An island ends where the furthest end so far is
+    passed, so no span overlaps one of another island; a key of any size is cut into them without being gathered."""
+    order = ["start", "end", ident]
+    cell = cell_of(spans, keys, order)
+    far = before(spans, keys, order, maxes={"_far": F.col("end")}, cell=cell)
+    opens = (F.col("_far").isNotNull() & (F.col("start") >= F.col("_far"))).cast("long")
+    rows = before(far.withColumn("_opens", opens), keys, order, {"_before": F.col("_opens")}, cell=cell)
+    return rows.withColumn("island", F.col("_before") + F.col("_opens")).drop("_far", "_opens", "_before")
+
+
+def _next_free() -> Callable[[int, int], bool]:
+    last = None
+
+    def fits(start: int, end: int) -> bool:
+        nonlocal last
+        if last is not None and start < last:
+            return False
+        last = end
+        return True
+
+    return fits
+
+
+def _apart() -> Callable[[int, int], bool]:
+    starts: list[int] = []
+    ends: list[int] = []
+
+    def fits(start: int, end: int) -> bool:
+        i = bisect_right(starts, start)  # what is kept doesn't overlap: only its neighbours can
+        if (i and ends[i - 1] > start and starts[i - 1] < end) or (i < len(starts) and starts[i] < end and ends[i] > start):
+            return False
+        starts.insert(i, start)
+        ends.insert(i, end)
+        return True
+
+    return fits
+
+
 def schedule(spans: DataFrame, keys: list[str], ident: str) -> DataFrame:
-    """The rows of ``spans`` with ``accepted``: greedy choice for each key by (start, end, id)."""
-    rows = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", ident))).alias("_s"))
-    marks = rows.select(*keys, F.explode(F.arrays_zip("_s", greedy(F.col("_s")).alias("accepted"))).alias("_x"))
-    return marks.select(*keys, F.col(f"_x._s.{ident}").alias(ident), F.col("_x._s.start").alias("start"), F.col("_x._s.end").alias("end"), "_x.accepted")
+    """The rows of ``spans`` with ``accepted``: greedy choice for each key by (start, end, id), an island at a time."""
+    rows = islands(spans, keys, ident).select(*keys, "island", ident, "start", "end")
+    return walked(rows, [*keys, "island"], ["start", "end", ident], _next_free, ["start", "end"], "accepted").drop("island")
 
 
 def first_kept(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows that overlap no row of the same keys that was kept before them, in input order."""
-    rows = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "start", "end"))).alias("_s"))
-    kept = F.aggregate(
-        "_s",
-        F.filter("_s", lambda x: F.lit(False)),
-        lambda done, x: F.when(F.exists(done, lambda y: (x["start"] < y["end"]) & (x["end"] > y["start"])), done).otherwise(F.concat(done, F.array(x))),
-    )
-    ids = rows.select(*keys, F.explode(kept).alias("_x")).select(*keys, F.col(f"_x.{order}").alias(order))
-    return spans.join(ids, [*keys, order], "left_semi")
+    """Rows that overlap no row of the same keys that was kept before them, in input order, an island at a time."""
+    rows = walked(islands(spans, keys, order), [*keys, "island"], [order], _apart, ["start", "end"], "_kept")
+    return rows.where("_kept").select(*spans.columns)
 
 
 def packed(sizes: Column, budget: Column | int) -> Column:
@@ -108,6 +142,19 @@ def _pack(s: Column, x: Column, budget: Column, zero: Column) -> Column:
 
 def shifted(edits: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``at``: where each edit starts once those before it are applied."""
-    before = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     delta = F.length("replacement") - (F.col("end") - F.col("start"))
-    return edits.withColumn("_d", delta).withColumn("at", F.col("start") + F.coalesce(F.sum("_d").over(before), F.lit(0))).drop("_d")
+    return edits.withColumn("_d", delta).withColumn("at", F.col("start") + F.coalesce(F.sum("_d").over(earlier), F.lit(0))).drop("_d")
+
+
+def covered(edits: DataFrame, sets: dict[str, DataFrame], keys: list[str], ident: str) -> DataFrame:
+    """ident and, for each set of spans (keys, start, end), whether an edit overlaps one of them: one sweep for all sets.
+
+    Along the text an edit's question stands where it ends, a span where it starts: an edit overlaps a span of a set if
+    the furthest end of the set's spans that start before the edit's end lies behind the edit's start. So nothing is joined.
+    """
+    ask = edits.select(*keys, F.col("end").cast("long").alias("_pos"), F.lit(0).alias("_set"), F.col("start").cast("long").alias("_start"), F.lit(None).cast("long").alias("_end"), F.col(ident).alias("_id"))
+    for i, spans in enumerate(sets.values(), 1):
+        ask = ask.unionByName(spans.select(*keys, F.col("start").cast("long").alias("_pos"), F.lit(i).alias("_set"), F.lit(None).cast("long").alias("_start"), F.col("end").cast("long").alias("_end"), F.lit(None).cast(edits.schema[ident].dataType).alias("_id")))
+    far = before(ask, keys, ["_pos", "_set", "_start", "_end", "_id"], maxes={f"_far{i}": F.when(F.col("_set") == i, F.col("_end")) for i in range(1, len(sets) + 1)})
+    return far.where("_set = 0").select(F.col("_id").alias(ident), *(F.coalesce(F.col(f"_far{i}") > F.col("_start"), F.lit(False)).alias(n) for i, n in enumerate(sets, 1)))

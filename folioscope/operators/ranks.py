@@ -6,8 +6,12 @@ is added to what stands before a row in its cell, so a key that has most of all
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 
 def cell_of(df: DataFrame, by: list[str], order: list[str], cuts: int = 64) -> Column:
@@ -22,17 +26,21 @@ def cell_of(df: DataFrame, by: list[str], order: list[str], cuts: int = 64) -> C
     if not some:
         return F.lit(0)
     points = F.array(*(F.struct(*(F.lit(r[c]).cast(kinds[c]).alias(f"p{i}") for i, c in enumerate(fields))) for r in some))
-    return F.size(F.filter(points, lambda p: p <= point))
+    points, wide = F.array_sort(points), max(1, round(len(some) ** 0.5))
+    heads = F.transform(F.sequence(F.lit(1), F.lit(len(some)), F.lit(wide)), lambda i: F.get(points, i - 1))
+    k = F.size(F.filter(heads, lambda p: p <= point))  # first among every few points, then among the few
+    return F.when(k == 0, 0).otherwise((k - 1) * wide + F.size(F.filter(F.slice(points, (k - 1) * wide + 1, F.lit(wide)), lambda p: p <= point)))
 
 
-def before(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None, cuts: int = 64) -> DataFrame:
+def before(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None, cuts: int = 64, cell: Column | None = None) -> DataFrame:
     """Adds, for each row, sums (0 at first) and maxima (null at first) over the rows of its key that stand before it.
 
-    ``order`` tells the rows of a key apart. Null keys are a key; nulls come first in the order.
+    ``order`` tells the rows of a key apart. Null keys are a key; nulls come first in the order. ``cell`` is what ``cell_of``
+    gave for the same keys and order, if it is at hand.
     """
     sums, maxes = sums or {}, maxes or {}
     names = {n: f"_v{i}" for i, n in enumerate([*sums, *maxes])}
-    rows = df.withColumn("_cell", cell_of(df, by, order, cuts)).withColumns({names[n]: c for n, c in (sums | maxes).items()})
+    rows = df.withColumn("_cell", cell_of(df, by, order, cuts) if cell is None else cell).withColumns({names[n]: c for n, c in (sums | maxes).items()})
     fold = lambda n, c: F.sum(c) if n in sums else F.max(c)
     cells = rows.groupBy(*by, "_cell").agg(*(fold(n, v).alias(v) for n, v in names.items()))
     upto = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -50,3 +58,26 @@ def before(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Colum
 def placed(df: DataFrame, by: list[str], order: list[str], name: str, cuts: int = 64) -> DataFrame:
     """Adds each row's place, from 0, among the rows of its key."""
     return before(df, by, order, {name: F.lit(1).cast("long")}, cuts=cuts)
+
+
+def walked(df: DataFrame, keys: list[str], order: list[str], step: Callable[[], Callable[..., object]], fields: list[str], name: str, flag: bool = True) -> DataFrame:
+    """Adds what a fold says of each row: rows of a key come one after the other, and nothing but the fold's state is held.
+
+    ``step()`` makes a fold for a key: a function of the row's ``fields`` that returns a boolean, or a whole number without ``flag``.
+    """
+    head = [*keys, *(f for f in fields if f not in keys)]
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fold = None, None
+        for b in batches:
+            cols = {c: b.column(c).to_pylist() for c in head}
+            said = []
+            for key, args in zip(zip(*(cols[k] for k in keys), strict=True), zip(*(cols[f] for f in fields), strict=True), strict=True):
+                if fold is None or key != now:
+                    now, fold = key, step()
+                said.append(fold(*args))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, out)], [*b.schema.names, name])
+
+    out = pa.bool_() if flag else pa.int64()
+    return rows.mapInArrow(run, StructType([*df.schema.fields, StructField(name, BooleanType() if flag else LongType())]))
