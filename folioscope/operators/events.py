@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.operators.ranks import before, placed
+from folioscope.operators.ranks import before, placed, split_hot, walked
 
 
 def last_wins(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -67,16 +69,35 @@ def delegation_refusal(d: Column, workspace: Column, capability: Column, now: Co
     )
 
 
-def passes(calls: DataFrame, job: str, order: str, most: int = 3) -> DataFrame:
+def _attempts(most: int) -> Callable[[], Callable[[str | None], int]]:
+    def fold() -> Callable[[str | None], int]:
+        number, n = 0, 0
+
+        def step(verdict: str | None) -> int:
+            nonlocal number, n
+            mine, n = number, n + 1
+            if verdict is not None or n == most:
+                number, n = number + 1, 0
+            return mine
+
+        return step
+
+    return fold
+
+
+def passes(calls: DataFrame, job: str, order: str, most: int = 3, few: int = 100_000) -> DataFrame:
     """job, pass, verdict, cost, ms, attempts: calls up to a complete verdict, or to the third attempt.
 
-    Attempts are counted from the call after the last verdict; every third without one closes a pass as well. So a call's
-    stretch is the number of verdicts before it, its group in the stretch goes by its place there, and the number of a
-    pass is that of the closed groups before it: three running sums, whatever number of calls a job has.
+    Attempts are counted from the call after the last verdict; every third without one closes a pass as well. Jobs of at
+    most ``few`` calls are walked. In larger ones a call's stretch is the number of verdicts before it, its group goes by its
+    place in the stretch, and the number of a pass is that of the closed groups before it: three running sums.
     """
-    rows = before(calls, [job], [order], {"_gap": F.col("verdict").isNotNull().cast("long")})
-    rows = placed(rows, [job, "_gap"], [order], "_i").withColumn("_g", F.floor(F.col("_i") / most))
-    each = rows.groupBy(job, "_gap", "_g").agg(F.array_sort(F.collect_list(F.struct(order, F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce("ms", F.lit(0.0)).alias("ms")))).alias("c"), F.max("verdict").alias("v"))
+    some, hot = split_hot(calls, [job], few)
+    whole = lambda rows, by: rows.groupBy(job, *by).agg(F.array_sort(F.collect_list(F.struct(order, F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce("ms", F.lit(0.0)).alias("ms")))).alias("c"), F.max("verdict").alias("v")).where(F.col("v").isNotNull() | (F.size("c") == most))
+    out = whole(walked(some, [job], [order], _attempts(most), ["verdict"], "pass", flag=False), ["pass"])
+    if hot is not None:
+        rows = before(hot, [job], [order], {"_gap": F.col("verdict").isNotNull().cast("long")})
+        rows = placed(rows, [job, "_gap"], [order], "_i").withColumn("_g", F.floor(F.col("_i") / most))
+        out = out.unionByName(placed(whole(rows, ["_gap", "_g"]), [job], ["_gap", "_g"], "pass").drop("_gap", "_g"))
     total = lambda f: F.aggregate("c", F.lit(0.0), lambda s, x: s + x[f])
-    closed = each.where(F.col("v").isNotNull() | (F.size("c") == most)).select(job, "_gap", "_g", F.coalesce("v", F.lit("failed")).alias("verdict"), total("cost").alias("cost"), total("ms").alias("ms"), F.size("c").alias("attempts"))
-    return placed(closed, [job], ["_gap", "_g"], "pass").select(job, F.col("pass").cast("int").alias("pass"), "verdict", "cost", "ms", "attempts")
+    return out.select(job, F.col("pass").cast("int").alias("pass"), F.coalesce("v", F.lit("failed")).alias("verdict"), total("cost").alias("cost"), total("ms").alias("ms"), F.size("c").alias("attempts"))

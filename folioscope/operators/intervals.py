@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.matching import overlaps, touches, within
-from folioscope.operators.ranks import before, cell_of, walked
+from folioscope.operators.ranks import before, cell_of, split_hot, walked
 
 TESTS: dict[str, Callable[[Column, Column], Column]] = {"overlap": overlaps, "touch": touches, "within": within}
 
@@ -108,16 +108,25 @@ def _apart() -> Callable[[int, int], bool]:
     return fits
 
 
-def schedule(spans: DataFrame, keys: list[str], ident: str) -> DataFrame:
-    """The rows of ``spans`` with ``accepted``: greedy choice for each key by (start, end, id), an island at a time."""
-    rows = islands(spans, keys, ident).select(*keys, "island", ident, "start", "end")
-    return walked(rows, [*keys, "island"], ["start", "end", ident], _next_free, ["start", "end"], "accepted").drop("island")
+def _folded(spans: DataFrame, keys: list[str], ident: str, order: list[str], fold: Callable, name: str, few: int) -> DataFrame:
+    """Keys of at most ``few`` rows are folded one after the other; of larger ones, each island by itself."""
+    some, hot = split_hot(spans, keys, few)
+    out = walked(some, keys, order, fold, ["start", "end"], name)
+    if hot is not None:
+        parts = walked(islands(hot, keys, ident), [*keys, "island"], order, fold, ["start", "end"], name)
+        out = out.unionByName(parts.drop("island"))
+    return out
 
 
-def first_kept(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows that overlap no row of the same keys that was kept before them, in input order, an island at a time."""
-    rows = walked(islands(spans, keys, order), [*keys, "island"], [order], _apart, ["start", "end"], "_kept")
-    return rows.where("_kept").select(*spans.columns)
+def schedule(spans: DataFrame, keys: list[str], ident: str, few: int = 100_000) -> DataFrame:
+    """The rows of ``spans`` with ``accepted``: greedy choice for each key by (start, end, id)."""
+    rows = spans.select(*keys, ident, "start", "end")
+    return _folded(rows, keys, ident, ["start", "end", ident], _next_free, "accepted", few)
+
+
+def first_kept(spans: DataFrame, keys: list[str], order: str, few: int = 100_000) -> DataFrame:
+    """Rows that overlap no row of the same keys that was kept before them, in input order."""
+    return _folded(spans, keys, order, [order], _apart, "_kept", few).where("_kept").drop("_kept")
 
 
 def packed(sizes: Column, budget: Column | int) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
@@ -21,15 +21,24 @@ def cell_of(df: DataFrame, by: list[str], order: list[str], cuts: int = 64) -> C
     """
     fields = [*by, *order]
     kinds = {f.name: f.dataType for f in df.select(*fields).schema.fields}
-    point = F.struct(*(F.col(c).alias(f"p{i}") for i, c in enumerate(fields)))
-    some = df.select(*fields).orderBy(F.xxhash64(*fields), *fields).limit(cuts).collect()
-    if not some:
-        return F.lit(0)
-    points = F.array(*(F.struct(*(F.lit(r[c]).cast(kinds[c]).alias(f"p{i}") for i, c in enumerate(fields))) for r in some))
-    points, wide = F.array_sort(points), max(1, round(len(some) ** 0.5))
-    heads = F.transform(F.sequence(F.lit(1), F.lit(len(some)), F.lit(wide)), lambda i: F.get(points, i - 1))
-    k = F.size(F.filter(heads, lambda p: p <= point))  # first among every few points, then among the few
-    return F.when(k == 0, 0).otherwise((k - 1) * wide + F.size(F.filter(F.slice(points, (k - 1) * wide + 1, F.lit(wide)), lambda p: p <= point)))
+    points = df.select(*fields).orderBy(F.xxhash64(*fields), *fields).limit(cuts).orderBy(*fields).collect()
+
+    def reached(point: Row) -> Column:
+        """Whether a row isn't before a point; nulls come first."""
+        whole = F.lit(True)
+        for c in reversed(fields):
+            value = F.lit(point[c]).cast(kinds[c])
+            behind = F.col(c).isNotNull() if point[c] is None else F.coalesce(F.col(c) > value, F.lit(False))
+            whole = behind | (F.col(c).eqNullSafe(value) & whole)
+        return whole
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(reached(points[middle]), search(middle + 1, high)).otherwise(search(low, middle))
+
+    return search(0, len(points))
 
 
 def before(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None, cuts: int = 64, cell: Column | None = None) -> DataFrame:
@@ -81,3 +90,14 @@ def walked(df: DataFrame, keys: list[str], order: list[str], step: Callable[[],
 
     out = pa.bool_() if flag else pa.int64()
     return rows.mapInArrow(run, StructType([*df.schema.fields, StructField(name, BooleanType() if flag else LongType())]))
+
+
+def split_hot(df: DataFrame, keys: list[str], few: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys with at most ``few`` rows, and those of the others, or None if there are no others."""
+    hot = df.groupBy(*keys).count().where(F.col("count") > few).select(*(F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)))
+    if hot.isEmpty():
+        return df, None
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & df[k].eqNullSafe(hot[f"_h{i}"])
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")

@@ -40,8 +40,9 @@ def spans(n, keys, wide, seed=0):
 def test_spans_of_hot_keys(spark, wide):
     rows = spans(1500, 5, wide, wide)
     df = spark.createDataFrame(rows, "k string, start long, end long, id long").repartition(6)
-    assert sorted((r.id, r.accepted) for r in intervals.schedule(df, ["k"], "id").collect()) == greedy_by_hand(rows)
-    assert sorted(r.id for r in intervals.first_kept(df, ["k"], "id").collect()) == kept_by_hand(rows)
+    for few in (100_000, 300):
+        assert sorted((r.id, r.accepted) for r in intervals.schedule(df, ["k"], "id", few).collect()) == greedy_by_hand(rows)
+        assert sorted(r.id for r in intervals.first_kept(df, ["k"], "id", few).collect()) == kept_by_hand(rows)
     isles = intervals.islands(df, ["k"], "id").groupBy("k", "island").agg(F.min("start").alias("a"), F.max("end").alias("b"))
     for _, one in isles.toPandas().sort_values("island").groupby("k", dropna=False):
         assert one["island"].tolist() == list(range(len(one))) and (one["a"].to_numpy()[1:] >= one["b"].cummax().to_numpy()[:-1]).all()
@@ -65,7 +66,8 @@ def test_one_key_of_a_million(spark):
 def test_passes(spark):
     r = np.random.default_rng(4)
     rows = [(j, i, [None, "ok", "no"][r.choice(3, p=[0.7, 0.2, 0.1])], [None, 0.5, 0.25][r.integers(0, 3)], 1.5) for j in ("a", "b", None) for i in range(60)]
-    got = sorted(map(tuple, events.passes(spark.createDataFrame(rows, "job string, ord int, verdict string, cost double, ms double").repartition(4), "job", "ord").collect()), key=str)
+    df = spark.createDataFrame(rows, "job string, ord int, verdict string, cost double, ms double").repartition(4)
+    got, split = (sorted(map(tuple, events.passes(df, "job", "ord", few=few).collect()), key=str) for few in (100, 10))
     want = []
     for j in ("a", "b", None):
         cost = ms = n = k = 0
@@ -75,7 +77,7 @@ def test_passes(spark):
                 want.append((j, k, v or "failed", float(cost), ms, n))
                 cost = ms = n = 0
                 k += 1
-    assert got == sorted(want, key=str)
+    assert got == split == sorted(want, key=str)
 
 
 @pytest.mark.parametrize("tilt", [0.0, 1.0])
