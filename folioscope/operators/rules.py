@@ -172,7 +172,10 @@ def quotes(text: Column, ctx: Context) -> Column:
 def dominant_quote_style(scenes: DataFrame) -> str | None:
     """curly or straight where one makes up nine tenths of ten marks and more, else nothing."""
     curly, straight = scenes.agg(F.sum(count(F.col("text"), "[“”]")), F.sum(count(F.col("text"), '"'))).first()
-    curly, straight = curly or 0, straight or 0
+    return quote_style(curly or 0, straight or 0)
+
+
+def quote_style(curly: int, straight: int) -> str | None:
     if curly >= 10 and straight * 9 <= curly:
         return "curly"
     return "straight" if straight >= 10 and curly * 9 <= straight else None
