@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.matching import MATCH, any_span, char, count, matches, occurrence_before, overlaps, run_before, touches, within
+from folioscope.functions.matching import MATCH, any_span, char, count, matches, occurrence_before, occurrences, overlaps, run_before, touches, within
 from folioscope.functions.text import changed_span, like_case, one_edit_apart, same_stem, sha256, stable_id
 from folioscope.operators.lexicon import Pack, Regional, region_of
 from folioscope.operators.segment import WORD, dialogue, paragraphs, tokens_table
@@ -464,18 +464,21 @@ def widen(text: Column, start: Column, end: Column, replacement: Column) -> Colu
     return F.struct(s.alias("start"), e.alias("end"), F.substring(text, s + 1, e - s).alias("target"), F.concat(left, replacement, right).alias("replacement"))
 
 
+def touches_form(text: Column, change: Column, forms: tuple[str, ...]) -> Column:
+    """Whether a change (start, end) touches an occurrence of a protected form."""
+    met = F.lit(False)
+    for f in forms:
+        spans = F.transform(occurrences(text, F.lit(f)), lambda s: F.struct(s.alias("start"), (s + len(f)).alias("end")))  # noqa: B023
+        met = met | any_span(spans, lambda s: touches(change, s) | ((change["start"] == change["end"]) & (change["start"] == s["start"])))
+    return met
+
+
 def without_protected(drafts: DataFrame, forms: tuple[str, ...]) -> DataFrame:
     """Drops drafts whose changed part touches a protected form; ``drafts`` carries the scene's text as ``text``."""
     if not forms:
         return drafts
-    from folioscope.functions.matching import occurrences
-
     change = changed_span(F.col("target"), F.col("start"), F.col("replacement"))
-    keep = F.lit(True)
-    for f in forms:
-        spans = F.transform(occurrences(F.col("text"), F.lit(f)), lambda s: F.struct(s.alias("start"), (s + len(f)).alias("end")))  # noqa: B023
-        keep = keep & ~any_span(spans, lambda s: touches(F.col("_change"), s) | ((F.col("_change.start") == F.col("_change.end")) & (F.col("_change.start") == s["start"])))
-    return drafts.withColumn("_change", change).where(keep).drop("_change")
+    return drafts.withColumn("_change", change).where(~touches_form(F.col("text"), F.col("_change"), forms)).drop("_change")
 
 
 def proposals(drafts: DataFrame, scenes: DataFrame, keys: list[str], forms: tuple[str, ...] = ()) -> DataFrame:

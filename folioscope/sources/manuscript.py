@@ -120,14 +120,29 @@ def read_standalone(spark: SparkSession, path: str, lang: str = "en", book_id: s
     return out.withColumn("title", F.col("slug"))
 
 
+def workspace_of(spark: SparkSession, target: str) -> str | None:
+    """The nearest folder, the target's own first and then its parents, that has a manifest; None if none does.
+
+    Folders are asked of the store that the path names, so it may be any that Spark reads.
+    """
+    found = spark._jvm.org.apache.hadoop.fs.Path(target)
+    store = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    if re.search(r"\.(md|txt|yaml)$", target):
+        found = found.getParent()
+    while found is not None:
+        for inner in ("", "manuscript/"):
+            if store.exists(spark._jvm.org.apache.hadoop.fs.Path(found, inner + "manuscript.yaml")):
+                return f"{found.toString()}/{inner}".rstrip("/")
+        found = found.getParent()
+    return None
+
+
 def open_source(spark: SparkSession, target: str, lang: str = "en") -> DataFrame:
-    """Chapters of a target: a text file, a workspace's manuscript folder, or else a folder of texts."""
+    """Chapters of a target: a text file by itself, else the nearest workspace's manuscript, else a folder of texts."""
     if not re.search(r"\.(md|txt)$", target):
-        try:
-            return read_manuscript(spark, target)[0]
-        except SourceError as e:
-            if e.code != "missing-manifest":
-                raise
+        folder = workspace_of(spark, target)
+        if folder:
+            return read_manuscript(spark, folder)[0]
     return read_standalone(spark, target, lang)
 
 
