@@ -144,3 +144,83 @@ def findings_in_order(spark, d):
     known = t(spark, d, "nation").select(F.col("n_nationkey").alias("principle"), F.col("n_name").alias("title"), F.col("n_regionkey").alias("severity"))
     out = review.in_book_order(docs, places, ["lang", "source"], "lang", known)
     return out.select(F.col("id").alias("doc_id"), "principle", "title", "severity", "place")
+
+
+# --- rules over all documents, each text edited so that the rule has something to find -----------------------------------
+
+RU = lexicon.PACKS["ru"]
+
+
+def _edited(sql: str, text: str) -> str:
+    """A query's SQL over documents whose texts are edited by an expression."""
+    return sql.replace("FROM documents", f"FROM (SELECT doc_id, {text} AS text FROM documents) AS edited")
+
+
+def _found(spark, d, rule, text, pack=EN, settings=None):
+    """doc_id, n: drafts of a rule over all documents' edited texts."""
+    docs = t(spark, d, "documents").select("doc_id", text.alias("text"))
+    return rule(docs, rules.Context(pack, settings or rules.Settings())).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _said(a: str, b: str):
+    return F.replace("text", F.lit(a), F.lit(b))
+
+
+@query(_edited(ORACLE_SQL["whitespace_drafts"], "replace(replace(text, ', ', ' , '), ' the ', '   the ')"))
+def spaces_before_marks(spark, d):
+    return _found(spark, d, rules.whitespace, F.replace(_said(", ", " , "), F.lit(" the "), F.lit("   the ")))
+
+
+@query(_edited(ORACLE_SQL["mixed_quote_drafts"], "replace(replace(text, ' the ', ' \"the” '), ' a ', ' “a\" ')").replace(", len(array_to_string(m, ''))::BIGINT AS chars", ""))
+def quotes_of_two_styles(spark, d):
+    text = F.replace(_said(" the ", ' "the” '), F.lit(" a "), F.lit(' “a" '))
+    return _found(spark, d, rules.mixed_quotes, text, settings=rules.Settings(quotes="“”"))
+
+
+@query(r"""
+WITH m AS (SELECT doc_id, len(regexp_extract_all(text, '\p{L} - \p{L}')) AS dash, len(regexp_extract_all(text, '[\p{L}\p{N}]+\.\.(?:[^.…]|$)')) AS stops, len(regexp_extract_all(text, '(?m)^-[ \t]+\p{L}')) AS speech
+           FROM (SELECT doc_id, replace(replace(text, ', ', ' - '), '. ', '.. ') AS text FROM documents))
+SELECT doc_id, (dash + stops + speech)::BIGINT AS n FROM m WHERE dash + stops + speech > 0
+""")
+def dashes_and_stops(spark, d):
+    return _found(spark, d, rules.dashes_ellipsis, F.replace(_said(", ", " - "), F.lit(". "), F.lit(".. ")))
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, unnest(string_split_regex(replace(text, ' the ', ' (the '), '(\r?\n){2,}')) AS p FROM documents),
+     c AS (SELECT doc_id, length(p) - length(replace(p, '(', '')) <> length(p) - length(replace(p, ')', '')) AS odd FROM p)
+SELECT doc_id, count(*) AS n FROM c WHERE odd GROUP BY doc_id
+""")
+def open_brackets(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", _said(" the ", " (the ").alias("text"))
+    return rules.balance_warnings(docs, ["doc_id"]).where("kind = '()'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, unnest(string_split_regex(replace(translate(text, '*_\#', ''), ' the ', ' ## the '), '(\r?\n){2,}')) AS p FROM documents)
+SELECT doc_id, sum(len(regexp_extract_all(p, '[^\s]\s+#{2,}\s+\p{L}')))::BIGINT AS n FROM p GROUP BY doc_id HAVING sum(len(regexp_extract_all(p, '[^\s]\s+#{2,}\s+\p{L}'))) > 0
+""")
+def stray_headings(spark, d):
+    bare = F.translate("text", "*_\\#", "")
+    return _found(spark, d, rules.stray_markers, F.replace(bare, F.lit(" the "), F.lit(" ## the ")))
+
+
+_PLAIN = "translate(text, '\"“”«»„‘’—–-', '')"
+
+
+def _plain():
+    """The text without marks of speech, which these two rules leave alone."""
+    return F.translate("text", '"“”«»„‘’—–-', "")
+
+
+@query(f"SELECT doc_id, (len(string_split({_PLAIN}, ' the ')) - 1)::BIGINT AS n FROM documents WHERE contains({_PLAIN}, ' the ')")
+def russian_numerals(spark, d):
+    """Every `` the `` made a numeral that doesn't go with its noun."""
+    return _found(spark, d, rules.ru_numeral, F.replace(_plain(), F.lit(" the "), F.lit(" два долгих суток ")), RU)
+
+
+@query(rf"SELECT doc_id, (len(string_split({_PLAIN}, ' the ')) - 1 + len(string_split({_PLAIN}, ' in ')) - 1)::BIGINT AS n FROM documents WHERE len(string_split({_PLAIN}, ' the ')) + len(string_split({_PLAIN}, ' in ')) > 2")
+def russian_pronouns(spark, d):
+    """Every `` the `` and `` in `` made a pronoun whose verb doesn't agree; `` of `` one whose verb does."""
+    text = F.replace(F.replace(F.replace(_plain(), F.lit(" of "), F.lit(" она была ")), F.lit(" the "), F.lit(" он были ")), F.lit(" in "), F.lit(" оно был "))
+    return _found(spark, d, rules.ru_pronoun, text, RU)
