@@ -310,7 +310,7 @@ def region_variant(scenes: DataFrame, ctx: Context) -> DataFrame:
     if pairs:
         hit = hit.where(~F.lower("m.text").isin(*pairs))
     finding = F.col("loose") | any_span(F.col("spoken"), lambda s: within(F.col("m"), s))
-    basis = F.when(F.col("loose"), "form also written in the book’s region").otherwise("in dialogue: may be the character’s voice")
+    basis = F.when(F.col("loose"), "this region of English has the form as well").otherwise("a character says it and may speak so")
     return hit.select(
         *keys, F.col("m.start").alias("start"), F.col("m.text").alias("target"), like_case(F.col("m.text"), F.col("other")).alias("replacement"),
         F.concat(F.when(F.col("kind") == "spelling", "Spelling").otherwise("Usage"), F.lit(f" of the other English region; the book is {ctx.settings.language}.")).alias("reason"),
@@ -366,7 +366,7 @@ def name_variant(scenes: DataFrame, ctx: Context) -> DataFrame:
     found = found.join(similar, found["text"] == similar["name"])
     found = found.withColumn("replacement", F.col("candidate")).withColumn("authority", F.lit("semantic"))
     found = found.withColumn("reason", F.concat(F.lit('One letter sets "'), F.col("text"), F.lit('" apart from "'), F.col("candidate"), F.lit('", which is more frequent; only the author can tell whether it is the same name.')))
-    found = found.withColumn("evidence", F.create_map(F.lit("basis"), F.lit("one-letter difference and book frequency"), F.lit("spelling"), F.col("text"), F.lit("spelling_count"), F.col("n").cast("string"), F.lit("candidate"), F.col("candidate"), F.lit("candidate_count"), F.col("candidate_n").cast("string")))
+    found = found.withColumn("evidence", F.create_map(F.lit("basis"), F.lit("names one letter apart, the other in more places"), F.lit("spelling"), F.col("text"), F.lit("spelling_count"), F.col("n").cast("string"), F.lit("candidate"), F.col("candidate"), F.lit("candidate_count"), F.col("candidate_n").cast("string")))
     return out.unionByName(found.select(*shape))
 
 

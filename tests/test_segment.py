@@ -32,11 +32,11 @@ def test_paragraphs(spark):
 
 
 def test_sentences(spark):
-    text = "Dr. Smith arrived. Then he left! “Really?” she said. Line one\nline two"
+    text = "Prof. Nilsen waved. Then it rained! “Truly?” we asked. Line one\nline two"
     got = one(spark, lambda t: segment.sentences(t, PACKS["en"]), text)
-    assert [s.text.strip() for s in got] == ["Dr. Smith arrived.", "Then he left!", "“Really?”", "she said.", "Line one", "line two"]
+    assert [s.text.strip() for s in got] == ["Prof. Nilsen waved.", "Then it rained!", "“Truly?”", "we asked.", "Line one", "line two"]
     assert all(text[s.start : s.end] == s.text for s in got)
-    assert len(one(spark, lambda t: segment.sentences(t, PACKS["en"]), "Dr. Smith arrived. Then he left.")) == 2
+    assert len(one(spark, lambda t: segment.sentences(t, PACKS["en"]), "Prof. Nilsen waved. Then it rained.")) == 2
 
 
 def test_dialogue(spark):
@@ -79,5 +79,5 @@ def test_metrics(spark):
 
 
 def test_proper_nouns(spark):
-    scenes = spark.createDataFrame([(0, "He saw Mara. They called Mara. Later Maro came.")], "scene int, text string")
-    assert {r["name"]: r.n for r in metrics.proper_nouns(scenes, PACKS["en"], order=("scene",)).collect()} == {"Mara": 2, "Maro": 1}
+    scenes = spark.createDataFrame([(0, "We met Tilda. Nobody knew Tilda. Often Tildo sang.")], "scene int, text string")
+    assert {r["name"]: r.n for r in metrics.proper_nouns(scenes, PACKS["en"], order=("scene",)).collect()} == {"Tilda": 2, "Tildo": 1}
