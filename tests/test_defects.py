@@ -96,7 +96,8 @@ def test_texts_policies_and_rules(spark):
         assert done[tuple(p[k] for k in KEYS)][p["at"] : p["at"] + len(p.mutated)] == p.mutated
     ctx = context(scenes, PACKS["en"], rules.Settings())
     fixes = {r.kind: r.rules for r in defects.rule_fixes(scenes, picks, KEYS, "kind", ctx).collect()}
-    for p in picks.collect():  # one at a time: the rules over the scene with this defect alone
+    tried = [p for p in picks.collect() if p.kind in ("typo", "doubled-word", "redundancy", "dialogue-format", "formulaic")]
+    for p in tried:  # one at a time: the rules over the scene with this defect alone
         text = texts[tuple(p[k] for k in KEYS)]
         text = text[: p.start] + p.mutated + text[p.end :]
         own = spark.createDataFrame([(*(p[k] for k in KEYS), text)], scenes.schema)
