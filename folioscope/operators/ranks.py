@@ -20,25 +20,29 @@ def cell_of(df: DataFrame, by: list[str], order: list[str], cuts: int = 64) -> C
     The points are the rows with the least hashes, so they are the same whenever the table is.
     """
     fields = [*by, *order]
-    kinds = {f.name: f.dataType for f in df.select(*fields).schema.fields}
+    kinds = {f.name: f.dataType.simpleString() for f in df.select(*fields).schema.fields}
     points = df.select(*fields).orderBy(F.xxhash64(*fields), *fields).limit(cuts).orderBy(*fields).collect()
 
-    def reached(point: Row) -> Column:
+    def said(value: object, kind: str) -> str:
+        """A literal; texts go by their bytes, so whatever they hold does no harm."""
+        text = f"decode(unhex('{value.encode().hex()}'), 'UTF-8')" if isinstance(value, str) else f"'{value}'"
+        return f"cast({text} as {kind})"
+
+    def reached(point: Row) -> str:
         """Whether a row isn't before a point; nulls come first."""
-        whole = F.lit(True)
+        whole = "true"
         for c in reversed(fields):
-            value = F.lit(point[c]).cast(kinds[c])
-            behind = F.col(c).isNotNull() if point[c] is None else F.coalesce(F.col(c) > value, F.lit(False))
-            whole = behind | (F.col(c).eqNullSafe(value) & whole)
+            name, value = "`" + c.replace("`", "``") + "`", None if point[c] is None else said(point[c], kinds[c])
+            whole = f"({name} is not null or {whole})" if value is None else f"(coalesce({name} > {value}, false) or ({name} <=> {value} and {whole}))"
         return whole
 
-    def search(low: int, high: int) -> Column:
+    def search(low: int, high: int) -> str:
         if low == high:
-            return F.lit(low)
+            return str(low)
         middle = (low + high) // 2
-        return F.when(reached(points[middle]), search(middle + 1, high)).otherwise(search(low, middle))
+        return f"case when {reached(points[middle])} then {search(middle + 1, high)} else {search(low, middle)} end"
 
-    return search(0, len(points))
+    return F.expr(search(0, len(points)))  # as text: a tree of columns takes seconds to build
 
 
 def before(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None, cuts: int = 64, cell: Column | None = None) -> DataFrame:
@@ -50,6 +54,7 @@ def before(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Colum
     sums, maxes = sums or {}, maxes or {}
     names = {n: f"_v{i}" for i, n in enumerate([*sums, *maxes])}
     rows = df.withColumn("_cell", cell_of(df, by, order, cuts) if cell is None else cell).withColumns({names[n]: c for n, c in (sums | maxes).items()})
+    rows = rows.repartition(*by, "_cell")  # both uses of the rows start from this shuffle, and cells are worked out once
     fold = lambda n, c: F.sum(c) if n in sums else F.max(c)
     cells = rows.groupBy(*by, "_cell").agg(*(fold(n, v).alias(v) for n, v in names.items()))
     upto = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
