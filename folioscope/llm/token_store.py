@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import gathered, scratch_dir, ship, table, trim, values
 
 BLOCK = 64  # bytes of bitmap for each entry of the directory
-CACHED = 200_000
+CACHED = 100_000
 #: Letters that stand for bytes in a byte-level vocabulary: a byte that prints stands for itself, the others follow 255.
 _OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
@@ -308,7 +308,7 @@ def write_tokens(
             cells = ([shard], pa.int32()), ([seg], pa.int32()), ([names[0]], pa.int64()), ([names], many), ([ends], many), ([n], pa.int64()), ([pack(np.concatenate(held))], pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in cells], ["shard", "seg", "first_id", "doc_ids", "ends", "n_tokens", "codes"])
 
-        for ids_of, texts in gathered(batches, 1 << 22):
+        for ids_of, texts in gathered(batches, 1 << 21):
             ids, stops = enc.encode(texts)
             pa.default_memory_pool().release_unused()
             at = 0
