@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import gathered, scratch_dir, ship, table, trim, values
 
 BLOCK = 64  # bytes of bitmap for each entry of the directory
-CACHED = 100_000
+CACHED = 150_000
+PORTION = 1 << 19  # bytes of text that are encoded at once
 #: Letters that stand for bytes in a byte-level vocabulary: a byte that prints stands for itself, the others follow 255.
 _OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
@@ -272,6 +273,20 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def encoded(enc: Encoder, batches: Iterator[pa.RecordBatch], most: int = PORTION) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc ids, token ids, ends) of (id, text), about ``most`` bytes at a time however large the batches are."""
+
+    def cut() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            upto = np.cumsum(pc.binary_length(b.column(1)).fill_null(0).to_numpy().astype(np.int64))
+            edges = [0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), len(b)]
+            yield from (b.slice(x, y - x) for x, y in zip(edges[:-1], edges[1:], strict=True))
+
+    for ids_of, texts in gathered(cut(), most):
+        yield ids_of, *enc.encode(texts)
+        pa.default_memory_pool().release_unused()
+
+
 def write_tokens(
     docs: DataFrame,
     path: str,
@@ -308,9 +323,7 @@ def write_tokens(
             cells = ([shard], pa.int32()), ([seg], pa.int32()), ([names[0]], pa.int64()), ([names], many), ([ends], many), ([n], pa.int64()), ([pack(np.concatenate(held))], pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in cells], ["shard", "seg", "first_id", "doc_ids", "ends", "n_tokens", "codes"])
 
-        for ids_of, texts in gathered(batches, 1 << 21):
-            ids, stops = enc.encode(texts)
-            pa.default_memory_pool().release_unused()
+        for ids_of, ids, stops in encoded(enc, batches):
             at = 0
             for i, stop in zip(ids_of.to_pylist(), stops.tolist(), strict=True):
                 held += [ids[at:stop], last]
@@ -330,7 +343,7 @@ def write_tokens(
     ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(name)
-    conf.set(name, "1024")  # texts can be long
+    conf.set(name, "256")  # texts can be long
     try:
         ordered.mapInArrow(run, FIELDS).write.parquet(path)
     finally:

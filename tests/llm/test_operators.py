@@ -226,6 +226,27 @@ def test_token_store(spark, docs, tmp_path):
     assert token_store.read_documents(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_portions():
+    """However large its batches are, little text is encoded at once: what that takes grows with it."""
+    import pyarrow as pa
+
+    r, met = np.random.default_rng(3), []
+    words = ["".join(r.choice([*"abcdefgh"], 5)) for _ in range(20_000)]
+    texts = [" ".join(r.choice(words, 600)) for _ in range(1024)] + ["", " ".join(r.choice(words, 200_000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+
+    class Counting(token_store.Encoder):
+        def encode(self, texts):
+            met.append((len(texts), sum(len(t) for t in texts.to_pylist())))
+            return super().encode(texts)
+
+    enc = Counting(token_store.vocabulary())
+    got = [(i, ids[a:b].tolist()) for names, ids, ends in token_store.encoded(enc, iter([batch, batch.slice(0, 3)])) for i, a, b in zip(names.to_pylist(), [0, *ends[:-1]], ends, strict=True)]
+    assert all(size <= (1 << 20) + 8192 + (size > len(texts[-1])) * len(texts[-1]) for _, size in met) and len(met) > 4
+    want = enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert got == [(i, want[i].ids) for i in [*range(len(texts)), 0, 1, 2]]
+
+
 # --- simhash -----------------------------------------------------------------------------------------------------
 
 
