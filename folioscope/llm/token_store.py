@@ -282,7 +282,7 @@ def encoded(enc: Encoder, batches: Iterator[pa.RecordBatch], most: int = PORTION
             edges = [0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), len(b)]
             yield from (b.slice(x, y - x) for x, y in zip(edges[:-1], edges[1:], strict=True))
 
-    for ids_of, texts in gathered(cut(), most):
+    for ids_of, texts in gathered(cut(), most // 2):
         yield ids_of, *enc.encode(texts)
         pa.default_memory_pool().release_unused()
 
