@@ -577,6 +577,37 @@ def test_windows_of_two_functions_cross(spark):
     assert got == [(2, 3, 0), (2, 3, 1), (4, 5, 0), (4, 5, 1)]
 
 
+def test_crossed_windows_come_once(spark):
+    """Three functions give three pairs of keys; each pair of windows comes once all the same, those of two texts together."""
+    rows = [(10 + f, i, f, 0, 20 + 10 * f, 60, 30) for i in range(30) for f in range(3)]
+    found = spark.createDataFrame(rows, "key long, uid long, f int, l int, c int, r int, count long")
+    roots = spark.createDataFrame([(0, 0), (1, 0)], "node long, root long")
+    got = [(x.a, x.b, x.f) for x in substring_dedup.cross_pairs(found, roots, 46, 24, 4).collect()]
+    want = [(a, b, f) for a in range(30) for b in range(a + 1, 30) for f in range(3) if (a, b) != (0, 1)]
+    assert sorted(got) == want
+    assert 1 + sum(x[:2] != y[:2] for x, y in zip(got, got[1:], strict=False)) == len(want) // 3
+
+
+def test_many_windows_of_two_texts():
+    """A line that both texts repeat: windows put together cover the same stretches as one by one."""
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        n = int(r.integers(65, 300))
+        ca, cb = r.integers(60, 400, n), r.integers(60, 400, n)
+        cb[: n // 2] = ca[: n // 2] + r.choice([0, 4, -9], n // 2)
+        rows = np.stack([r.integers(0, 6, n), *(x + r.integers(0, 60, n) * k for x in (ca, cb) for k in (-1, 0, 1))], axis=1)
+        parts = list(substring_dedup.laid_over(rows))
+        laid = sorted((a - b, f, a - min(a - la, b - lb), a + min(ra - a, rb - b) + 1) for f, la, a, ra, lb, b, rb in rows.tolist())
+        for part in parts:
+            own = [x for x in laid if part[0][0] <= x[0] <= part[-1][0]]
+            points = lambda some: {(f, i) for _, f, s, e in some for i in range(s, e)}
+            assert points(part) == points(own)
+            laid = laid[len(own) :]
+        assert not laid and all(y[0][0] - x[-1][0] > 6 for x, y in zip(parts, parts[1:], strict=False))
+    x = np.array([5, 5, 6, 7, 5, 6, 6])
+    assert [substring_dedup.fewest(x, w) for w in (1, 2, 3, 7)] == [1, 1, 2, 3]
+
+
 # --- languages ---------------------------------------------------------------------------------------------------
 
 
