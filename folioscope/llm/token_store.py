@@ -18,13 +18,14 @@ before each block of 512), so token i is read by following one position a level,
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -201,9 +202,10 @@ class Encoder:
         got[new] = range(len(self.ends) - 1, len(self.ends) - 1 + len(new))
         own = [names[i] for i in new.tolist()]
         self.known.update(zip(own, got[new].tolist(), strict=True))
-        for ids in self._new(own):
-            self.flat.extend(ids)
-            self.ends.append(len(self.flat))
+        ids = self._new(own)
+        self.ends.extend(accumulate(map(len, ids), initial=len(self.flat)))
+        self.ends.pop(-len(ids) - 1)  # was there before
+        self.flat.extend(chain.from_iterable(ids))
         return got
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +285,15 @@ def encoded(enc: Encoder, batches: Iterator[pa.RecordBatch], most: int = PORTION
             yield from (b.slice(x, y - x) for x, y in zip(edges[:-1], edges[1:], strict=True))
 
     for ids_of, texts in gathered(cut(), most // 2):
-        yield ids_of, *enc.encode(texts)
+        on = gc.isenabled()
+        gc.disable()  # a list for each new piece has it look over all of them again and again, and none is in a cycle
+        try:
+            got = enc.encode(texts)
+        finally:
+            if on:
+                gc.enable()
+        yield ids_of, *got
+        del got
         pa.default_memory_pool().release_unused()
 
 

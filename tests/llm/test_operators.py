@@ -608,6 +608,27 @@ def test_many_windows_of_two_texts():
     assert [substring_dedup.fewest(x, w) for w in (1, 2, 3, 7)] == [1, 1, 2, 3]
 
 
+def test_tokens_without_collections():
+    """Encoding makes a list for each new piece; the collector isn't to look over them, and is as it was afterwards."""
+    import gc
+
+    import pyarrow as pa
+
+    enc = token_store.Encoder(token_store.vocabulary())
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(300)) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts)], ["id", "text"])
+    said = []
+    gc.collect()
+    gc.callbacks.append(note := lambda phase, info: said.append(phase))
+    try:
+        ((_, ids, ends),) = token_store.encoded(enc, iter([batch]))
+    finally:
+        gc.callbacks.remove(note)
+    assert len(said) <= 4 and gc.isenabled()
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
 # --- languages ---------------------------------------------------------------------------------------------------
 
 
