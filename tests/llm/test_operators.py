@@ -497,6 +497,18 @@ def test_crowded_passages(spark, few, block):
     assert {185, 186} in classes.values() and {187, 188} in classes.values()
 
 
+@pytest.mark.parametrize("few", [4, 24])
+def test_every_holder_of_a_passage_has_a_row(spark, few):
+    """The representative of a crowded passage stands anywhere among its holders, and the least id of a pair is one too."""
+    groups = [(range(0, 20), 300), (range(20, 22), 301), (range(22, 25), 302)]
+    rows = [(i, f"{unlike(400 + i, 30)} {unlike(seed, 56)} {unlike(500 + i, 30)}") for ids, seed in groups for i in ids]
+    rows += [(25, rows[24][1]), (26, unlike(600, 90))]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), few=few).collect()
+    assert {r.doc_id for r in got} == set(range(26))
+    links = {(r.doc_id, r.start, r.end, r.partner_id, r.partner_start, r.partner_end, r.similarity, r.class_id) for r in got}
+    assert {(*x[3:6], *x[:3], *x[6:]) for x in links} == links and len(links) == len(got)
+
+
 def test_edited_copies_of_a_crowded_passage(spark):
     """Copies changed in the middle share 22 words on no side with most others, and aren't like each other."""
     passage = prose(300, 50).split()
