@@ -24,6 +24,7 @@ import re
 import uuid
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from itertools import accumulate, chain, repeat
 
@@ -41,7 +42,8 @@ CACHED = 150_000
 PORTION = 1 << 19  # bytes of text that are encoded at once
 #: Letters that stand for bytes in a byte-level vocabulary: a byte that prints stands for itself, the others follow 255.
 _OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
+_OTHER = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
+LETTERS = "".join(_OTHER.get(b, chr(b)) for b in range(256))
 FIELDS = "shard int, seg int, first_id long, doc_ids array<long>, ends array<long>, n_tokens long, codes binary"
 
 
@@ -128,7 +130,7 @@ class Encoder:
     for it; other new pieces go to the library in one text, which is cut again where its ids begin with a space or a line
     feed. Texts with long runs of white space, where a space may belong to the one before it, are cut at the runs; texts
     that spell a special token go to the library as they are. Pieces are kept from batch to batch until there are more than
-    ``cached`` of them.
+    ``cached`` of them; then those go that were not asked for again.
     """
 
     def __init__(self, path: str, cached: int = CACHED):
@@ -151,6 +153,24 @@ class Encoder:
         """Frees the pieces kept: a worker process goes on to other tasks."""
         self.known: dict[str, int] = {}  # place of a piece in ends; its ids are flat[ends[place] : ends[place + 1]]
         self.flat, self.ends = array("I"), array("q", [0])
+        self.again = bytearray()  # for each place, whether its piece was asked for again
+
+    def thin(self) -> None:
+        """Frees the pieces that were met in one batch only since the last time; all of them if that leaves too many."""
+        keep = np.flatnonzero(np.frombuffer(self.again, np.uint8))
+        known, flat, ends = self.known, np.frombuffer(self.flat, "<u4"), np.frombuffer(self.ends, np.int64)
+        first, n = ends[keep], ends[keep + 1] - ends[keep]
+        stops = np.cumsum(n)
+        ids = flat[np.repeat(first - stops + n, n) + np.arange(n.sum())]
+        self.forget()
+        if len(keep) <= self.cached // 2:
+            number = np.full(len(ends) - 1, -1)
+            number[keep] = np.arange(len(keep))
+            number = number.tolist()
+            self.known = {x: number[at] for x, at in known.items() if number[at] >= 0}
+            self.flat.frombytes(ids.tobytes())
+            self.ends.frombytes(stops.tobytes())
+            self.again = bytearray(len(keep))
 
     def _all(self, texts: list[str]) -> list[array]:
         return [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -169,7 +189,7 @@ class Encoder:
             elif max(w) >= LATE:
                 rest.append(i)
             elif w.isalpha():
-                made[w] = out[i] = [t.id for t in tokenize(space + w.encode().decode("latin-1").translate(BYTES))]
+                made[w] = out[i] = [t.id for t in tokenize(space + charmap_decode(w.encode(), "strict", LETTERS)[0])]
             else:
                 (marked if w[-1] in marks and w[:-1].isalpha() else rest).append(i)
         for i in marked:
@@ -177,7 +197,7 @@ class Encoder:
             ids = made.get(w[:-1])
             if ids is None:
                 at = self.known.get(w[:-1])
-                ids = self.flat[self.ends[at] : self.ends[at + 1]].tolist() if at is not None else [t.id for t in tokenize(space + w[:-1].encode().decode("latin-1").translate(BYTES))]
+                ids = self.flat[self.ends[at] : self.ends[at + 1]].tolist() if at is not None else [t.id for t in tokenize(space + charmap_decode(w[:-1].encode(), "strict", LETTERS)[0])]
                 made[w[:-1]] = ids
             out[i] = ids + marks[w[-1]]
         texts = {i: w[1:] if w[:1] == START else w if w[:1] == "\n" else " " + w for i, w in zip(rest, map(names.__getitem__, rest), strict=True)}
@@ -196,9 +216,12 @@ class Encoder:
 
     def _places(self, names: list[str]) -> np.ndarray:
         if len(self.known) > self.cached:
-            self.forget()
+            self.thin()
         got = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
-        new = np.flatnonzero(got < 0)
+        met = got >= 0
+        np.frombuffer(self.again, np.uint8)[got[met]] = 1
+        new = np.flatnonzero(~met)
+        self.again.extend(bytes(len(new)))
         got[new] = range(len(self.ends) - 1, len(self.ends) - 1 + len(new))
         own = [names[i] for i in new.tolist()]
         self.known.update(zip(own, got[new].tolist(), strict=True))

@@ -209,6 +209,16 @@ def test_encoder():
     assert enc.encode_many([long])[0].tolist() == plain.encode(long, add_special_tokens=False).ids
 
 
+def test_pieces_asked_for_again_are_kept():
+    enc = token_store.Encoder(token_store.vocabulary(), cached=8)
+    plain, new = enc.tokenizer, (f"z{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(500))
+    for _ in range(30):
+        texts = [f"the thing, na\u00efvet\u00e9. {next(new)} {next(new)}", f"the  thing, {next(new)}\n{next(new)} "]
+        assert [x.tolist() for x in enc.encode_many(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(enc.known) <= 8 + 8 and len(enc.again) == len(enc.ends) - 1
+    assert {"thing,", "na\u00efvet\u00e9."} <= {*enc.known} and enc.again[enc.known["thing,"]]
+
+
 def test_token_store(spark, docs, tmp_path):
     enc = token_store.Encoder(token_store.vocabulary())
     rows = sorted(rows_of(docs), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
