@@ -26,7 +26,7 @@ import zlib
 from array import array
 from codecs import charmap_decode
 from collections.abc import Iterator
-from itertools import accumulate, chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +40,11 @@ from folioscope.llm.common import gathered, scratch_dir, ship, table, trim, valu
 BLOCK = 64  # bytes of bitmap for each entry of the directory
 CACHED = 150_000
 PORTION = 1 << 19  # bytes of text that are encoded at once
+TOGETHER = 10_000  # pieces that the library gets as one text
 #: Letters that stand for bytes in a byte-level vocabulary: a byte that prints stands for itself, the others follow 255.
 _OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _OTHER = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
-LETTERS = "".join(_OTHER.get(b, chr(b)) for b in range(256))
+LETTERS = "".join(chr(b) if b in (10, 32) else _OTHER.get(b, chr(b)) for b in range(256))  # white space parts words
 FIELDS = "shard int, seg int, first_id long, doc_ids array<long>, ends array<long>, n_tokens long, codes binary"
 
 
@@ -126,8 +127,8 @@ class Encoder:
     """The tokenizers library, each distinct piece of a batch encoded once.
 
     A byte-level vocabulary never merges across the beginning of white space, so texts are cut there, in Arrow, and only
-    the distinct pieces of a batch come to Python. A new word goes to the library's model, which is all that is left to do
-    for it; other new pieces go to the library in one text, which is cut again where its ids begin with a space or a line
+    the distinct pieces of a batch come to Python. New words go to the library's model, which is all that is left to do
+    for them, thousands in one text; other new pieces go to the library in one text, which is cut again where its ids begin with a space or a line
     feed. Texts with long runs of white space, where a space may belong to the one before it, are cut at the runs; texts
     that spell a special token go to the library as they are. Pieces are kept from batch to batch until there are more than
     ``cached`` of them; then those go that were not asked for again.
@@ -136,6 +137,7 @@ class Encoder:
     def __init__(self, path: str, cached: int = CACHED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -144,8 +146,9 @@ class Encoder:
         self.first = np.zeros(self.tokenizer.get_vocab_size(), bool)
         begins = tuple(self.tokenizer.encode(c, add_special_tokens=False).tokens[0] for c in " \n")
         self.first[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(begins)]] = True
-        self.model, self.space = self.tokenizer.model, begins[0]
-        self.marks = {c: ids.tolist() for c, ids in zip(".,;:!?", self._all([*".,;:!?"]), strict=True)}
+        self.space = begins[0]
+        self.model = Tokenizer(self.tokenizer.model)  # words come to it apart, in letters that stand for bytes
+        self.model.pre_tokenizer = WhitespaceSplit()
         self.cached = cached
         self.forget()
 
@@ -175,41 +178,39 @@ class Encoder:
     def _all(self, texts: list[str]) -> list[array]:
         return [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, names: list[str]) -> list[array | list[int]]:
-        """Ids of pieces: after a space, unless they start with a line feed or ``START``."""
-        out: list = [None] * len(names)
-        made: dict[str, list[int]] = {}
-        rest, marked, tokenize, space, marks = [], [], self.model.tokenize, self.space, self.marks
-        for i, w in enumerate(names):
-            if w.isascii():
-                if w.isalpha():
-                    made[w] = out[i] = [t.id for t in tokenize(space + w)]
-                else:
-                    (marked if w[-1:] in marks and w[:-1].isalpha() else rest).append(i)
-            elif max(w) >= LATE:
-                rest.append(i)
-            elif w.isalpha():
-                made[w] = out[i] = [t.id for t in tokenize(space + charmap_decode(w.encode(), "strict", LETTERS)[0])]
+    def _words(self, words: pa.Array) -> None:
+        """Keeps the ids of words of letters, some with a mark behind them: the library's model cuts nothing else there."""
+        for at in range(0, len(words), TOGETHER):
+            some = words.slice(at, TOGETHER)
+            apart = "\n".join(values(pc.replace_substring_regex(some, "([.,;:!?])$", r" \1")))
+            text = self.space + charmap_decode(apart.encode(), "strict", LETTERS)[0].replace("\n", "\n" + self.space)
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.first[ids])
+            if len(starts) == len(some):
+                self._keep(ids.tobytes(), np.diff(starts, append=len(ids)))
             else:
-                (marked if w[-1] in marks and w[:-1].isalpha() else rest).append(i)
-        for i in marked:
-            w = names[i]
-            ids = made.get(w[:-1])
-            if ids is None:
-                at = self.known.get(w[:-1])
-                ids = self.flat[self.ends[at] : self.ends[at + 1]].tolist() if at is not None else [t.id for t in tokenize(space + charmap_decode(w[:-1].encode(), "strict", LETTERS)[0])]
-                made[w[:-1]] = ids
-            out[i] = ids + marks[w[-1]]
-        texts = {i: w[1:] if w[:1] == START else w if w[:1] == "\n" else " " + w for i, w in zip(rest, map(names.__getitem__, rest), strict=True)}
-        plain = [i for i in rest if (w := names[i]) and w[0] != START and not (w[-1].isspace() or w.lstrip("\n")[0].isspace())]
-        for at in range(0, len(plain), 10_000):
-            some = plain[at : at + 10_000]
+                self._keep_each(self._others(values(some)))
+
+    def _keep(self, ids: bytes, lengths: np.ndarray) -> None:
+        self.ends.frombytes((len(self.flat) + np.cumsum(lengths, dtype=np.int64)).tobytes())
+        self.flat.frombytes(ids)
+
+    def _keep_each(self, ids: list[array]) -> None:
+        self._keep(b"".join(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _others(self, names: list[str]) -> list[array]:
+        """Ids of other pieces: after a space, unless they start with a line feed or ``START``."""
+        out: list = [None] * len(names)
+        texts = [w[1:] if w[:1] == START else w if w[:1] == "\n" else " " + w for w in names]
+        plain = [i for i, w in enumerate(names) if w and w[0] != START and not (w[-1].isspace() or w.lstrip("\n")[0].isspace())]
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
             ids = self._all(["".join([texts[i] for i in some])])[0]
             starts = np.flatnonzero(self.first[np.frombuffer(ids, "<u4")]).tolist()
             if len(starts) == len(some):
                 for i, x, y in zip(some, starts, [*starts[1:], len(ids)], strict=True):
                     out[i] = ids[x:y]
-        others = [i for i in rest if out[i] is None]
+        others = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(others, self._all([texts[i] for i in others]), strict=True):
             out[i] = ids
         return out
@@ -222,13 +223,16 @@ class Encoder:
         np.frombuffer(self.again, np.uint8)[got[met]] = 1
         new = np.flatnonzero(~met)
         self.again.extend(bytes(len(new)))
+        fresh = pa.array([names[i] for i in new.tolist()], pa.large_string())
+        base = pc.replace_substring_regex(fresh, "[.,;:!?]$", "")
+        word = pc.and_(pc.utf8_is_alpha(base), pc.match_substring_regex(base, f"^[^{LATE}-\U0010ffff]+$"))
+        words, word = fresh.filter(word), word.to_numpy(zero_copy_only=False)
+        new = np.concatenate([new[word], new[~word]])
         got[new] = range(len(self.ends) - 1, len(self.ends) - 1 + len(new))
         own = [names[i] for i in new.tolist()]
         self.known.update(zip(own, got[new].tolist(), strict=True))
-        ids = self._new(own)
-        self.ends.extend(accumulate(map(len, ids), initial=len(self.flat)))
-        self.ends.pop(-len(ids) - 1)  # was there before
-        self.flat.extend(chain.from_iterable(ids))
+        self._words(words)
+        self._keep_each(self._others(own[len(words) :]))
         return got
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -209,6 +209,16 @@ def test_encoder():
     assert enc.encode_many([long])[0].tolist() == plain.encode(long, add_special_tokens=False).ids
 
 
+def test_words_go_to_the_library_together():
+    """Thousands of new words are a few calls, with the ids that each word has alone."""
+    enc, calls = token_store.Encoder(token_store.vocabulary()), []
+    model = enc.model
+    enc.model = type("Counted", (), {"encode_batch_fast": lambda self, texts, **k: calls.append(1) or model.encode_batch_fast(texts, **k), "tokenize": lambda self, w: calls.append(1) or model.tokenize(w)})()
+    words = [f"{a}{b}{c}{m}" for a in ("the", "na\u00efve", "Stra\u00dfe", "\u0451\u0436") for b in "abcdefghijkl" for c in ("er", "ing", "z\u00e9q", "X") for m in ("", ".", ",", ";", ":", "!", "?")]
+    assert enc.encode_many([" ".join(words)])[0].tolist() == enc.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+    assert 0 < len(calls) <= len(words) // token_store.TOGETHER + 1
+
+
 def test_pieces_asked_for_again_are_kept():
     enc = token_store.Encoder(token_store.vocabulary(), cached=8)
     plain, new = enc.tokenizer, (f"z{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(500))
