@@ -26,6 +26,7 @@ MARK = "▁"  # stands before each word, as in the vocabulary
 LONGEST = 48  # a longer word is scored in parts of so many characters
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 250_000  # distinct words a task holds at once
+AT_ONCE = 1024  # words that are scored at once
 
 
 class Pieces:
@@ -118,8 +119,8 @@ class Model:
         out = np.zeros((len(words), len(self.languages)))
         parts = [(i, p) for i, w in enumerate(words) for p in cut(w)]
         order = sorted(range(len(parts)), key=lambda k: len(parts[k][1]))
-        for at in range(0, len(order), 4096):  # words of like length together
-            part = [parts[k] for k in order[at : at + 4096]]
+        for at in range(0, len(order), AT_ONCE):  # words of like length together
+            part = [parts[k] for k in order[at : at + AT_ONCE]]
             codes = _table([p for _, p in part])
             alpha = _forward(self._pieces.find(codes), codes, self.probs, self.other)
             end = (codes > 0).sum(axis=1)

@@ -1,6 +1,7 @@
 """The pipeline's stages over a small folder of tables, against what each has to do."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -49,3 +50,20 @@ def test_run(spark, folder):
     a, b = (sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) for _ in range(2))
     assert a == b and len(a) > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_texts_go_to_python_a_few_at_a_time(spark, folder):
+    """A batch of the engine's default size would be held whole by each task; a smaller setting is left as it is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 50").repartition(1)
+    docs = rows.crossJoin(spark.range(40)).drop("id")  # 2,000 rows in one task
+    try:
+        for own, want in (("10000", "512"), ("0", "512"), ("100", "100")):
+            spark.conf.set(name, own)
+            kept = corpus_pipeline.language(spark, docs, folder)
+            assert spark.conf.get(name) == want and kept.count() == 2000
+            sizes = kept.select("text").mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in bs), "n long").collect()
+            assert 0 < max(r.n for r in sizes) <= int(want) and sum(r.n for r in sizes) == 2000
+    finally:
+        spark.conf.set(name, before)
