@@ -620,6 +620,39 @@ def test_crossed_windows_come_once(spark):
     assert 1 + sum(x[:2] != y[:2] for x, y in zip(got, got[1:], strict=False)) == len(want) // 3
 
 
+def test_windows_that_meet_no_other_are_not_written(spark, monkeypatch):
+    """Disk goes by what repeats: neither all windows nor a text's stretches for each of its partners are written."""
+    r = np.random.default_rng(3)
+    say = lambda n: " ".join(f"w{i}" for i in r.integers(0, 1 << 40, n))
+    passage, ids = say(60), [-(1 << 63), -5, 0, (1 << 63) - 1]
+    rows = [(i, f"{say(400)} {passage} {say(400)}") for i in ids] + [(i, say(300)) for i in range(1, 100)]
+    written, whole = {}, substring_dedup.materialize
+
+    def counted(df, label):
+        out = whole(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(substring_dedup, "materialize", counted)
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x.doc_id for x in got} == set(ids) and {x.class_id for x in got} == {ids[0]} and len(got) == 12
+    assert all(x.start == x.partner_start == 400 and x.end == x.partner_end == 460 for x in got)
+    assert max(n for label, n in written.items() if label != "passage-found") == len(rows) and written["passage-found"] < 4 * 60
+
+
+def test_windows_of_a_text_that_overlap(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for k in range(600):
+        c, left, right = (int(r.integers(0, n)) for n in (900, 46, 46))
+        rows.append((k, int(r.integers(0, 3)), int(r.integers(0, 4)), c - left, c, c + right, 7, bool(k % 3), k % 5 == 0 or None))
+    df = spark.createDataFrame(rows, "key long, uid long, f int, l int, c int, r int, root long, crowded boolean, crossed boolean")
+    got = sorted((x.key1, x.key2) for x in substring_dedup._together(df.repartition(2), 46).collect())
+    crossed = {x[0] for x in rows if x[7] and x[8]}
+    want = [(x[0], y[0]) for x in rows for y in rows if x[1] == y[1] and x[2] < y[2] and {x[0], y[0]} & crossed and min(x[5], y[5]) - max(x[3], y[3]) + 1 >= 46]
+    assert got == sorted(want) and len(want) > 50
+
+
 def test_many_windows_of_two_texts():
     """A line that both texts repeat: windows put together cover the same stretches as one by one."""
     r = np.random.default_rng(5)
